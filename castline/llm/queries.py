@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import jaccard, line_dedup, mixing, sharding, substring_dedup
+from . import ann, decontamination, jaccard, language_id, line_dedup, lm_scoring, mixing, sharding, substring_dedup, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,33 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(_table(spark, sf_dir, "documents"))
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.pmod(lm_scoring.id_crc(F.col("doc_id")), F.lit(5)) == 0
+    model = language_id.train(docs, ~held_out)
+    return language_id.identify(docs, model, held_out).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return lm_scoring.score_texts(docs, F.pmod(lm_scoring.id_crc(F.col("doc_id")), F.lit(7)) == 2)
+
+
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")  # the same on every machine
+    return token_files.read_index(token_files.write_ids(_table(spark, sf_dir, "documents"), path, end=2))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
@@ -94,9 +121,14 @@ FROM judged GROUP BY doc_id
 
 def queries() -> dict:
     return {
+        "op1_nearest_neighbours": op1_nearest_neighbours,
+        "op2_decontamination": op2_decontamination,
         "op3_substring_dedup": op3_substring_dedup,
+        "op4_language_id": op4_language_id,
+        "op5_lm_scoring": op5_lm_scoring,
         "op6_jaccard_join": op6_jaccard_join,
         "op7_line_dedup": op7_line_dedup,
+        "op8_token_output": op8_token_output,
         "op9_sharding": op9_sharding,
         "op10_mixing": op10_mixing,
     }

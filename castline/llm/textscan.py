@@ -72,6 +72,14 @@ def text_buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans start[i]:end[i] of data."""
+    n = len(data)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE_KEYS[data] * powers("up", n), out=sums[1:])
+    return mix((sums[end] - sums[start]) * powers("down", n + 1)[start] + (end - start).astype(np.uint64))
+
+
 class Words:
     """Words of a slice: byte spans, row of each, first word of each row, 64-bit hashes."""
 
@@ -99,11 +107,7 @@ class Words:
     @property
     def hash(self) -> np.ndarray:
         if self._hash is None:
-            n = len(self.data)
-            sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(_BYTE_KEYS[self.data] * powers("up", n), out=sums[1:])
-            spans = (sums[self.end] - sums[self.start]) * powers("down", n + 1)[self.start]
-            self._hash = mix(spans + (self.end - self.start).astype(np.uint64))
+            self._hash = span_hash(self.data, self.start, self.end)
         return self._hash
 
     def text(self, i: int, j: int) -> bytes:
