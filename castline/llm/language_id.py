@@ -161,6 +161,12 @@ class Model:
         sums = np.stack([np.bincount(row, logs[:, j], len(texts)) for j in range(len(self.languages))], 1)
         return -sums / np.maximum(n, 1)[:, None], np.where(letters > 0, n, 0)
 
+    def rejected(self, h: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Rows without letters, and those whose best cross-entropy is too far from the calibration documents'."""
+        best = h.argmin(1)
+        odd = h[np.arange(len(h)), best] - self.mean[best] > REJECT_Z * self.spread[best] / np.sqrt(np.clip(n, 1, 400))
+        return (n == 0) | odd
+
 
 def kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
     """The model from each language's distinct grams of the top order and their counts."""
@@ -285,9 +291,8 @@ def _predict(model) -> object:
             low = h[np.arange(len(h)), best]
             score = 1 / np.exp(-m.scale * (h - low[:, None])).sum(1)
             known = n > 0
-            odd = low - m.mean[best] > REJECT_Z * m.spread[best] / np.sqrt(np.clip(n, 1, 400))
             yield pa.RecordBatch.from_arrays(
-                [part.column("key"), part.column("held_out"), pa.array(names[np.where(known, best, len(names) - 1)].tolist(), pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(low, mask=~known), pa.array(~known | odd)],
+                [part.column("key"), part.column("held_out"), pa.array(names[np.where(known, best, len(names) - 1)].tolist(), pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(low, mask=~known), pa.array(m.rejected(h, n))],
                 ["key", "held_out", "lang_pred", "score", "cross_entropy", "rejected"],
             )
 
@@ -302,3 +307,17 @@ def identify(docs: DataFrame, model: Model | None, held_out: Column, key: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
     out = held.mapInArrow(_predict(shared), "key bigint, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean")
     return out.withColumnRenamed("key", key)
+
+
+def keep_identified(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """The rows of docs that the model does not reject, all columns as they are; without a model every row stays."""
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text, SLICE):
+            h, n = shared.value.cross_entropy(part.column(part.schema.get_field_index(text)))
+            yield part.filter(pa.array(~shared.value.rejected(h, n)))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -61,3 +61,9 @@ def shard_records(
         rendezvous(F.col(key), [*weights, sum(weights) / len(weights)], seed).alias("grown_shard"),
     )
     return with_slots(rows, "shard", [key, "text_crc32", "size"]).select(key, "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
+
+
+def with_shard(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text", weights: list[float] | None = None, overhead: int = 8, seed: int = 17) -> DataFrame:
+    """docs with (shard, shard_size) added; no shuffle, every other column stays."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    return docs.withColumn("shard", rendezvous(F.col(key), weights or [1.0] * shards, seed)).withColumn("shard_size", F.octet_length(body).cast("long") + F.lit(overhead))

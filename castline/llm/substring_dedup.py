@@ -226,9 +226,8 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def drop_repeated_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 50, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
     """Rows (key, n_words, n_removed, kept) for every row of docs; kept is the remaining words joined by one space."""
-    spans = repeated_intervals(docs, key, text, window, anchor, hot)
-    listed = spans.count()
-    spans = spans.groupBy(F.col("key").alias("k")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = repeated_intervals(docs, key, text, window, anchor, hot).groupBy(F.col("key").alias("k")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    # the spans grow with the corpus: texts are shuffled once to meet them, at every size
     held = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    joined = held.join(small(spans, listed, 2_000_000), F.col("key") == F.col("k"), "left").select("key", "text", "spans")
+    joined = held.join(spans, F.col("key") == F.col("k"), "left").select("key", "text", "spans")
     return joined.mapInArrow(_kept, "key bigint, n_words bigint, n_removed bigint, kept string").withColumnRenamed("key", key)
