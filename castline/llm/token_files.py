@@ -36,7 +36,8 @@ from .textscan import Words, ragged, slices, span_hash
 
 BLOCK, CHUNK_IDS, BUCKET_ROWS = 1 << 16, 1 << 20, 4096
 #: Distinct pieces an encoder remembers before it starts afresh.
-KNOWN = 1_500_000
+KNOWN = 2_500_000
+_LEADS = np.array([0xC2, 0xE1, 0xE2, 0xE3], np.uint8)
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 
@@ -77,36 +78,43 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # added tokens, and white space beyond ASCII, which the pattern joins with its neighbours
         self.hard = re.compile("|".join([*map(re.escape, self.added), "[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"]))
+        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.forget()
 
     def forget(self) -> None:
         self.hashes = np.zeros(0, np.uint64)
-        self.starts = self.lengths = np.zeros(0, np.int64)
-        self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.pool, self.used = np.zeros(1 << 20, np.uint32 if self.wide else np.uint16), 0
 
     def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+        """Encodes new pieces and keeps their ids by hash."""
         ids: list[int] = []
         ends = []
         for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False):
             ids += e.ids
             ends.append(len(ids))
-        while self.used + len(ids) > len(self.pool):
+        new, n = np.array(ids, self.pool.dtype), np.diff(np.array([0, *ends])).astype(np.int32)
+        while self.used + len(new) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.used : self.used + len(ids)] = ids
-        stops = np.array(ends, np.int64)
-        lengths = np.diff(np.append(0, stops))
+        self.pool[self.used : self.used + len(new)] = new
         at = np.searchsorted(self.hashes, hashes)
         self.hashes = np.insert(self.hashes, at, hashes)
-        self.starts = np.insert(self.starts, at, self.used + stops - lengths)
-        self.lengths = np.insert(self.lengths, at, lengths)
-        self.used += len(ids)
+        self.starts = np.insert(self.starts, at, (self.used + np.cumsum(n) - n).astype(np.int32))
+        self.lengths = np.insert(self.lengths, at, n)
+        self.used += len(new)
+
+    def _hard_rows(self, texts: pa.Array, data: np.ndarray) -> list[int]:
+        # the lead bytes of white space beyond ASCII; most slices have none
+        if not np.isin(data, _LEADS).any() and not any(data.tobytes().find(a.encode()) >= 0 for a in self.added):
+            return []
+        return [i for i, t in enumerate(texts.to_pylist()) if t and self.hard.search(t)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, each closed by the end id, and the rows' numbers of ids."""
         if len(self.hashes) > KNOWN:
             self.forget()
         w = Words(texts)
-        whole = [i for i, t in enumerate(texts.to_pylist()) if t and self.hard.search(t)] if self.hard.search(w.data.tobytes().decode()) else []
+        whole = self._hard_rows(texts, w.data)
         n_rows = len(w.count)
         # white space before each word of its row, and after the last
         previous = np.empty(len(w.start), np.int64)
@@ -145,9 +153,9 @@ class Encoder:
             text = w.data.tobytes()
             self._learn(found[new], [text[s:e].decode() for s, e in zip(start[one[new]].tolist(), end[one[new]].tolist(), strict=True)])
         at = np.searchsorted(self.hashes, found)
-        n_piece = self.lengths[at][inverse]
+        n_piece = self.lengths[at][inverse].astype(np.int64)
         per_row = np.bincount(row, n_piece, n_rows).astype(np.int64) if total else np.zeros(n_rows, np.int64)
-        ids = self.pool[ragged(self.starts[at][inverse], n_piece)]
+        ids = self.pool[ragged(self.starts[at][inverse].astype(np.int64), n_piece)].astype(np.uint32)
         stops = np.cumsum(per_row)
         out = np.insert(ids, stops, np.uint32(self.end))
         if whole:
