@@ -1,0 +1,3 @@
+"""Queries over the star schema and the logs."""
+
+from . import audits, catalog, ingest, records, reports, weights  # noqa: F401
