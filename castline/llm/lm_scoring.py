@@ -135,9 +135,9 @@ def tree_from(counts: DataFrame, total: int, depth: int, nodes: int) -> ctw.Tree
         g = frame["g"].to_numpy(np.int64).view(np.uint64)
         keys, row = np.unique(g >> np.uint64(8), return_inverse=True)
         keys = keys if d else np.zeros(1, np.uint64)
-        dense = np.zeros((len(keys), 256))
+        dense = np.zeros((len(keys), 256), np.float32)
         if len(g):
-            np.add.at(dense, (row, (g & np.uint64(255)).astype(np.int64)), frame["n"].to_numpy(np.float64))
+            np.add.at(dense, (row, (g & np.uint64(255)).astype(np.int64)), frame["n"].to_numpy(np.float32))
         levels.append((keys, dense))
     return ctw.build(levels)
 
