@@ -57,3 +57,18 @@ def test_html_blocks_skip_quotes():
     parser.close()
     parser.close_block()
     assert [t for _, t in parser.found] == ["A & B", "one two", "three"]
+
+
+def test_boundary_of_a_dense_cluster(spark):
+    import random
+
+    from castline.operators.inference import infer_boundaries
+
+    rng = random.Random(1)
+    dense = [(1, 9000 + i * 10, i % 4, i % 5) for i in range(201)] * 2 + [(1, rng.randrange(1000, 9000), 1, 1) for _ in range(100)]
+    tail = [(1, 12000, 1, 1), (1, 13500, 1, 1), (1, 15000, 2, 2)]
+    sparse = [(2, 100 * i, 1, 1) for i in range(10)]
+    frame = spark.createDataFrame(dense + tail + sparse, "pair int, weight_grams int, location_id int, bait_id int")
+    got = {r["pair"]: r for r in infer_boundaries(frame, ["pair"]).collect()}
+    assert (got[1]["boundary"], got[1]["tail_rows"], got[1]["confidence"]) == (11000, 3, "HIGH")
+    assert (got[2]["boundary"], got[2]["confidence"]) == (None, "LOW")
