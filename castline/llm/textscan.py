@@ -8,6 +8,7 @@ document), which bounds a task's memory whatever the batch size.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,25 +17,14 @@ import pyarrow as pa
 SLICE_BYTES = 2 << 20
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BYTE_KEYS = np.random.RandomState(20240501).randint(0, 1 << 62, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+#: Spans up to this many bytes are hashed eight bytes at a time; longer ones one by one.
+LONG_SPAN = 256
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-
-
-def powers(name: str, n: int) -> np.ndarray:
-    """The first n powers of the hash multiplier ("up") or of its inverse ("down")."""
-    if len(_powers[name]) < n:
-        base = np.full(max(n, SLICE_BYTES + 1024), _MULTIPLIER if name == "up" else _INVERSE, np.uint64)
-        base[0] = 1
-        _powers[name] = np.multiply.accumulate(base)
-    return _powers[name][:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     h = h ^ (h >> np.uint64(30))
@@ -74,10 +64,25 @@ def text_buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte spans start[i]:end[i] of data."""
-    n = len(data)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_KEYS[data] * powers("up", n), out=sums[1:])
-    return mix((sums[end] - sums[start]) * powers("down", n + 1)[start] + (end - start).astype(np.uint64))
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    # the eight bytes that begin at every place
+    loads = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    left = end - start
+    h = mix(left.astype(np.uint64) * _MULTIPLIER)
+    long = np.flatnonzero(left > LONG_SPAN)
+    if len(long):
+        left = np.where(left > LONG_SPAN, 0, left)
+    now = np.flatnonzero(left > 0)
+    at, rest = start[now], left[now]
+    while len(now):
+        h[now] = mix((h[now] ^ (loads[at] & _MASKS[np.minimum(rest, 8)])) * _MULTIPLIER)
+        more = rest > 8
+        now, at, rest = now[more], at[more] + 8, rest[more] - 8
+    for i in long.tolist():
+        digest = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest()
+        h[i] = np.uint64(int.from_bytes(digest, "little"))
+    return h
 
 
 class Words:

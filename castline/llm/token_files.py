@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -37,7 +38,12 @@ from .textscan import Words, ragged, slices, span_hash
 BLOCK, CHUNK_IDS, BUCKET_ROWS = 1 << 16, 1 << 20, 4096
 #: Distinct pieces an encoder remembers before it starts afresh.
 KNOWN = 2_500_000
-_LEADS = np.array([0xC2, 0xE1, 0xE2, 0xE3], np.uint8)
+_LEADS = np.zeros(256, bool)
+_LEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[ord(c) for c in string.ascii_letters + string.digits]] = True
+_POINT = np.zeros(256, bool)
+_POINT[[ord(c) for c in string.punctuation]] = True
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 
@@ -78,6 +84,8 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # added tokens, and white space beyond ASCII, which the pattern joins with its neighbours
         self.hard = re.compile("|".join([*map(re.escape, self.added), "[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"]))
+        # byte-level vocabularies write a blank as U+0120
+        self.begins_blank = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(self.tokenizer.get_vocab_size())])
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.forget()
 
@@ -87,28 +95,65 @@ class Encoder:
         self.pool, self.used = np.zeros(1 << 20, np.uint32 if self.wide else np.uint16), 0
 
     def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
-        """Encodes new pieces and keeps their ids by hash."""
-        ids: list[int] = []
-        ends = []
-        for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False):
-            ids += e.ids
-            ends.append(len(ids))
-        new, n = np.array(ids, self.pool.dtype), np.diff(np.array([0, *ends])).astype(np.int32)
+        """Encodes new pieces and keeps their ids by hash.
+
+        Pieces of a blank and a word are encoded in one text: the pre-tokenizer
+        cuts before each blank, and only a piece's first id begins with one.
+        """
+        n = np.zeros(len(pieces), np.int32)
+        blank = np.array([p[0] == " " and len(p) > 1 for p in pieces], bool)
+        place = np.concatenate([np.flatnonzero(blank), np.flatnonzero(~blank)])
+        parts: list[np.ndarray] = []
+        joined = place[: int(blank.sum())]
+        groups = [joined[i : i + 2000] for i in range(0, len(joined), 2000)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(["".join([pieces[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+            found = np.array(e.ids, self.pool.dtype)
+            heads = np.flatnonzero(self.begins_blank[found])
+            if len(heads) == len(group) and heads[0] == 0:
+                parts.append(found)
+                n[group] = np.diff(np.append(heads, len(found)))
+            else:
+                parts += self._one_by_one(pieces, group, n)
+        parts += self._one_by_one(pieces, place[len(joined) :], n)
+        order = np.concatenate([*groups, place[len(joined) :]]) if len(place) else place
+        starts = np.zeros(len(pieces), np.int32)
+        starts[order] = np.cumsum(n[order]) - n[order]
+        new = np.concatenate(parts) if parts else np.zeros(0, self.pool.dtype)
+        hashes_at = self.used + starts
         while self.used + len(new) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + len(new)] = new
         at = np.searchsorted(self.hashes, hashes)
         self.hashes = np.insert(self.hashes, at, hashes)
-        self.starts = np.insert(self.starts, at, (self.used + np.cumsum(n) - n).astype(np.int32))
+        self.starts = np.insert(self.starts, at, hashes_at)
         self.lengths = np.insert(self.lengths, at, n)
         self.used += len(new)
 
+    def _one_by_one(self, pieces: list[str], which: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+        out = [np.array(e.ids, self.pool.dtype) for e in self.tokenizer.encode_batch_fast([pieces[i] for i in which], add_special_tokens=False)]
+        n[which] = [len(x) for x in out]
+        return out
+
     def _hard_rows(self, texts: pa.Array, data: np.ndarray) -> list[int]:
         # the lead bytes of white space beyond ASCII; most slices have none
-        if not np.isin(data, _LEADS).any() and not any(data.tobytes().find(a.encode()) >= 0 for a in self.added):
+        if not _LEADS[data].any() and not any(data.tobytes().find(a.encode()) >= 0 for a in self.added):
             return []
         return [i for i, t in enumerate(texts.to_pylist()) if t and self.hard.search(t)]
 
+    @staticmethod
+    def _without_punctuation(w: Words) -> np.ndarray:
+        """Where each word ends without its closing ASCII punctuation, if a letter or digit stands before and the run is short."""
+        end = w.end.copy()
+        now = np.flatnonzero(_POINT[w.data[end - 1]]) if len(end) else end
+        for _ in range(8):
+            end[now] -= 1
+            now = now[end[now] > w.start[now]]
+            now = now[_POINT[w.data[end[now] - 1]]]
+        end[now] = w.end[now]
+        last, before = w.data[end - 1], w.data[np.maximum(end - 2, 0)]
+        latin = (before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7)
+        return np.where((end > w.start) & (_ALNUM[last] | latin), end, w.end)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, each closed by the end id, and the rows' numbers of ids."""
         if len(self.hashes) > KNOWN:
@@ -128,14 +173,16 @@ class Encoder:
         single = (gap > 0) & ~spaced
         tail_start = np.where(w.count > 0, w.end[np.maximum(w.stop - 1, 0)] if len(w.end) else 0, w.offsets[:-1])
         tail = w.offsets[1:] > tail_start
-        # pieces in order: [white space but its last] [last white space, if no blank] word with its blank
-        per_word = 1 + run + single
+        body = self._without_punctuation(w)
+        point = body < w.end
+        # pieces in order: [white space but its last] [last white space, if no blank] word with its blank [punctuation]
+        per_word = 1 + run + single + point
         at = np.cumsum(per_word) - per_word
         before_row = np.concatenate([[0], np.cumsum(tail)])[w.row] if len(w.start) else np.zeros(0, np.int64)
         at = at + before_row
         total = int(per_word.sum() + tail.sum())
         start, end, row = np.empty(total, np.int64), np.empty(total, np.int64), np.empty(total, np.int64)
-        for mask, place, s, e in ((run, at, previous, w.start - 1), (single, at + run, w.start - 1, w.start), (np.ones(len(w.start), bool), at + run + single, w.start - spaced, w.end)):
+        for mask, place, s, e in ((run, at, previous, w.start - 1), (single, at + run, w.start - 1, w.start), (np.ones(len(w.start), bool), at + run + single, w.start - spaced, body), (point, at + run + single + 1, body, w.end)):
             start[place[mask]], end[place[mask]], row[place[mask]] = s[mask], e[mask], w.row[mask]
         words_until = np.concatenate([[0], np.cumsum(per_word)])[w.stop] if len(w.start) else np.zeros(n_rows, np.int64)
         tail_at = words_until + np.cumsum(tail) - tail
