@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,30 +35,41 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df held on the executors' disks for its next uses; what an executor loses is computed again from its lineage."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its counted rows are within the limit, else df."""
     return F.broadcast(df) if rows <= limit else df
 
 
-def components(edges: DataFrame, name: str) -> DataFrame:
+def components(edges: DataFrame, name: str, hops: int = 2) -> DataFrame:
     """Connected components of edges (a, b): rows (node, component), the component's smallest node.
 
-    Every node takes the smallest label among its neighbours and then its
-    label's label, so long chains shrink by more than half a round.  Labels
-    live in shared Parquet; nothing is collected but the number of changes.
-    Nulls and self loops are dropped; an empty input gives no rows.
+    In a hop every node takes the smallest label among its neighbours and then
+    its label's label, so long chains shrink by more than half.  After every
+    ``hops`` hops the labels are written to the shared folder, which cuts the
+    lineage; nothing is collected but whether any changed.  Nulls and self loops
+    are dropped; an empty input gives no rows.
     """
-    spark = edges.sparkSession
     both = edges.where("a is not null and b is not null and a <> b").select("a", "b").distinct()
-    both = stored(both.union(both.select("b", "a")), f"{name}-edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), f"{name}-0")
-    for step in range(1, 200):
+    both = kept(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+
+    def hop(labels: DataFrame) -> DataFrame:
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        mine = labels.join(near, "node").select("node", F.least("component", "near").alias("best"), F.col("component").alias("old"))
+        mine = labels.join(near, "node").select("node", F.least("component", "near").alias("best"), "old")
         up = mine.select(F.col("node").alias("top"), F.col("best").alias("top_label"))
-        after = mine.join(up, F.col("best") == F.col("top"), "left").select("node", F.least("best", F.coalesce("top_label", "best")).alias("component"), "old")
-        after = stored(after, f"{name}-{step}")
-        if not after.where("component <> old").limit(1).count():
-            return after.select("node", "component")
-        labels = after.select("node", "component")
+        return mine.join(up, F.col("best") == F.col("top"), "left").select("node", F.least("best", F.coalesce("top_label", "best")).alias("component"), "old")
+
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
+    for step in range(200):
+        labels = labels.select("node", "component", F.col("component").alias("old"))
+        for _ in range(hops):
+            labels = hop(labels)
+        labels = stored(labels, f"{name}-{step}")
+        if not labels.where("component <> old").limit(1).count():
+            both.unpersist()
+            return labels.select("node", "component")
     raise RuntimeError("components did not settle")

@@ -140,7 +140,7 @@ def test_linked_sets_share_a_signature(num, hot):
         other[change] = rng.randint(1, 1 << 62, len(change)).astype(np.uint64)
         a, b = np.unique(base), np.unique(other[rng.rand(n) < 0.98]) if n > 1 else np.unique(other)
         both = len(np.intersect1d(a, b))
-        frequent = np.sort(rng.permutation(a)[: len(a) * 9 // 10]) if hot else np.zeros(0, np.uint64)
+        frequent = jaccard.Frequent.of(rng.permutation(a)[: len(a) * 9 // 10]) if hot else None
         if len(b) and 100 * both >= num * (len(a) + len(b) - both):
             sig, owner = jaccard.signatures([a, b], num, 100, frequent)
             assert set(sig[owner == 0]) & set(sig[owner == 1])
