@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import kept
+from .shared import stored
 
 TABLES, PILOTS, RECALL = 4, 64, 0.97
 GROUP_ROWS, BUCKET_ROWS = 8192, 2048
@@ -230,11 +230,11 @@ def _search_group(k: int) -> object:
 def search(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = 10) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k nearest other vectors of every row for which ``queries`` (a condition on ``id``) holds."""
     spark = vectors.sparkSession
-    rows = kept(usable(vectors, key, vector))
+    rows = stored(usable(vectors, key, vector), "ann")
     place = Window.partitionBy("v").orderBy("id")
     least = rows.withColumn("r", F.row_number().over(place)).where(F.col("r") <= k + 1)
     folded = least.groupBy("v").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("ids"))
-    reps = kept(folded.select("id", "v", "ids"))
+    reps = stored(folded.select("id", "v", "ids"), "ann")
     n = reps.count()
     result = "query_id bigint, rank int, vec_id bigint, score double"
     if not n:
@@ -245,14 +245,14 @@ def search(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str
     index = points.mapInArrow(_hash_rows(hasher), "t int, " + _INDEX)
     groups = max(1, math.ceil(n * TABLES / GROUP_ROWS))
     sizes = index.groupBy("bucket").agg(F.ceil(F.count("*") / BUCKET_ROWS).cast("long").alias("salts"))
-    sizes = kept(sizes)
+    sizes = stored(sizes, "ann")
     group = F.pmod(F.xxhash64("bucket", "salt"), F.lit(groups)).alias("g")
     indexed = index.join(sizes, "bucket").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts"))).select("t", "bucket", "salt", "id", "v", group)
     probes = asked.mapInArrow(_probe_rows(hasher, r, mass), _INDEX).join(sizes, "bucket").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).select("bucket", "salt", "id", "v", group)
     hits = "query bigint, rep bigint, score double"
     found = indexed.groupBy("g").cogroup(probes.groupBy("g")).applyInPandas(_search_group(k + 1), hits).distinct()
     best = Window.partitionBy("query").orderBy("score", "rep")
-    top = kept(found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r"))
+    top = stored(found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r"), "ann")
 
     def listed(hits: DataFrame) -> DataFrame:
         ids = reps.select(F.col("id").alias("rep"), F.explode("ids").alias("vec_id"))
@@ -260,10 +260,10 @@ def search(vectors: DataFrame, queries: Column, key: str = "vec_id", vector: str
         rank = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))
         return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
-    out = kept(listed(top))
+    out = stored(listed(top), "ann")
     full = min(k, rows.limit(k + 1).count() - 1)
     got = out.groupBy("query_id").agg(F.count("*").alias("n"))
-    short = kept(asked.join(got, asked["id"] == got["query_id"], "left").where(F.coalesce("n", F.lit(0)) < full).select("id", "v"))
+    short = stored(asked.join(got, asked["id"] == got["query_id"], "left").where(F.coalesce("n", F.lit(0)) < full).select("id", "v"), "ann")
     if not short.limit(1).count():
         return out
     everywhere = short.select(F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("long").alias("salt"), "id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("g"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import kept, small
+from .shared import small, stored
 from .textscan import Words, mix, runs_hash, slices, span_hash
 
 WINDOW, LITERALS, COVER, CONFLICTS = 8, 4, 13, 1 / 3
@@ -200,7 +200,7 @@ def contaminated(
     spark = docs.sparkSession
     held = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     items = benchmark.where(F.col(item).isNotNull()).select(F.col(item).cast("long").alias("key"), F.col(item_text).alias("text"))
-    wanted = kept(items.mapInArrow(_windows(window, None), _ROWS))
+    wanted = stored(items.mapInArrow(_windows(window, None), _ROWS), "decontamination")
     # at most 2 ** BLOOM_BITS cells, 2 MB as bits, whatever the benchmark's size
     cells = items.mapInArrow(_bloom(window), "cell bigint").distinct().toPandas()["cell"].to_numpy(np.int64)
     bits = np.zeros(1 << BLOOM_BITS, bool)

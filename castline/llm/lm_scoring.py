@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ctw
-from .shared import kept, stored
+from .shared import stored
 from .textscan import Words, ragged, slices
 
 DEPTH, NODES = 5, 1 << 16
@@ -190,7 +190,7 @@ def score_texts(docs: DataFrame, held_out: Column, key: str = "doc_id", text: st
     held = docs.select(F.col(key).cast("long").alias("key"), (~held_out).alias("train"), F.col(text).alias("text"))
     hot = frequent_words(held)
     counted = held.where("train").select("text").mapInArrow(_count(depth, spark.sparkContext.broadcast(hot)), "kind tinyint, k bigint, n bigint")
-    counted = kept(counted.groupBy("kind", "k").agg(F.sum("n").alias("n")))
+    counted = stored(counted.groupBy("kind", "k").agg(F.sum("n").alias("n")), "lm-scoring")
     totals = {r["kind"]: r["n"] for r in counted.where("kind > 1").collect()}
     tokens, ends = totals.get(2, 0), totals.get(3, 0)
     grams_of = counted.where("kind = 0").select("k", "n")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,11 +34,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df held on the executors' disks for its next uses; what an executor loses is computed again from its lineage."""
-    return df.persist(StorageLevel.DISK_ONLY)
-
-
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its counted rows are within the limit, else df."""
     return F.broadcast(df) if rows <= limit else df
@@ -55,7 +49,7 @@ def components(edges: DataFrame, name: str, hops: int = 2) -> DataFrame:
     are dropped; an empty input gives no rows.
     """
     both = edges.where("a is not null and b is not null and a <> b").select("a", "b").distinct()
-    both = kept(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = stored(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))), f"{name}-edges")
 
     def hop(labels: DataFrame) -> DataFrame:
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
@@ -70,6 +64,5 @@ def components(edges: DataFrame, name: str, hops: int = 2) -> DataFrame:
             labels = hop(labels)
         labels = stored(labels, f"{name}-{step}")
         if not labels.where("component <> old").limit(1).count():
-            both.unpersist()
             return labels.select("node", "component")
     raise RuntimeError("components did not settle")

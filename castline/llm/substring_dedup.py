@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
-from .shared import kept, small
+from .shared import small, stored
 from .textscan import Words, mix, runs_hash, slices
 
 ANCHOR = 12
@@ -169,13 +169,13 @@ def search_shard(frame: pd.DataFrame, window: int) -> pd.DataFrame:
 def _settle(rows: DataFrame, window: int, anchor: int, steps: tuple[int, ...], hot: int, name: str) -> list[DataFrame]:
     """Interval tables (key, start, stop) of stored piece rows."""
     reps = rows.groupBy("anchor", "h1", "h2").agg(F.min(F.struct("key", "first")).alias("rep"))
-    reps = kept(reps)
+    reps = stored(reps, "substring-dedup")
     least = reps.select("anchor", "h1", "h2", F.col("rep.key").alias("least"))
     whole = rows.select("anchor", "h1", "h2", "key", "first", "n").join(least, ["anchor", "h1", "h2"]).where("key > least")
     out = [whole.select("key", F.col("first").alias("start"), (F.col("first") + F.col("n")).alias("stop"))]
     kinds = reps.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
     several = reps.join(kinds, "anchor").select("anchor", "h1", "h2", F.col("rep.key").alias("key"), F.col("rep.first").alias("first"), "kinds")
-    several = kept(rows.join(several, ["anchor", "h1", "h2", "key", "first"]).dropDuplicates(["anchor", "h1", "h2"]))
+    several = stored(rows.join(several, ["anchor", "h1", "h2", "key", "first"]).dropDuplicates(["anchor", "h1", "h2"]), "substring-dedup")
     sums = several.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("words"), F.coalesce(F.max("kinds"), F.lit(0)).alias("most")).first()
     plain = several.where(F.col("kinds") <= hot) if steps else several
     if sums["words"]:
@@ -185,23 +185,23 @@ def _settle(rows: DataFrame, window: int, anchor: int, steps: tuple[int, ...], h
         out.append(sharded.groupBy("shard").applyInPandas(search, "key bigint, start bigint, stop bigint"))
     if steps and sums["most"] > hot:
         finer = several.where(F.col("kinds") > hot).drop("kinds").mapInArrow(_split(window, anchor, steps[0]), _PIECE)
-        out += _settle(kept(finer), window, anchor, steps[1:], hot, f"{name}x")
+        out += _settle(stored(finer, "substring-dedup"), window, anchor, steps[1:], hot, f"{name}x")
     return out
 
 
 def repeated_intervals(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 50, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
     """Rows (key, start, stop): word ranges of documents whose windows also start in a document of smaller key."""
     held = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    seen = kept(held.mapInArrow(_anchors(window, anchor), "anchor bigint, key bigint"))
+    seen = stored(held.mapInArrow(_anchors(window, anchor), "anchor bigint, key bigint"), "substring-dedup")
     both = seen.groupBy("anchor").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("anchor")
-    shared = kept(seen.join(both, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors")))
+    shared = stored(seen.join(both, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors")), "substring-dedup")
     listed = shared.agg(F.coalesce(F.sum(F.size("anchors")), F.lit(0))).first()[0]
     rows = held.where("key is not null").join(small(shared, listed, 2_000_000), "key").mapInArrow(_pieces(window, anchor), _PIECE)
-    tables = _settle(kept(rows), window, anchor, RANGES, hot, "sub")
+    tables = _settle(stored(rows, "substring-dedup"), window, anchor, RANGES, hot, "sub")
     out = tables[0]
     for t in tables[1:]:
         out = out.union(t)
-    return kept(out)
+    return stored(out, "substring-dedup")
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
