@@ -37,6 +37,8 @@ from .textscan import mix, ragged, slices
 ORDER, SYMBOL_BITS = 4, 14
 TRAIN_DOCS, CALIBRATION_DOCS = 500, 150
 REJECT_Z = 10.0
+#: The least deviation of one symbol: a calm calibration sample must not turn clean documents away.
+LEAST_SPREAD = 1.2
 SLICE = 1 << 20
 UNKNOWN = "und"
 
@@ -278,7 +280,7 @@ def calibrate(model: Model, langs: list[str], n: np.ndarray, h: np.ndarray) -> N
         if mine.sum() >= 8:
             model.mean[j] = np.median(h[mine, j])
             # a floor on the length keeps single odd words from being judged too sharply
-            model.spread[j] = max(float(np.sqrt(np.mean((h[mine, j] - model.mean[j]) ** 2 * np.minimum(n[mine], 400)))), 1e-6)
+            model.spread[j] = max(float(np.sqrt(np.mean((h[mine, j] - model.mean[j]) ** 2 * np.minimum(n[mine], 400)))), LEAST_SPREAD)
 
 
 def _predict(model) -> object:
