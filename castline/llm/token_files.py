@@ -36,6 +36,8 @@ from .shared import stored
 from .textscan import Words, ragged, slices, span_hash
 
 BLOCK, CHUNK_IDS, BUCKET_ROWS = 1 << 16, 1 << 20, 4096
+#: Buckets are shuffle partitions and rows of the broadcast index; past this number they hold more rows, streamed chunk by chunk.
+BUCKETS_MOST = 20_000
 #: Distinct pieces an encoder remembers before it starts afresh.
 KNOWN = 2_500_000
 _LEADS = np.zeros(256, bool)
@@ -265,14 +267,11 @@ def _write(path: str, end: int, block: int, bits: bool) -> object:
 
 def write_ids(docs: DataFrame, path: str, end: int = 2, key: str = "doc_id", text: str = "text", block: int = BLOCK, bits: bool = False) -> DataFrame:
     """Writes the chunk files of docs in the shared folder and returns them as a table of chunks."""
-    n = docs.count()
-    buckets = max(1, -(-n // BUCKET_ROWS))
-    cuts = sorted(set(docs.agg(F.percentile_approx(F.col(key).cast("long"), [i / buckets for i in range(1, buckets)], 100 * buckets).alias("c")).first()["c"] or [])) if buckets > 1 else []
-    # the place of a key among the cuts, as a search over a constant array
+    buckets = min(BUCKETS_MOST, max(1, -(-docs.count() // BUCKET_ROWS)))
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    table = F.array(*[F.lit(c) for c in cuts]) if cuts else None
-    bucket = F.coalesce(F.aggregate(table, F.lit(0), lambda acc, c: acc + (F.col("key") > c).cast("int")), F.lit(-1)) if cuts else F.lit(0)
-    placed = rows.withColumn("bucket", bucket).repartition(buckets, "bucket").sortWithinPartitions("bucket", F.col("key").asc_nulls_first(), F.xxhash64("text"))
+    order = F.col("key").asc_nulls_first()
+    # a bucket is a range of keys, numbered in their order
+    placed = rows.repartitionByRange(buckets, order).sortWithinPartitions(order, F.xxhash64("text")).withColumn("bucket", F.spark_partition_id())
     return stored(placed.mapInArrow(_write(path, end, block, bits), _CHUNK), "token-ids")
 
 
