@@ -6,12 +6,13 @@
    more documents share can repeat; consecutive windows with one anchor are
    one piece.  Pieces are routed by anchor, not documents by shard, so no
    document streams past more than the shards that can hold a match.
-2. Folding.  Equal pieces fold to their smallest document; all other holders
-   lose the piece whole.
+2. Folding.  Equal pieces fold to their smallest document, with the list of
+   its places there; all other holders lose the piece whole.
 3. Shards.  Different pieces with a common anchor go to that anchor's shard.
    A shard builds an FM-index (BWT in a wavelet matrix) of its pieces and
    streams them through backward search: the matching statistics against
-   smaller documents give the intervals of ``window`` words or more.
+   smaller documents give the intervals of ``window`` words or more, which
+   hold at every place of the piece in its document.
    An anchor with more than ``HOT`` different pieces is split by the words that
    all windows of a range of offsets have in common, twice if needed, down to
    single windows; equal sub-pieces fold again, so no shard grows with it.
@@ -156,35 +157,35 @@ def _split(window: int, anchor: int, step: int) -> object:
 
 
 def search_shard(frame: pd.DataFrame, window: int) -> pd.DataFrame:
-    """Intervals of a shard's pieces (key, first, words) that smaller keys hold, in words of the document."""
+    """Intervals of a shard's pieces (key, firsts, words) that smaller keys hold, in words of the document, at each of the piece's places."""
     words = Words(pa.array([bytes(w).decode() for w in frame["words"]], pa.string()))
     ids = np.unique(words.hash, return_inverse=True)[1].astype(np.int64) + 1
     pieces = [ids[a:b] for a, b in zip(words.first, words.stop, strict=True)]
     owner = frame["key"].to_numpy(np.int64)
-    first = frame["first"].to_numpy(np.int64)
+    firsts = frame["firsts"].tolist()
     found = FMIndex(pieces, owner).earlier_matches(pieces, owner, window)
-    return pd.DataFrame([(owner[i], first[i] + s, first[i] + e) for i, s, e in found], columns=["key", "start", "stop"]).astype("int64")
+    return pd.DataFrame([(owner[i], f + s, f + e) for i, s, e in found for f in firsts[i]], columns=["key", "start", "stop"]).astype("int64")
 
 
 def _settle(rows: DataFrame, window: int, anchor: int, steps: tuple[int, ...], hot: int, name: str) -> list[DataFrame]:
     """Interval tables (key, start, stop) of stored piece rows."""
-    reps = rows.groupBy("anchor", "h1", "h2").agg(F.min(F.struct("key", "first")).alias("rep"))
-    reps = stored(reps, "substring-dedup")
-    least = reps.select("anchor", "h1", "h2", F.col("rep.key").alias("least"))
+    least = stored(rows.groupBy("anchor", "h1", "h2").agg(F.min("key").alias("least")), "substring-dedup")
     whole = rows.select("anchor", "h1", "h2", "key", "first", "n").join(least, ["anchor", "h1", "h2"]).where("key > least")
     out = [whole.select("key", F.col("first").alias("start"), (F.col("first") + F.col("n")).alias("stop"))]
-    kinds = reps.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    several = reps.join(kinds, "anchor").select("anchor", "h1", "h2", F.col("rep.key").alias("key"), F.col("rep.first").alias("first"), "kinds")
-    several = stored(rows.join(several, ["anchor", "h1", "h2", "key", "first"]).dropDuplicates(["anchor", "h1", "h2"]), "substring-dedup")
+    kinds = least.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    several = least.join(kinds, "anchor").withColumnRenamed("least", "key")
+    # a document may hold a piece at several places
+    held = rows.join(several, ["anchor", "h1", "h2", "key"]).groupBy("anchor", "h1", "h2", "key")
+    several = stored(held.agg(F.collect_set("first").alias("firsts"), *[F.first(c).alias(c) for c in ("n", "at", "words", "kinds")]), "substring-dedup")
     sums = several.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("words"), F.coalesce(F.max("kinds"), F.lit(0)).alias("most")).first()
     plain = several.where(F.col("kinds") <= hot) if steps else several
     if sums["words"]:
         shards = max(1, sums["words"] // SHARD_WORDS + 1)
-        sharded = plain.select("key", "first", "words", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
+        sharded = plain.select("key", "firsts", "words", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
         search = lambda frame: search_shard(frame, window)
         out.append(sharded.groupBy("shard").applyInPandas(search, "key bigint, start bigint, stop bigint"))
     if steps and sums["most"] > hot:
-        finer = several.where(F.col("kinds") > hot).drop("kinds").mapInArrow(_split(window, anchor, steps[0]), _PIECE)
+        finer = several.where(F.col("kinds") > hot).select("anchor", "h1", "h2", "key", F.explode("firsts").alias("first"), "n", "at", "words").mapInArrow(_split(window, anchor, steps[0]), _PIECE)
         out += _settle(stored(finer, "substring-dedup"), window, anchor, steps[1:], hot, f"{name}x")
     return out
 

@@ -82,6 +82,16 @@ def test_substring_dedup_of_repetitive_texts(spark):
     assert {i: (r["n_words"], r["n_removed"], r["kept"]) for i, r in got.items()} == brute_substring(rows, 20)
 
 
+@pytest.mark.parametrize("hot", [1024, 1])
+def test_substring_dedup_inside_one_document(spark, hot):
+    passage = " ".join(f"w{i}" for i in range(26))
+    rows = [(3, f"a b c {passage} d e f", "en", "s", 0), (5, " ".join([f"u v {passage} x y"] * 10), "en", "s", 0), (6, f"u v {passage} x y", "en", "s", 0)]
+    got = by_id(substring_dedup.drop_repeated_substrings(spark.createDataFrame(rows, SCHEMA), window=20, anchor=5, hot=hot))
+    want = brute_substring(rows, 20)
+    assert want[5][1] == 260
+    assert {i: (r["n_words"], r["n_removed"], r["kept"]) for i, r in got.items()} == want
+
+
 def test_fm_index_counts_and_owners():
     rng = np.random.RandomState(0)
     pieces = [rng.randint(1, 4, rng.randint(5, 30)) for _ in range(20)]
