@@ -4,11 +4,15 @@ A text becomes template tokens: white-space words without punctuation at their
 ends, lower-cased, where numbers, units after numbers, and capitalised words
 inside a sentence are typed placeholders.  Windows of ``WINDOW`` template tokens
 of documents and benchmark items are hash-joined, so a question with other
-numbers and names still meets its original.  Matches of a document with an
+numbers and names still meets its original.  A name is told by its case, so two
+more kinds of windows join them: folded ones, where names are words in folded
+case, meet passages whose case was changed, and opening ones, where a capitalised
+first token is a name though it begins a sentence, meet an item's first token
+anywhere.  Matches of a document with an
 item that lie on one diagonal are then checked for slots: a slot value of the
 item must stand for one value of the document and the other way round, but for
 a share of ``CONFLICTS`` at most.  A pair counts if its consistent windows cover
-``COVER`` tokens.
+``COVER`` tokens, those of typed windows alone or those of all kinds.
 
 Document windows pass a Bloom filter of the item windows, of fixed size, in the
 scan; only its hits are shuffled to the join.
@@ -25,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,28 +66,47 @@ def _lowered(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def _trimmed(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indices of the words that are more than punctuation, their starts and ends without it."""
+    data, start, end = w.data, w.start.copy(), w.end.copy()
+    while True:
+        cut = (start < end) & _PUNCT[data[np.minimum(start, max(len(data) - 1, 0))]] if len(start) else np.zeros(0, bool)
+        if not cut.any():
+            break
+        start += cut
+    while True:
+        cut = (start < end) & _PUNCT[data[end - 1]] if len(start) else np.zeros(0, bool)
+        if not cut.any():
+            break
+        end -= cut
+    keep = np.flatnonzero(start < end)
+    return keep, start[keep], end[keep]
+
+
+def _folded(texts: pa.Array) -> pa.Array:
+    """Texts without case; ASCII spaces and punctuation stay."""
+    lower = pc.utf8_lower(texts)
+    for one, other in (("ß", "ss"), ("ς", "σ")):
+        lower = pc.replace_substring(lower, one, other)
+    return lower
+
+
+#: Kinds of windows.
+TYPED, FOLDED, OPENING = 0, 1, 2
+
+
 class Template:
-    """Template tokens of a slice: word index, row, hash, whether it is a slot."""
+    """Template tokens of a slice: word index, row, hash, whether it is a slot; hash and slot in folded case; whether it may open with a name."""
 
     def __init__(self, texts: pa.Array):
         w = self.words = Words(texts)
         data = w.data
-        start, end = w.start.copy(), w.end.copy()
-        while True:
-            cut = (start < end) & _PUNCT[data[np.minimum(start, max(len(data) - 1, 0))]] if len(start) else np.zeros(0, bool)
-            if not cut.any():
-                break
-            start += cut
-        while True:
-            cut = (start < end) & _PUNCT[data[end - 1]] if len(start) else np.zeros(0, bool)
-            if not cut.any():
-                break
-            end -= cut
-        keep = np.flatnonzero(start < end)
-        self.start, self.end, self.row = start[keep], end[keep], w.row[keep]
+        keep, self.start, self.end = _trimmed(w)
+        self.row = w.row[keep]
         self.lower = _lowered(data)
         if not len(keep):
-            self.hash, self.slot = np.zeros(0, np.uint64), np.zeros(0, bool)
+            self.hash = self.plain = np.zeros(0, np.uint64)
+            self.slot = self.typed = self.opens = np.zeros(0, bool)
             return
         count = lambda mask: np.concatenate([[0], np.cumsum(mask)])
         digits, numeric, breaks = count(_DIGIT[data]), count(_NUMERIC[data]), count(data == 10)
@@ -97,40 +121,62 @@ class Template:
         h = span_hash(self.lower, self.start, self.end)
         at = np.minimum(np.searchsorted(_UNIT_HASHES, h), len(_UNIT_HASHES) - 1)
         unit = (_UNIT_HASHES[at] == h) & np.append(False, number[:-1] & (self.row[1:] == self.row[:-1]))
-        h = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, h)))
-        self.hash, self.slot = h, number | unit | name
-
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """First tokens and hashes of the windows that stay in a row and have enough literal tokens."""
-        h = runs_hash(self.hash, size)
-        if not len(h):
-            return np.zeros(0, np.int64), h
-        slots = np.concatenate([[0], np.cumsum(self.slot)])
-        good = (self.row[: len(h)] == self.row[size - 1 :]) & (slots[size:] - slots[:-size] <= size - LITERALS)
-        at = np.flatnonzero(good)
-        return at, h[at]
+        plain = h
+        # beyond Latin capitals, or with a sharp s, folding moves the words
+        if (data >= 0xC4).any() or ((data[:-1] == 0xC3) & (data[1:] == 0x9F)).any():
+            moved = Words(_folded(texts))
+            plain = span_hash(moved.data, *_trimmed(moved)[1:])
+        typed = lambda h: np.where(number, NUMBER, np.where(unit, UNIT, h))
+        self.hash, self.slot = typed(np.where(name, NAME, h)), number | unit | name
+        self.plain, self.typed = typed(plain), number | unit
+        self.opens = capital & begins[keep] & (size > 1) & ~self.typed
+
+    def windows(self, size: int, item: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First tokens, hashes and kinds of the windows that stay in a row and have enough literal tokens.
+
+        Folded windows that equal their typed ones are left out; of an item only the first window opens.
+        """
+        n = len(self.hash) - size + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int8)
+        inside = self.row[:n] == self.row[size - 1 :]
+        held = lambda slot: np.convolve(slot, np.ones(size, np.int64), "valid")
+        slots = held(self.slot)
+        typed, folded = runs_hash(self.hash, size), runs_hash(self.plain, size)
+        opening = inside & self.opens[:n] & (slots + 1 <= size - LITERALS)
+        if item:
+            opening &= np.append(True, self.row[1:n] != self.row[: n - 1])
+        at = [np.flatnonzero(inside & (slots <= size - LITERALS)), np.flatnonzero(inside & (held(self.typed) <= size - LITERALS) & (typed != folded)), np.flatnonzero(opening)]
+        tokens = self.hash[at[OPENING][:, None] + np.arange(size)]
+        tokens[:, 0] = NAME
+        opened = runs_hash(tokens.ravel(), size)[::size] if len(tokens) else np.zeros(0, np.uint64)
+        return np.concatenate(at), np.concatenate([typed[at[TYPED]], folded[at[FOLDED]], opened]), np.repeat(np.arange(3, dtype=np.int8), [len(a) for a in at])
+
+    def slots(self, at: int, size: int, kind: int) -> list[bool]:
+        slots = (self.typed if kind == FOLDED else self.slot)[at : at + size].tolist()
+        return [True, *slots[1:]] if kind == OPENING else slots
 
     def surfaces(self, at: int, size: int) -> list[str]:
         return [self.lower[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(self.start[at : at + size].tolist(), self.end[at : at + size].tolist(), strict=True)]
 
 
-_ROWS = "hash bigint, key bigint, at int, words array<string>, slots array<boolean>"
+_ROWS = "hash bigint, key bigint, at int, words array<string>, slots array<boolean>, typed boolean"
 
 
 def _windows(size: int, bloom) -> object:
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             t = Template(part.column("text"))
-            at, h = t.windows(size)
+            at, h, kind = t.windows(size, item=bloom is None)
             if bloom is not None and len(h):
                 hit = np.unpackbits(bloom.value[_byte(h)][:, None], axis=1, bitorder="little")[np.arange(len(h)), (h & np.uint64(7)).astype(np.int64)] > 0
-                at, h = at[hit], h[hit]
+                at, h, kind = at[hit], h[hit], kind[hit]
             keys = part.column("key")
             row = t.row[at]
             first = np.searchsorted(t.row, row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), keys.take(pa.array(row)), pa.array((at - first).astype(np.int32)), pa.array([t.surfaces(int(a), size) for a in at], pa.list_(pa.string())), pa.array([t.slot[a : a + size].tolist() for a in at], pa.list_(pa.bool_()))],
-                ["hash", "key", "at", "words", "slots"],
+                [pa.array(h.view(np.int64)), keys.take(pa.array(row)), pa.array((at - first).astype(np.int32)), pa.array([t.surfaces(int(a), size) for a in at], pa.list_(pa.string())), pa.array([t.slots(int(a), size, k) for a, k in zip(at, kind, strict=True)], pa.list_(pa.bool_())), pa.array(kind == TYPED)],
+                ["hash", "key", "at", "words", "slots", "typed"],
             )
 
     return windows
@@ -145,7 +191,7 @@ def _bloom(size: int) -> object:
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            _, h = Template(part.column("text")).windows(size)
+            _, h, _ = Template(part.column("text")).windows(size, item=True)
             cell = np.unique(_byte(h) * 8 + (h & np.uint64(7)).astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(cell)], ["cell"])
 
@@ -162,7 +208,7 @@ def judge(pairs: list[dict], size: int, cover: int, conflicts: float) -> tuple[i
         tokens: dict[int, tuple[str, str, bool]] = {}
         for p in found:
             for i, (d, q, s) in enumerate(zip(p["words"], p["item_words"], p["slots"], strict=True)):
-                tokens[p["item_at"] + i] = (q, d, s)
+                tokens[p["item_at"] + i] = (q, d, s or tokens.get(p["item_at"] + i, (q, d, s))[2])
         there: dict[str, str] = {}
         back: dict[str, str] = {}
         slots = wrong = 0
@@ -183,9 +229,13 @@ def _judged(size: int, cover: int, conflicts: float) -> object:
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                verdict = judge(row["pairs"], size, min(cover, row["item_tokens"]), conflicts)
-                if verdict:
-                    out.append((row["key"], row["item"], *verdict))
+                typed = [p for p in row["pairs"] if p["typed"]]
+                verdicts = [judge(typed, size, min(cover, row["typed_tokens"]), conflicts)] if typed else []
+                verdicts += [judge(row["pairs"], size, min(cover, row["item_tokens"]), conflicts)]
+                # the most tokens first, as among diagonals
+                best = max((v for v in verdicts if v), key=lambda v: (v[1], v[0], v[2], -v[3]), default=None)
+                if best:
+                    out.append((row["key"], row["item"], *best))
             columns = list(zip(*out, strict=True)) or [[]] * 6
             types = [pa.int64()] * 2 + [pa.int32()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["key", "item", "n_windows", "n_tokens", "n_slots", "n_conflicts"])
@@ -207,9 +257,9 @@ def contaminated(
     bits[cells] = True
     bloom = spark.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
     found = held.mapInArrow(_windows(window, bloom), _ROWS)
-    lengths = wanted.groupBy("key").agg((F.max("at") + window).alias("item_tokens")).withColumnRenamed("key", "item")
+    lengths = wanted.groupBy("key").agg((F.max("at") + window).alias("item_tokens"), (F.max(F.when(F.col("typed"), F.col("at"))) + window).alias("typed_tokens")).withColumnRenamed("key", "item")
     n = wanted.count()
-    right = wanted.select("hash", F.col("key").alias("item"), F.col("at").alias("item_at"), F.col("words").alias("item_words"))
-    pairs = found.join(small(right, n), "hash").groupBy("key", "item").agg(F.collect_set(F.struct("at", "item_at", "words", "item_words", "slots")).alias("pairs"))
-    judged = pairs.join(small(lengths, n), "item").select("key", "item", "item_tokens", "pairs").mapInArrow(_judged(window, cover, conflicts), _OUT)
+    right = wanted.select("hash", F.col("key").alias("item"), F.col("at").alias("item_at"), F.col("words").alias("item_words"), F.col("typed").alias("item_typed"))
+    pairs = found.join(small(right, n), "hash").groupBy("key", "item").agg(F.collect_set(F.struct("at", "item_at", "words", "item_words", "slots", (F.col("typed") & F.col("item_typed")).alias("typed"))).alias("pairs"))
+    judged = pairs.join(small(lengths, n), "item").select("key", "item", "item_tokens", "typed_tokens", "pairs").mapInArrow(_judged(window, cover, conflicts), _OUT)
     return judged.withColumnRenamed("key", key).withColumnRenamed("item", item)

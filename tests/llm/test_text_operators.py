@@ -366,6 +366,17 @@ def test_decontamination_catches_other_numbers_and_names(spark):
     assert not decontamination.contaminated(docs, bench.limit(0)).collect()
 
 
+def test_decontamination_of_changed_case_and_first_names(spark):
+    item = "Yesterday in the old market Anna bought 12 apples for 30 cents each while Peter sold 45 kg of plums to Anna and paid her 12 coins back"
+    opening = "Anna bought twelve apples for Peter at the old market"
+    street = "Der Gärtner fand in der großen Straße am Śluza einen Жёлтый Mantel und trug ihn weg"
+    texts = [item.upper(), "so " + item.lower() + " it was", item.upper().replace("12", "17"), "He heard that " + opening.replace("Anna", "Clara"), street.upper(), "Clara slept all day while Hugo read about Anna and Peter in the evening papers of that town"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (8, opening), (9, street)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, bench).collect()}
+    assert got == {(0, 7), (1, 7), (2, 7), (3, 8), (4, 9)}
+
+
 def test_empty_tables(spark, empty):
     import public_tokenizers
 
