@@ -30,11 +30,12 @@ rows; further columns are ignored, clashing names included.
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import small, stored
+from .shared import shared_dir, small, stored
 
 WEIGHTS = (5, 2, 1)
 #: Rows of a block at the least, and blocks of a source at the most.
@@ -109,12 +110,6 @@ def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     return chosen.withColumn("copies", F.when(F.col("size") > 0, F.col("passes") + F.col("extra")).otherwise(0).cast("int")).drop("passes", "rest", "extra")
 
 
-def mix_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """Rows (key, size, source_size, target, taken) for every row of docs: words the mix takes, repeats counted."""
-    chosen = plan(docs, key, text, source, **options)
-    return chosen.select(F.col("doc").alias(key), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
-
-
 def split_blocks(draws: DataFrame, shards: int, seed: int) -> DataFrame:
     """Deals block draws (source_key, block, copy) to shards; adds ``mix_shard``.
 
@@ -133,13 +128,37 @@ def split_blocks(draws: DataFrame, shards: int, seed: int) -> DataFrame:
     return nodes.withColumn("mix_shard", F.col("_low")).drop("_low", "_high", "_mid", "_go", "_rank", "_n")
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", shards: int = 8, seed: int = 29, **options) -> DataFrame:
-    """The mixed table: docs' columns plus (mix_shard, mix_order), each row as often as the mix takes it."""
-    chosen = stored(plan(docs, key, text, source, seed=seed, **options).where("copies > 0").select("doc", "source_key", "h", "block", "copies").distinct(), "mixing")
+def _placed(planned: DataFrame, shards: int, seed: int) -> DataFrame:
+    """Rows (doc, h, source_key, mix_shard, mix_order) of a plan, each as often as the mix takes it."""
+    chosen = stored(planned.where("copies > 0").select("doc", "source_key", "h", "block", "copies").distinct(), "mixing")
     counted = chosen.groupBy("source_key", "block").agg(F.max("copies").alias("copies"))
     draws = counted.select("source_key", "block", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     placed = stored(split_blocks(draws, shards, seed + 2), "mixing")
     rows = chosen.select("doc", "h", "source_key", "block", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).join(placed, ["source_key", "block", "copy"])
-    rows = rows.select(F.col("doc").alias("_doc"), F.col("h").alias("_h"), "mix_shard", F.xxhash64(F.lit(seed + 3), "h", "copy").alias("mix_order"))
+    return rows.select("doc", "h", "source_key", "mix_shard", F.xxhash64(F.lit(seed + 3), "h", "copy").alias("mix_order"))
+
+
+def mix_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", shards: int = 8, seed: int = 29, **options) -> DataFrame:
+    """Rows (key, size, source_size, target, taken, mix_shards) for every row of docs: words of its placed draws, repeats counted, and the draws' shards."""
+    planned = stored(plan(docs, key, text, source, seed=seed, **options), "mixing")
+    drawn = _placed(planned, shards, seed).groupBy(F.col("doc").alias("_doc"), F.col("h").alias("_h"), F.col("source_key").alias("_source"))
+    drawn = drawn.agg(F.count("*").alias("_draws"), F.array_join(F.sort_array(F.collect_list("mix_shard")), ",").alias("_shards"))
+    joined = planned.join(drawn, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("h") == F.col("_h")) & (F.col("source_key") == F.col("_source")), "left")
+    return joined.select(F.col("doc").alias(key), "size", "source_size", "target", (F.col("size") * F.coalesce("_draws", F.lit(0))).alias("taken"), F.coalesce("_shards", F.lit("")).alias("mix_shards"))
+
+
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", shards: int = 8, seed: int = 29, **options) -> DataFrame:
+    """The mixed table: docs' columns plus (mix_shard, mix_order), each row as often as the mix takes it."""
+    rows = _placed(plan(docs, key, text, source, seed=seed, **options), shards, seed)
+    rows = rows.select(F.col("doc").alias("_doc"), F.col("h").alias("_h"), "mix_shard", "mix_order")
     marked = docs.withColumn("_dh", F.xxhash64(F.lit(seed), F.col(key), F.xxhash64(F.col(text))))
     return marked.join(rows, marked[key].eqNullSafe(rows["_doc"]) & (marked["_dh"] == rows["_h"])).drop("_dh", "_doc", "_h")
+
+
+def written(mixed: DataFrame, name: str) -> DataFrame:
+    """Writes the mixed table by mix_shard, files in mix_order, and reads it back; ranges of mix_order are dealt to tasks."""
+    spark = mixed.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    dealt = mixed.repartition("mix_shard", F.shiftright("mix_order", 54))
+    dealt.sortWithinPartitions("mix_shard", "mix_order").write.partitionBy("mix_shard").parquet(path)
+    return spark.read.schema(mixed.schema).parquet(path).select(*[F.col(f"`{c}`") for c in mixed.columns])

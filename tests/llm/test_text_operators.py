@@ -250,6 +250,22 @@ def test_mixed_rows_and_tree(spark, docs):
     assert all(20 <= table[s, m] <= 65 for s in "0123" for m in range(6))
 
 
+def test_mix_plan_counts_the_placed_draws(docs):
+    shards = collections.defaultdict(list)
+    mixed = mixing.mix(docs)
+    for r in mixed.collect():
+        shards[r["doc_id"]].append(r["mix_shard"])
+    plan = mixing.mix_plan(docs).collect()
+    assert {r["doc_id"]: r["mix_shards"] for r in plan} == {r["doc_id"]: ",".join(map(str, sorted(shards[r["doc_id"]]))) for r in plan}
+    assert all(r["taken"] == r["size"] * len(shards[r["doc_id"]]) for r in plan)
+    table = mixing.written(mixed, "test-mixed")
+    assert table.columns == mixed.columns and table.count() == mixed.count()
+    files = collections.defaultdict(list)
+    for r in table.select("mix_shard", "mix_order", F.input_file_name().alias("f")).collect():
+        files[r["f"]].append((r["mix_shard"], r["mix_order"]))
+    assert all(f == sorted(f) and f"mix_shard={f[0][0]}/" in name for name, f in files.items())
+
+
 def test_language_id(docs, rows, empty):
     texts = {"aa": "abab baba aabb ", "xx": "xyxy yxyx xxyy ", "éé": "éèé èéè ééèè "}
     rng = random.Random(2)
