@@ -7,8 +7,9 @@ own words, the excess going to the others by weight.
 A source's documents are dealt into blocks by a hash of the document, so any
 block is a random part of its source.  A target of r times the source's words
 is floor(r) whole passes plus one pass over blocks in permuted order until the
-rest is met; the block at the edge goes in by documents, and a few top-up
-rounds take the largest documents that still fit.
+rest is met; the block at the edge goes in by documents.  Documents larger than
+the room left are passed over, and rounds over the others go on until no unused
+document fits.
 
 The block draws of all sources are then split among output shards by a tree:
 at each node the draws are put in a random order and the first half of the
@@ -29,6 +30,7 @@ rows; further columns are ignored, clashing names included.
 
 from __future__ import annotations
 
+import functools
 import math
 import uuid
 
@@ -84,7 +86,7 @@ def _narrow(docs: DataFrame, key: str, text: str, source: str, seed: int) -> Dat
     )
 
 
-def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", share: float = 1.5, most: float = 2.0, top_ups: int = 3, seed: int = 29) -> DataFrame:
+def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", share: float = 1.5, most: float = 2.0, seed: int = 29) -> DataFrame:
     """One row a document: (doc, source_key, size, h, block, source_size, target, copies)."""
     rows = stored(_narrow(docs, key, text, source, seed), "mixing")
     sizes = rows.groupBy("source", "source_key").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
@@ -93,20 +95,35 @@ def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     sources = goal.count()
     # the small side is broadcast within the bound, as one source may hold a third of the rows
     dealt = rows.drop("source").join(small(goal, sources), "source_key").withColumn("block", F.pmod("h", "blocks").cast("int"))
-    blocks = dealt.groupBy("source_key", "block").agg(F.sum("size").alias("block_size"), F.first("rest").alias("rest"))
+    # rows that repeat a document go in together
+    unit = F.sum("size").over(Window.partitionBy("source_key", "block", "h", "doc"))
+    dealt = stored(dealt.withColumn("unit", unit), "mixing")
     order = Window.partitionBy("source_key").orderBy(uniform(F.lit(seed + 1), F.col("source_key"), F.col("block")), "block")
-    filled = blocks.withColumn("_end", F.sum("block_size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    state = stored(filled.select("source_key", "block", F.when(F.col("_end") <= F.col("rest"), 1).when(F.col("_end") - F.col("block_size") < F.col("rest"), 2).otherwise(0).alias("fill"), (F.col("rest") - F.col("_end") + F.col("block_size")).alias("room")), "mixing")
-    dealt = dealt.join(small(state, state.count()), ["source_key", "block"])
-    edge = dealt.where("fill = 2").withColumn("_run", F.sum("size").over(Window.partitionBy("source_key", "block").orderBy("h", "doc").rowsBetween(Window.unboundedPreceding, 0)))
-    edge = edge.withColumn("extra", F.when((F.col("_run") <= F.col("room")) & (F.col("size") > 0), 1).otherwise(0)).drop("_run")
-    rest = dealt.where("fill <> 2").withColumn("extra", F.when((F.col("fill") == 1) & (F.col("size") > 0), 1).otherwise(0))
-    chosen = rest.unionByName(edge).select("doc", "source_key", "size", "h", "block", "source_size", "target", "passes", "rest", "extra")
-    for step in range(top_ups):
-        chosen = stored(chosen, "mixing")
-        left = chosen.groupBy("source_key").agg((F.first("rest") - F.sum(F.col("size") * F.col("extra"))).alias("_left"))
-        fits = chosen.where("extra = 0 and size > 0").join(small(left, sources), "source_key").where("size <= _left").groupBy("source_key").agg(F.max(F.struct("size", "h", "doc")).alias("_top"))
-        chosen = chosen.join(small(fits, sources), "source_key", "left").withColumn("extra", F.when((F.col("extra") == 0) & F.struct("size", "h", "doc").eqNullSafe(F.col("_top")), 1).otherwise(F.col("extra"))).drop("_top")
+    run = Window.partitionBy("source_key", "block").orderBy("h", "doc").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    columns = ["doc", "source_key", "h", "block", "size", "unit", "left", "room"]
+    pool = dealt.select("doc", "source_key", "h", "block", "size", "unit", F.col("rest").alias("left")).where("size > 0 and unit <= left")
+    picks = []
+    while True:
+        blocks = pool.groupBy("source_key", "block").agg(F.sum("size").alias("block_size"), F.first("left").alias("left"))
+        filled = blocks.withColumn("_end", F.sum("block_size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        state = stored(filled.select("source_key", "block", F.when(F.col("_end") <= F.col("left"), 1).when(F.col("_end") - F.col("block_size") < F.col("left"), 2).otherwise(0).alias("fill"), (F.col("left") - F.col("_end") + F.col("block_size")).alias("room")), "mixing")
+        n = state.count()
+        if not n:
+            break
+        ranged = pool.join(small(state, n), ["source_key", "block"])
+        edge = ranged.where("fill = 2").withColumn("_run", F.sum("size").over(run)).select(*columns, (F.col("_run") <= F.col("room")).alias("pick"))
+        marked = stored(ranged.where("fill <> 2").select(*columns, (F.col("fill") == 1).alias("pick")).union(edge).drop("room"), "mixing")
+        picks.append(marked.where("pick").select("source_key", "block", "h", "doc").distinct())
+        got = marked.where("pick").groupBy("source_key").agg(F.sum("size").alias("_got"))
+        # every source in the pool takes its first document at least
+        pool = marked.where("not pick").join(small(got, sources), "source_key").withColumn("left", F.col("left") - F.col("_got")).where("unit <= left").drop("pick", "_got")
+    if picks:
+        taken = functools.reduce(DataFrame.union, picks).select(F.col("source_key").alias("_source"), F.col("block").alias("_block"), F.col("h").alias("_h"), F.col("doc").alias("_doc"), F.lit(1).alias("_extra"))
+        same = (F.col("source_key") == F.col("_source")) & (F.col("block") == F.col("_block")) & (F.col("h") == F.col("_h")) & F.col("doc").eqNullSafe(F.col("_doc"))
+        dealt = dealt.join(taken, same, "left")
+    else:
+        dealt = dealt.withColumn("_extra", F.lit(0))
+    chosen = dealt.select("doc", "source_key", "size", "h", "block", "source_size", "target", "passes", "rest", F.coalesce("_extra", F.lit(0)).alias("extra"))
     return chosen.withColumn("copies", F.when(F.col("size") > 0, F.col("passes") + F.col("extra")).otherwise(0).cast("int")).drop("passes", "rest", "extra")
 
 

@@ -250,6 +250,14 @@ def test_mixed_rows_and_tree(spark, docs):
     assert all(20 <= table[s, m] <= 65 for s in "0123" for m in range(6))
 
 
+def test_mix_passes_over_documents_larger_than_the_room(spark):
+    rows = [(i, f"d{i} " + "x " * 99, "en", "s", 0) for i in range(200)] + [(200, "y " * 18000, "en", "s", 0)]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    for seed in (29, 30):
+        plan = mixing.mix_plan(frame, share=16050 / 38000, seed=seed).collect()
+        assert sum(r["taken"] for r in plan) == 16000
+
+
 def test_mix_plan_counts_the_placed_draws(docs):
     shards = collections.defaultdict(list)
     mixed = mixing.mix(docs)
