@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,18 +13,14 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where the session names none (tests)."""
+    """The folder in spark.checkpoint.dir; where a session names none, a local one for a local master (tests), else an error."""
     given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if jvm.isDefined():
-        return jvm.get().rsplit("/", 1)[0]
-    import tempfile
-
-    path = "file://" + tempfile.mkdtemp(prefix="castline-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if not given:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        given = "file://" + tempfile.mkdtemp(prefix="castline-")
+        spark.conf.set("spark.checkpoint.dir", given)
+    return given.rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -34,6 +31,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that ``stored`` wrote, once what was made of them is stored too."""
+    for table in tables:
+        jvm = table.sparkSession.sparkContext._jvm
+        for folder in {name.rpartition("/")[0] for name in table.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its counted rows are within the limit, else df."""
     return F.broadcast(df) if rows <= limit else df

@@ -25,6 +25,12 @@ _IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
+
+def is_space(data: np.ndarray) -> np.ndarray:
+    """Which bytes separate words."""
+    return _IS_SPACE[data]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     h = h ^ (h >> np.uint64(30))

@@ -12,7 +12,7 @@ import pytest
 from corpus import SCHEMA, documents, low, words
 from pyspark.sql import functions as F
 
-from castline.llm import ctw, decontamination, fm_index, jaccard, language_id, line_dedup, lm_scoring, mixing, sharding, substring_dedup, token_files
+from castline.llm import decontamination, fm_index, jaccard, language_id, line_dedup, lm_scoring, mixing, sharding, substring_dedup, token_files
 from castline.llm.textscan import Words, runs_hash, windows
 
 
@@ -306,50 +306,6 @@ def test_kneser_ney_sums_to_one():
         assert np.allclose(np.exp(logs).sum(0), 1, atol=1e-5)  # z stands for all unseen symbols
 
 
-def test_ctw_is_exact_where_no_context_is_left_out():
-    train, depth = [b"abab", b"abba", b"baab"], 2
-    pairs = [(b"\xff" * depth + t[:i], x) for t in train for i, x in enumerate(t + b"\xff")]
-    levels = []
-    for d in range(depth + 1):
-        keys = sorted({int.from_bytes(h[len(h) - d :], "big") for h, _ in pairs})
-        dense = np.zeros((len(keys), 256))
-        for h, x in pairs:
-            dense[keys.index(int.from_bytes(h[len(h) - d :], "big")), x] += 1
-        levels.append((np.array(keys, np.uint64), dense))
-    tree = ctw.build(levels)
-    for text in (b"ab", b"aabb"):
-        # one symbol at a time from the same counts is what a frozen model codes; seen contexts only
-        coded = b"\xff" * depth + text + b"\xff"
-        at = np.arange(depth, len(coded))
-        raw = np.frombuffer(coded, np.uint8)
-        where = tree.contexts([raw[at - j].astype(np.int64) for j in range(1, depth + 1)])
-        got = [float(tree.logs[c, b]) for c, b in zip(where, raw[at])]
-        for i, value in enumerate(got):
-            history, byte = coded[: depth + i], coded[depth + i]
-            if history[-depth:] in {h[-depth:] for h, _ in pairs}:
-                assert math.isclose(value, single(pairs, history, byte, depth), rel_tol=1e-4)
-    assert np.allclose((10.0 ** tree.logs.astype(float)).sum(1), 1, atol=1e-4)
-
-
-def single(pairs, history, byte, depth):
-    """log10 probability of one byte after the pairs, by the ratio of weighted block probabilities."""
-
-    def ln_pw(sub, node, d):
-        bits = [(x >> (7 - node[0])) & 1 for _, x in sub if x >> (8 - node[0]) == node[1]]
-        a, c = bits.count(0), bits.count(1)
-        kt = math.lgamma(a + 0.5) + math.lgamma(c + 0.5) - math.lgamma(a + c + 1) - math.log(math.pi) if bits else 0.0
-        if d == depth or not bits:
-            return kt
-        split = sum(ln_pw([(h, x) for h, x in sub if h[-d - 1] == o], node, d + 1) for o in {h[-d - 1] for h, _ in sub})
-        return np.logaddexp(kt, split) - math.log(2)
-
-    total = 0.0
-    for b in range(8):
-        node = (b, byte >> (8 - b))
-        total += ln_pw([*pairs, (history, byte)], node, 0) - ln_pw(pairs, node, 0)
-    return total / math.log(10)
-
-
 def test_lm_scoring_base_is_exact(docs, rows):
     held_out = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
     got = by_id(lm_scoring.score_texts(docs, F.pmod(lm_scoring.id_crc(F.col("doc_id")), F.lit(7)) == 2))
