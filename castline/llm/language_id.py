@@ -109,9 +109,12 @@ class HashTable:
     def of(keys: np.ndarray, values: np.ndarray) -> HashTable:
         h = mix(keys)
         order = np.argsort(h)
-        bits = max(4, int(len(keys) * 2).bit_length())
-        edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
-        return HashTable(np.append(h[order], np.uint64((1 << 64) - 1)), np.vstack([values[order], np.zeros((1, values.shape[1]))]).astype(np.float32), np.searchsorted(h[order], edges).astype(np.int32), 64 - bits)
+        h = h[order]
+        bits = max(4, int(len(keys)).bit_length())
+        ends = np.cumsum(np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits))
+        held = np.zeros((len(keys) + 1, values.shape[1]), np.float32)
+        held[:-1] = values[order]
+        return HashTable(np.append(h, np.uint64((1 << 64) - 1)), held, np.append(0, ends[:-1]).astype(np.int32), 64 - bits)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The row of each key, -1 if it has none."""

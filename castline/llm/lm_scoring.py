@@ -229,7 +229,8 @@ def _hot_scores(depth: int, least: int, often: int, upper) -> object:
             for shard, grams, counts in zip(*(batch.column(c).to_pylist() for c in ("shard", "grams", "counts")), strict=True):
                 keys = np.frombuffer(grams, np.int64)[np.frombuffer(counts, np.int64) >= often]
                 if len(keys):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(_settled(shard, grams, counts, depth, least, upper.value).score(keys))], ["k", "score"])
+                    logs = _settled(shard, grams, counts, depth, least, upper.value).score(keys).astype(np.float32)
+                    yield pa.RecordBatch.from_arrays([pa.array([keys.tobytes()]), pa.array([logs.tobytes()])], ["k", "score"])
 
     return scores
 
@@ -245,8 +246,10 @@ def frequent_grams(packed: DataFrame, counted: DataFrame, depth: int, least: int
         if total > hot:
             break
         often = math.ceil(2 ** (r["s"] / 4) - 1e-9)
-    frame = packed.select("shard", "grams", "counts").mapInArrow(_hot_scores(depth, least, often, upper), "k bigint, score double").toPandas()
-    return HashTable.of(frame["k"].to_numpy(np.int64).view(np.uint64), frame[["score"]].to_numpy(float))
+    # at most ``hot`` grams of 12 bytes, packed by bundle
+    found = packed.select("shard", "grams", "counts").mapInArrow(_hot_scores(depth, least, often, upper), "k binary, score binary").toArrow()
+    keys, logs = (np.frombuffer(b"".join(found.column(c).to_pylist()), t) for c, t in (("k", np.uint64), ("score", np.float32)))
+    return HashTable.of(keys, logs[:, None])
 
 
 _SCORED = "word bigint, uid bigint, m int, train boolean, doc bigint, n_tokens bigint, n_known bigint, listed double, score double, shard bigint, n bigint, grams binary, docs binary"
