@@ -32,20 +32,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textscan import mix, ragged, slices
+from .textscan import mix, slices
 
 ORDER, SYMBOL_BITS = 4, 14
 TRAIN_DOCS, CALIBRATION_DOCS = 500, 150
 REJECT_Z = 10.0
 #: The least deviation of one symbol: a calm calibration sample must not turn clean documents away.
 LEAST_SPREAD = 1.2
-SLICE = 1 << 20
+SLICE, BLOCK = 1 << 18, 1 << 15
 UNKNOWN = "und"
 
 
 def _symbol_table() -> np.ndarray:
     """For each code point of the first plane its symbol, 0 if it is no letter."""
-    out = np.zeros(1 << 16, np.int64)
+    out = np.zeros(1 << 16, np.uint16)
     for cp in range(1 << 16):
         c = chr(cp)
         if c.isalpha():
@@ -67,25 +67,27 @@ def symbols(texts: pa.Array, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     if not _table:
         _table.append(_symbol_table())
     strings = [t + " " if t else " " for t in texts.to_pylist()]
-    cps = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.array([len(s) for s in strings], np.int64)
+    cps = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32)
+    del strings
     sym = _table[0][np.minimum(cps, 0xFFFF)]
     high = np.flatnonzero(cps > 0xFFFF)
     if len(high):
         found, inverse = np.unique(cps[high], return_inverse=True)
-        sym[high] = np.array([fold(int(c)) if chr(c).isalpha() else 0 for c in found], np.int64)[inverse]
-    letter = sym > 0
-    row = np.repeat(np.arange(len(lengths)), lengths)
-    before = np.zeros(len(sym), bool)
-    before[1:] = letter[:-1] & (row[1:] == row[:-1])
-    keep = letter | before
-    kept_row = row[keep]
-    per_row = np.bincount(kept_row, minlength=len(lengths))
-    start = np.cumsum(per_row + pad) - per_row
-    at = ragged(start, per_row)
-    stream = np.zeros(int(per_row.sum()) + pad * len(lengths), np.uint64)
+        sym[high] = np.array([fold(int(c)) if chr(c).isalpha() else 0 for c in found], np.uint16)[inverse]
+    del cps
+    keep = sym > 0
+    first = np.cumsum(lengths) - lengths
+    count = lambda mask: np.add.reduceat(mask, first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
+    letters = count(keep)
+    # the symbol after a letter closes its run; every row ends in one that is none
+    keep[1:] |= sym[:-1] > 0
+    per_row = count(keep)
+    row = np.repeat(np.arange(len(lengths), dtype=np.int32), per_row)
+    at = (np.arange(len(row), dtype=np.int64) + pad * (row + 1).astype(np.int64)).astype(np.int32 if len(row) < 1 << 30 else np.int64)
+    stream = np.zeros(len(row) + pad * len(lengths), np.uint16)
     stream[at] = sym[keep]
-    return stream, at, kept_row, np.bincount(row[letter], minlength=len(lengths))
+    return stream, at, row, letters
 
 
 def packed(stream: np.ndarray, at: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -162,8 +164,12 @@ class Model:
         """Nats per symbol of each row in each language, and the rows' numbers of symbols (0 without letters)."""
         stream, at, row, letters = symbols(texts, ORDER - 1)
         n = np.bincount(row, minlength=len(texts))
-        logs = self.symbol_logs(stream, at)
-        sums = np.stack([np.bincount(row, logs[:, j], len(texts)) for j in range(len(self.languages))], 1)
+        sums = np.zeros((len(texts), len(self.languages)))
+        for low in range(0, len(at), BLOCK):
+            here = row[low : low + BLOCK]
+            logs = self.symbol_logs(stream, at[low : low + BLOCK])
+            for j in range(len(self.languages)):
+                sums[here[0] : here[-1] + 1, j] += np.bincount(here - here[0], logs[:, j])
         return -sums / np.maximum(n, 1)[:, None], np.where(letters > 0, n, 0)
 
     def rejected(self, h: np.ndarray, n: np.ndarray) -> np.ndarray:

@@ -63,12 +63,15 @@ def components(edges: DataFrame, name: str, hops: int = 2) -> DataFrame:
         up = mine.select(F.col("node").alias("top"), F.col("best").alias("top_label"))
         return mine.join(up, F.col("best") == F.col("top"), "left").select("node", F.least("best", F.coalesce("top_label", "best")).alias("component"), "old")
 
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
+    labels, before = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), []
     for step in range(200):
         labels = labels.select("node", "component", F.col("component").alias("old"))
         for _ in range(hops):
             labels = hop(labels)
         labels = stored(labels, f"{name}-{step}")
+        dropped(*before)
+        before = [labels]
         if not labels.where("component <> old").limit(1).count():
+            dropped(both)
             return labels.select("node", "component")
     raise RuntimeError("components did not settle")

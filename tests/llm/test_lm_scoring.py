@@ -94,8 +94,9 @@ def test_log_gamma():
 
 def test_the_model_grows_with_the_corpus_and_beats_the_base(spark):
     rng = random.Random(3)
-    syllables = ["ber", "ta", "lo", "schi", "in", "ei", "mo", "ka"]
-    texts = [(i, " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(200))) for i in range(500)]
+    word = lambda: "".join(rng.choice(["ber", "ta", "lo", "schi", "in", "ei", "mo", "ka"]) for _ in range(3))
+    phrases = [" ".join(word() for _ in range(6)) for _ in range(40)]
+    texts = [(i, " ".join(rng.choice(phrases) for _ in range(20))) for i in range(500)]
     frame = spark.createDataFrame(texts, "doc_id long, text string")
     out = lm_scoring.score_texts(frame, F.pmod(lm_scoring.id_crc(F.col("doc_id")), F.lit(7)) == 2).where("held_out").collect()
     assert len(out) == sum(zlib.crc32(str(i).encode()) % 7 == 2 for i in range(500))
