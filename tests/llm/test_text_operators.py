@@ -176,6 +176,29 @@ def test_line_dedup(docs, rows, batches, fanout):
     assert {i: (r["n_lines"], r["n_dropped"], r["kept"]) for i, r in got.items()} == brute_lines(rows, 20, 5)
 
 
+def test_line_runs_compact_in_place(spark, rows):
+    runs = line_dedup.LineRuns(spark, fanout=2, buckets=4)
+    for low_ in (3, 2, 1, 0):
+        batch = spark.createDataFrame([(h, -h, 1, 10 * low_ + h % 7) for h in range(low_, 60, 3)], "h1 long, h2 long, n long, holder long")
+        runs.add(batch)
+    assert runs.merges == 3 and [len(level) for level in runs.levels] == [0, 0, 1]
+    two = [spark.table(runs.written(spark.createDataFrame([(h, h, 1, 1) for h in range(9)], "h1 long, h2 long, n long, holder long"))) for _ in range(2)]
+    plan = runs.merged(two)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    held = {r["h1"]: (r["n"], r["holder"]) for r in runs.all()[0].collect()}
+    for h in range(60):
+        found = [10 * low_ + h % 7 for low_ in (3, 2, 1, 0) if h >= low_ and (h - low_) % 3 == 0]
+        assert held[h] == (len(found), max(found))
+    runs.close()
+
+
+def test_line_dedup_of_many_lines_in_a_document(spark):
+    line = lambda i: f"line number {i} that many of the documents have in common"
+    rows = [(d, "\n".join([line(i) for i in range(150)] + [f"own {d}", line(3)]), "en", "s", 0) for d in range(6)] + [(7, "x", "en", "s", 0)]
+    got = by_id(line_dedup.drop_repeated_lines(spark.createDataFrame(rows + rows[:1], SCHEMA)))
+    assert {i: (r["n_lines"], r["n_dropped"], r["kept"]) for i, r in got.items()} == brute_lines(rows, 40, 5)
+
+
 def test_line_keys_fold_only_a_to_z(spark):
     rng = random.Random(4)
     lines = ["".join(rng.choice("aAéÉßẞǅx÷×ÿŸ日Ａａ ") for _ in range(4)) for _ in range(400)]
