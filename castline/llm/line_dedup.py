@@ -168,7 +168,7 @@ def drop_repeated_lines(
         key, n.alias("n_lines"), F.coalesce(n - F.size("kept_lines"), F.lit(0)).cast("long").alias("n_dropped"),
         F.when(F.col("drop").isNull(), F.col("body")).otherwise(F.array_join("kept_lines", "\n")).alias("kept"),
     )
-    placed = joined.where(f"n > {FEW}").select(key, "doc", F.monotonically_increasing_id().alias("row"), F.posexplode("lines").alias("at", "line"))
+    placed = joined.where(f"n > {FEW}").withColumn("row", F.monotonically_increasing_id()).select(key, "doc", "row", F.posexplode("lines").alias("at", "line"))
     placed = placed.withColumn("h", key_hash(line_key(F.col("line")))).select(key, "doc", "row", "at", "line", "h.h1", "h.h2")
     judged = placed.join(gone.withColumn("drops", F.lit(True)), ["doc", "h1", "h2"], "left").groupBy("row", key)
     stay = F.sort_array(F.collect_list(F.when(F.col("drops").isNull(), F.struct("at", "line"))))
