@@ -172,10 +172,14 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     return marked.join(rows, marked[key].eqNullSafe(rows["_doc"]) & (marked["_dh"] == rows["_h"])).drop("_dh", "_doc", "_h")
 
 
+def ordered(mixed: DataFrame) -> DataFrame:
+    """The mixed table dealt by mix_shard and ranges of mix_order and sorted by them: files written of it hold rows in mixed order."""
+    return mixed.repartition("mix_shard", F.shiftright("mix_order", 54)).sortWithinPartitions("mix_shard", "mix_order")
+
+
 def written(mixed: DataFrame, name: str) -> DataFrame:
-    """Writes the mixed table by mix_shard, files in mix_order, and reads it back; ranges of mix_order are dealt to tasks."""
+    """Writes the mixed table by mix_shard, files in mix_order, and reads it back."""
     spark = mixed.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    dealt = mixed.repartition("mix_shard", F.shiftright("mix_order", 54))
-    dealt.sortWithinPartitions("mix_shard", "mix_order").write.partitionBy("mix_shard").parquet(path)
+    ordered(mixed).write.partitionBy("mix_shard").parquet(path)
     return spark.read.schema(mixed.schema).parquet(path).select(*[F.col(f"`{c}`") for c in mixed.columns])
