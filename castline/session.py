@@ -9,11 +9,15 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Rows of a batch sent to Python, in place of Spark's default of 10,000: rows of text are some kilobytes each.
+BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000")
 
 
 def ship_package(spark: SparkSession) -> SparkSession:
-    """Makes this package importable in Python workers, once an application."""
+    """Makes this package importable in Python workers, once an application, and bounds the batches they get."""
     context = spark.sparkContext
+    if spark.conf.get(BATCH[0]) == BATCH[1]:
+        spark.conf.set(BATCH[0], BATCH[2])
     if context.applicationId not in _shipped:
         top = os.path.dirname(os.path.abspath(__file__))
         path = os.path.join(tempfile.mkdtemp(prefix="castline-"), "castline.zip")
