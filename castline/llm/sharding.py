@@ -64,6 +64,12 @@ def shard_records(
 
 
 def with_shard(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text", weights: list[float] | None = None, overhead: int = 8, seed: int = 17) -> DataFrame:
-    """docs with (shard, shard_size) added; no shuffle, every other column stays."""
+    """docs with (shard, shard_size) added; no shuffle, every other column stays.
+
+    A column of docs that has one of the two names already is not overwritten: the added one gets the first free name of
+    ``shard_2``, ``shard_3``, ... (``shard_size_2``, ...), and the caller finds it among the new columns.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
-    return docs.withColumn("shard", rendezvous(F.col(key), weights or [1.0] * shards, seed)).withColumn("shard_size", F.octet_length(body).cast("long") + F.lit(overhead))
+    taken = {c.lower() for c in docs.columns}
+    free = lambda name: next(c for c in (name, *(f"{name}_{i}" for i in range(2, len(taken) + 3))) if c not in taken)
+    return docs.withColumn(free("shard"), rendezvous(F.col(key), weights or [1.0] * shards, seed)).withColumn(free("shard_size"), F.octet_length(body).cast("long") + F.lit(overhead))

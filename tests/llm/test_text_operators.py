@@ -222,6 +222,24 @@ def test_sharding(docs, rows):
         assert slots == list(range(len(slots)))
 
 
+def brute_shard(weights, key, spark, seed=17):
+    """The shard of the largest -w / ln(u), from hashes taken one by one."""
+    scores = []
+    for i, w in enumerate(weights):
+        h = spark.sql(f"select xxhash64('{seed}:{i}', '{key}') as h").first()["h"] % (1 << 64)
+        scores.append((-w / math.log(((h >> 11) + 0.5) / (1 << 53)), -i))
+    return -max(scores)[1]
+
+
+def test_shards_equal_brute_force_scores(spark):
+    frame = spark.createDataFrame([(i, f"t{i}", "mine") for i in range(12)], "doc_id long, text string, shard string")
+    weights = [1.0, 2.0, 0.5]
+    out = sharding.with_shard(frame, 3, weights=weights)
+    assert out.columns == ["doc_id", "text", "shard", "shard_2", "shard_size"]
+    for r in out.collect():
+        assert r["shard"] == "mine" and r["shard_2"] == brute_shard(weights, r["doc_id"], spark)
+
+
 def test_rendezvous_follows_weights_and_growth(spark):
     ids = spark.range(20000)
     counts = {r["s"]: r["count"] for r in ids.select(sharding.rendezvous(F.col("id"), [1.0, 2.0, 5.0]).alias("s")).groupBy("s").count().collect()}
