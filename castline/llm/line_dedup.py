@@ -159,8 +159,8 @@ def drop_repeated_lines(
     hits = stored(gone.groupBy("doc").agg(F.count("*").alias("n"), F.when(F.count("*") <= FEW, F.collect_list(F.struct("h1", "h2"))).alias("drop")), "line-dedup")
     dropped(lines, often, met)
     held = docs.select(F.col(key), _doc(key).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    # the hits grow with the corpus: texts are joined to them, not they broadcast
-    joined = held.join(hits, "doc", "left").withColumn("lines", F.split("body", "\n"))
+    # the hits grow with the corpus: texts are joined to them, at every size
+    joined = held.join(hits.hint("merge"), "doc", "left").withColumn("lines", F.split("body", "\n"))
     stays = lambda line: (F.length(line_key(line)) < min_length) | ~F.array_contains(F.col("drop"), key_hash(line_key(line)))
     out = joined.where(f"coalesce(n, 0) <= {FEW}").withColumn("kept_lines", F.when(F.col("drop").isNotNull(), F.filter("lines", stays)))
     n = F.size("lines").cast("long")
