@@ -1,3 +1,3 @@
 """Queries over the star schema and the logs."""
 
-from . import audits, catalog, inference, ingest, matching, plans, records, reports, weights  # noqa: F401
+from . import audits, catalog, inference, ingest, matching, plans, records, reports, scopes, weights  # noqa: F401

@@ -6,6 +6,7 @@ import io
 import xml.etree.ElementTree as ET
 import zipfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
@@ -38,11 +39,13 @@ def require_counts(df: DataFrame, expected: dict[str, int], by: str) -> DataFram
 
 
 def read_release(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """Lines (file, line, text) of the files a manifest (file, sha256, lines) lists; a file that differs fails the read."""
+    """Lines (file, line, text) of the files a manifest (file, sha256, lines) lists; one of other bytes or another number of lines fails the read."""
     name = F.element_at(F.split("path", "/"), -1)
     files = spark.read.format("binaryFile").load(folder).select(name.alias("file"), F.sha2("content", 256).alias("found"), F.decode("content", "UTF-8").alias("body"))
     checked = manifest.join(files, "file", "left").withColumn("ok", F.when(F.col("found").eqNullSafe(F.col("sha256")), True).otherwise(F.raise_error(F.concat(F.lit("release file differs: "), F.col("file"))).cast("boolean")))
-    lines = checked.where("ok").select("file", "lines", F.posexplode(F.split(F.regexp_replace("body", "\n$", ""), "\n")).alias("i", "text"))
+    body = checked.where("ok").withColumn("held", F.split(F.regexp_replace("body", "\n$", ""), "\n"))
+    counted = F.when(F.size("held") == F.col("lines"), F.col("held")).otherwise(F.raise_error(F.concat(F.lit("line count differs: "), F.col("file"))).cast("array<string>"))
+    lines = body.select("file", F.posexplode(counted).alias("i", "text"))
     return lines.select("file", (F.col("i") + 1).alias("line"), "text")
 
 
@@ -82,17 +85,22 @@ def write_lines(df: DataFrame, path: str, group: str, line: str, order: str, mos
 
 
 def write_if_changed(df: DataFrame, path: str, keys: list[str]) -> bool:
-    """Writes df as Parquet unless the same rows are there; a different content under the path is an error."""
-    spark = df.sparkSession
-    digest = lambda x: x.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*sorted(df.columns))).alias("h"), F.sum(F.xxhash64(*keys).cast("decimal(38,0)")).alias("s")).first()
+    """Writes df as Parquet unless the same rows, each as often, are there; a different content under the path is an error.
+
+    Rows are told apart by sums of two hashes over all columns, which repeated rows cannot cancel; ``keys`` must be among the columns.
+    """
+    spark, columns = df.sparkSession, sorted(df.columns)
+    if not set(keys) <= set(columns):
+        raise ValueError(f"keys {keys} are not all columns")
+    total = lambda salt: F.sum(F.xxhash64(F.lit(salt), *[F.struct(c) for c in columns]).cast("decimal(38,0)"))
+    digest = lambda x: x.agg(F.count("*").alias("n"), total(1).alias("a"), total(2).alias("b")).first()
     try:
         there = spark.read.parquet(path)
-        there.schema  # noqa: B018
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        df.write.parquet(path)
+        df.write.mode("errorifexists").parquet(path)
         return True
-    if sorted(there.columns) != sorted(df.columns) or digest(there) != digest(df):
+    if sorted(there.columns) != columns or digest(there) != digest(df):
         raise ValueError(f"{path} holds other rows")
     return False

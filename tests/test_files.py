@@ -27,6 +27,9 @@ def test_release_lines_and_hashes(spark, tmp_path):
     good = hashlib.sha256(b"a\nb\n").hexdigest()
     manifest = spark.createDataFrame([("one.txt", good, 2)], "file string, sha256 string, lines int")
     assert sorted(tuple(r) for r in files.read_release(spark, str(folder), manifest).collect()) == [("one.txt", 1, "a"), ("one.txt", 2, "b")]
+    short = spark.createDataFrame([("one.txt", good, 99)], "file string, sha256 string, lines int")
+    with pytest.raises(Exception, match="line count differs"):
+        files.read_release(spark, str(folder), short).collect()
     wrong = spark.createDataFrame([("one.txt", "0", 2)], "file string, sha256 string, lines int")
     with pytest.raises(Exception, match="release file differs"):
         files.read_release(spark, str(folder), wrong).collect()
@@ -52,6 +55,13 @@ def test_writers(spark, tmp_path):
         files.write_if_changed(rows.where("i = 1"), target, ["g", "i"])
 
 
+def test_repeated_rows_do_not_cancel(spark, tmp_path):
+    target = str(tmp_path / "twice")
+    assert files.write_if_changed(spark.createDataFrame([(1, "a")] * 2, "i int, l string"), target, ["i"])
+    with pytest.raises(ValueError, match="other rows"):
+        files.write_if_changed(spark.createDataFrame([(1, "b")] * 2, "i int, l string"), target, ["i"])
+
+
 def test_counts_gate(spark):
     rows = spark.createDataFrame([("a",), ("a",), ("b",)], "k string")
     assert files.require_counts(rows, {"a": 2, "b": 1}, "k").count() == 3
