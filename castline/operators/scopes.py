@@ -28,8 +28,8 @@ def inactive_bases(t: Tables) -> DataFrame:
     return by_status(t.base, "inactive").select("base_id", "name")
 
 
-@query("location_of_active_base", "SELECT l.location_id, l.name, b.name AS base FROM {location} l JOIN {base} b ON b.base_id = l.base_id WHERE l.location_id = 3 AND l.is_active AND b.is_active")
-def location_of_active_base(t: Tables, location_id: int = 3) -> DataFrame:
+@query("location_of_active_base", "SELECT l.location_id, l.name, b.name AS base FROM {location} l JOIN {base} b ON b.base_id = l.base_id WHERE l.location_id = 5 AND l.is_active AND b.is_active")
+def location_of_active_base(t: Tables, location_id: int = 5) -> DataFrame:
     """One active location if its base is active too; no row means not found."""
     bases = by_status(t.base, "active").select("base_id", F.col("name").alias("base"))
     return by_status(t.location, "active").where(F.col("location_id") == location_id).join(bases, "base_id").select("location_id", "name", "base")

@@ -120,9 +120,8 @@ SELECT s.digits, CAST(s.step AS BIGINT) AS step, count(*) AS n, count(*) FILTER
 def grid_steps(t: Tables) -> DataFrame:
     """Steps that could make the grid of maxima of a magnitude: the divisors two maxima share, with their support.
 
-    The greatest common divisors of pairs are found from multiples: a step is one
-    if it equals the divisor of two of its multiples, so no pair is built; each
-    magnitude's distinct maxima are few and meet in one pandas group.
+    A magnitude's distinct maxima are few, as rounded weights of at most ten digits
+    are, and meet in one pandas group, where every two of them are compared.
     """
 
     def steps(frame: pd.DataFrame) -> pd.DataFrame:

@@ -14,11 +14,12 @@ from ..plans.tables import Tables
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def event_stream(t: Tables, files_per_trigger: int = 1) -> DataFrame:
-    """New files of the event log as a stream with a watermark on the event time."""
+def event_stream(t: Tables, files_per_trigger: int = 1, lateness: str | None = "1 day") -> DataFrame:
+    """New files of the event log as a stream, with a watermark on the event time unless ``lateness`` is None."""
     path = f"{t.sf_dir}/events.parquet"
     rows = t.spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", "true").parquet(path)
-    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day")
+    rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    return rows.withWatermark("ts", lateness) if lateness else rows
 
 
 def shared_path(t: Tables, name: str) -> str:
@@ -57,16 +58,16 @@ def stream_maintained_counts(t: Tables) -> DataFrame:
     "SELECT time_bucket(INTERVAL '7 days', ts, TIMESTAMP '2023-12-31 19:00:00') AS week, event_type, count(*) AS n, max(event_id) AS last_event FROM events GROUP BY ALL",
 )
 def stream_weekly_windows(t: Tables) -> DataFrame:
-    """Tumbling record weeks over event time."""
-    counts = event_stream(t).groupBy(F.window("ts", "7 days", startTime=WEEK_START), "event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last_event"))
+    """Tumbling record weeks over event time; files may come in any order, as the state is a few rows a week and none is late."""
+    counts = event_stream(t, lateness=None).groupBy(F.window("ts", "7 days", startTime=WEEK_START), "event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last_event"))
     versions = run_once(t, counts.select(F.col("window.start").alias("week"), "event_type", "n", "last_event"), "update", "weeks")
     return versions.groupBy(F.col("week").cast("timestamp_ntz").alias("week"), "event_type").agg(F.max_by("n", "batch").alias("n"), F.max_by("last_event", "batch").alias("last_event"))
 
 
 @query("stream_distinct_events", "SELECT DISTINCT event_id, user_id, event_type FROM events")
 def stream_distinct_events(t: Tables) -> DataFrame:
-    """Events once each, however often they arrive within the watermark."""
-    once = event_stream(t).dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "user_id", "event_type")
+    """Events once each, however often they arrive; copies and files more than 400 days behind the newest event are late and dropped."""
+    once = event_stream(t, lateness="400 days").dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "user_id", "event_type")
     return run_once(t, once, "append", "distinct")
 
 
