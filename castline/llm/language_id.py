@@ -36,6 +36,8 @@ from .textscan import mix, slices
 
 ORDER, SYMBOL_BITS = 4, 14
 TRAIN_DOCS, CALIBRATION_DOCS = 500, 150
+#: Labelled documents under which a language is learned from all of them and never rejects.
+FEW_DOCS = 40
 REJECT_Z = 10.0
 #: The least deviation of one symbol: a calm calibration sample must not turn clean documents away.
 LEAST_SPREAD = 1.2
@@ -231,8 +233,10 @@ def _hash_sample(labelled: DataFrame, per_language: dict[str, int], size: int, s
     span = 0.75 if salt == 0 else 0.25
     keep = F.lit(False)
     for name, n in per_language.items():
-        keep = keep | ((F.col("lang") == name) & (u < low + span * min(1.0, size / n / span)))
-    return labelled.where((u >= low) & keep)
+        # a rare language is learned from all it has and not calibrated, so nothing predicted as it is rejected
+        mine = F.lit(salt == 0) if n < FEW_DOCS else (u >= low) & (u < low + span * min(1.0, size / n / span))
+        keep = keep | ((F.col("lang") == name) & mine)
+    return labelled.where(keep)
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

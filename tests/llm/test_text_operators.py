@@ -331,6 +331,16 @@ def test_language_id(docs, rows, empty):
     assert by_id(language_id.identify(docs, None, F.lit(True)))[0]["lang_pred"] == "und"
 
 
+def test_a_language_of_two_documents_is_learned(spark):
+    rng = random.Random(8)
+    text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(60))
+    sample = [(i, text("abcd"), "aa", "s", 0) for i in range(200)] + [(i, text("wxyz"), "ww", "s", 0) for i in (900, 901)]
+    model = language_id.train(spark.createDataFrame(sample, SCHEMA), F.lit(True))
+    shown = spark.createDataFrame([(1, text("abcd"), None, "s", 0), (2, text("wxyz"), None, "s", 0)], SCHEMA)
+    got = by_id(language_id.identify(shown, model, F.lit(True)))
+    assert (got[1]["lang_pred"], got[2]["lang_pred"]) == ("aa", "ww") and not got[1]["rejected"] and not got[2]["rejected"]
+
+
 def test_kneser_ney_sums_to_one():
     rng = random.Random(5)
     counts = {}
