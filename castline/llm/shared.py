@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only up to this many counted rows; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Spark's option to delete an execution's shuffle files when it ends, instead of when the driver collects its plan.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,10 +26,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back, which cuts the lineage."""
+    """Writes df as Parquet in the shared folder and reads it back, which cuts the lineage.
+
+    The table replaces what was shuffled to make it, so those files go with the
+    write; a loop of writes then holds the disk of one step, not of all.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

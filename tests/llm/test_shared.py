@@ -14,3 +14,11 @@ def test_cc(spark):
             if a!=b:
                 a,b=sorted((f(a),f(b))); p[b]=a
         assert got=={x:f(x) for x in p}
+
+
+def test_a_stored_table_leaves_no_shuffle_files_and_the_session_as_it_was(spark):
+    from castline.llm.shared import SHUFFLE_CLEANUP, stored
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    got = stored(spark.range(100).selectExpr("id % 7 AS k").groupBy("k").count(), "t")
+    assert spark.conf.get(SHUFFLE_CLEANUP) == before
+    assert {r["k"]: r["count"] for r in got.collect()} == {k: len(range(k, 100, 7)) for k in range(7)}
