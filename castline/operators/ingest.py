@@ -10,6 +10,9 @@ from ..plans.registry import query
 from ..plans.tables import Tables
 from ..sources.html import HtmlBlocks
 
+#: Report ids of a cell, the unit in which running sums are taken.
+CELL = 1 << 16
+
 
 @query(
     "text_lines",
@@ -84,12 +87,20 @@ SELECT base_id, greatest((n - 1) // 500, (run - size) // 10000) AS file, count(*
 """,
 )
 def file_buckets(t: Tables) -> DataFrame:
-    """Lines of each base dealt to files of at most 500 lines or about 10,000 bytes by running sums."""
-    w = Window.partitionBy("base_id").orderBy("report_id").rowsBetween(Window.unboundedPreceding, 0)
+    """Lines of each base dealt to files of at most 500 lines or about 10,000 bytes by running sums.
+
+    Sums run inside cells of report ids, which hold a bounded number of rows, and
+    start from what the cells before hold; so no base is ordered in one task.
+    """
     size = F.length("fishing_method") + 20
-    rows = t.report.join(t.location.select("location_id", "base_id"), "location_id").select("base_id", "report_id", size.cast("long").alias("size"))
-    rows = rows.withColumn("run", F.sum("size").over(w)).withColumn("n", F.row_number().over(Window.partitionBy("base_id").orderBy("report_id")))
-    return rows.withColumn("file", F.greatest(F.expr("(n - 1) div 500"), F.expr("(run - size) div 10000"))).groupBy("base_id", "file").agg(F.count("*").alias("lines"), F.sum("size").alias("bytes"))
+    cell = F.expr(f"report_id div {CELL}")
+    rows = t.report.join(t.location.select("location_id", "base_id"), "location_id").select("base_id", "report_id", cell.alias("cell"), size.cast("long").alias("size"))
+    earlier = Window.partitionBy("base_id").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.groupBy("base_id", "cell").agg(F.count("*").alias("c"), F.sum("size").alias("s"))
+    cells = cells.select("base_id", "cell", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("c"), F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("s"))
+    w = Window.partitionBy("base_id", "cell").orderBy("report_id")
+    rows = rows.withColumn("run", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.row_number().over(w)).join(cells, ["base_id", "cell"])
+    return rows.withColumn("file", F.greatest(F.expr("(n + c - 1) div 500"), F.expr("(run + s - size) div 10000"))).groupBy("base_id", "file").agg(F.count("*").alias("lines"), F.sum("size").alias("bytes"))
 
 
 @query("source_label_counts", "SELECT source, lang, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars, max(n_chars) AS longest FROM documents GROUP BY ALL")

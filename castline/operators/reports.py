@@ -26,23 +26,31 @@ def located(t: Tables) -> DataFrame:
 
 
 def fish_catch_aggregates(t: Tables, least_contributors: int = 2) -> DataFrame:
-    """Per fish, base, location and bait: contributors, reports, weights, spots, spinning combinations; history stays without a membership."""
-    spot = spot_key(F.col("spot_position_raw"))
-    rows = located(t).join(t.member, ["base_id", "fish_id"], "left").withColumn("spot", spot)
+    """Per fish, base, location and bait: contributors, reports, weights, spots, spinning combinations; history stays without a membership.
+
+    One pass over the facts: a location tells its base and a pair its bounds, so
+    these join the groups that are left.  A value is the only one if least and
+    greatest agree, and the few combinations are bits, so two distinct counts remain.
+    """
+    rows = t.report.withColumn("spot", spot_key(F.col("spot_position_raw")))
     place = F.struct("hole_depth_cm", "spot")
-    combination = F.struct(_rank(F.col("spinning_speed"), SPEEDS).alias("a"), _rank(F.col("spinning_size"), SIZES).alias("b"), F.concat_ws("/", F.coalesce("spinning_speed", F.lit("-")), F.coalesce("spinning_size", F.lit("-"))).alias("c"))
+    bit = _rank(F.col("spinning_speed"), SPEEDS) * (len(SIZES) + 1) + _rank(F.col("spinning_size"), SIZES)
     spun = (F.col("fishing_method") == "SPINNING") & (F.col("spinning_speed").isNotNull() | F.col("spinning_size").isNotNull())
-    grouped = rows.groupBy("fish_id", "base_id", "location_id", "bait_id", "min_weight_grams", "max_weight_grams").agg(
+    only = lambda c: F.when(F.min(c) == F.max(c), F.min(c))
+    grouped = rows.groupBy("fish_id", "location_id", "bait_id").agg(
         F.countDistinct("contributor_key").alias("contributors"),
         F.count("*").alias("reports"),
         F.max("weight_grams").alias("max_observed"),
         F.countDistinct(F.when(F.col("hole_depth_cm").isNotNull() | F.col("spot").isNotNull(), place)).alias("places"),
-        F.when(F.countDistinct("hole_depth_cm") == 1, F.min("hole_depth_cm")).alias("only_depth"),
-        F.when(F.countDistinct("user_note_raw") == 1, F.min("user_note_raw")).alias("only_note"),
-        F.array_sort(F.collect_set(F.when(spun, combination))).alias("combinations"),
+        only("hole_depth_cm").alias("only_depth"),
+        only("user_note_raw").alias("only_note"),
+        F.bit_or(F.when(spun, F.pow(F.lit(2), bit).cast("long"))).alias("bits"),
     )
-    named = grouped.where(F.col("contributors") >= least_contributors).join(t.fish.select("fish_id", F.col("name").alias("fish")), "fish_id").join(t.base.select("base_id", F.col("name").alias("base")), "base_id")
-    return named.withColumn("combinations", F.array_join(F.transform("combinations", lambda x: x["c"]), ","))
+    names = [f"{speed}/{size}" for speed in (*SPEEDS, "-") for size in (*SIZES, "-")]
+    held = F.filter(F.array(*[F.when(F.col("bits").bitwiseAND(1 << i) != 0, name) for i, name in enumerate(names)]), lambda x: x.isNotNull())
+    kept = grouped.where(F.col("contributors") >= least_contributors).withColumn("combinations", F.array_join(held, ",")).drop("bits")
+    located_groups = kept.join(t.location.select("location_id", "base_id"), "location_id").join(t.member, ["base_id", "fish_id"], "left")
+    return located_groups.join(t.fish.select("fish_id", F.col("name").alias("fish")), "fish_id").join(t.base.select("base_id", F.col("name").alias("base")), "base_id")
 
 
 query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.classify import half_up, week_start
@@ -34,16 +34,24 @@ SELECT u.fish_id, u.g AS upper, count(DISTINCT w.g) AS members, count(DISTINCT w
 def weight_clusters(t: Tables) -> DataFrame:
     """For each weight of a fish, the weights up to one per cent below and the weeks they were seen in.
 
-    A range window over the fish's ordered weights, so no pair of rows is built:
-    the width of one per cent depends on the row, which the logarithm
-    of the weight turns into a constant; the edge is then checked exactly.
+    A sweep, linear in the distinct weights of a week: a weight counts for the
+    uppers from itself to one per cent above, for its week only as far as the
+    week's next weight, so that no week counts twice.  Both are steps up and down,
+    and their running sums at an upper are its members and weeks.
     """
-    rows = t.snapshot.groupBy("fish_id", F.col("weight_grams").alias("g")).agg(F.collect_set(week_start(F.col("caught_at"))).alias("weeks"))
-    near = f"collect_list(struct(g, weeks)) OVER (PARTITION BY fish_id ORDER BY ln(g) RANGE BETWEEN {math.log(1.0101)}D PRECEDING AND CURRENT ROW)"
-    held = rows.withColumn("near", F.expr(near))
-    inside = F.filter("near", lambda x: x["g"] * 101 >= F.col("g") * 100)
-    out = held.select("fish_id", F.col("g").alias("upper"), F.size(inside).cast("long").alias("members"), F.size(F.array_distinct(F.flatten(F.transform(inside, lambda x: x["weeks"])))).cast("long").alias("weeks"))
-    return out.where("weeks >= 2")
+    seen = t.snapshot.select("fish_id", F.col("weight_grams").cast("long").alias("g"), week_start(F.col("caught_at")).alias("week")).distinct()
+    following = F.lead("g").over(Window.partitionBy("fish_id", "week").orderBy("g"))
+    reach = F.expr("g * 101 div 100 + 1")
+
+    def steps(rows: DataFrame, stop: Column, members: int, weeks: int) -> DataFrame:
+        up, down = (F.struct(at.alias("at"), F.lit(sign * members).alias("members"), F.lit(sign * weeks).alias("weeks"), F.lit(sign > 0).alias("upper")) for at, sign in ((F.col("g"), 1), (stop, -1)))
+        return rows.select("fish_id", F.inline(F.array(up, down)))
+
+    moves = steps(seen.withColumn("stop", F.least(reach, F.coalesce(following, reach))), F.col("stop"), 0, 1).union(steps(seen.select("fish_id", "g").distinct(), reach, 1, 0))
+    moves = moves.groupBy("fish_id", "at").agg(F.sum("members").alias("members"), F.sum("weeks").alias("weeks"), F.max("upper").alias("upper"))
+    until = Window.partitionBy("fish_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    out = moves.select("fish_id", "at", "upper", F.sum("members").over(until).alias("members"), F.sum("weeks").over(until).alias("weeks")).where("upper and weeks >= 2")
+    return out.select("fish_id", F.col("at").cast("int").alias("upper"), "members", "weeks")
 
 
 @query(
@@ -88,10 +96,14 @@ SELECT fish_id, n, a[1] AS least, a[CAST(floor((n - 1) * 0.5) AS INT) + 1] AS p5
 """,
 )
 def weight_quantiles(t: Tables) -> DataFrame:
-    """Three kinds of quantile by rank: floor((n - 1) f), floor(n f), and the mean of the middle two."""
+    """Three kinds of quantile by rank: floor((n - 1) f), floor(n f), and the mean of the middle two.
+
+    Reports fold to counts of their distinct weights before they are ordered.
+    """
     place = Window.partitionBy("fish_id")
-    rows = t.report.select("fish_id", "weight_grams").withColumn("i", F.row_number().over(place.orderBy("weight_grams")) - 1).withColumn("n", F.count("*").over(place))
-    at = lambda k: F.max(F.when(F.col("i") == k, F.col("weight_grams")))
+    counts = t.report.where("weight_grams is not null").groupBy("fish_id", "weight_grams").agg(F.count("*").alias("c"))
+    rows = counts.withColumn("upto", F.sum("c").over(place.orderBy("weight_grams").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(place))
+    at = lambda k: F.max(F.when((F.col("upto") - F.col("c") <= k) & (k < F.col("upto")), F.col("weight_grams")))
     low, high = at(F.floor((F.col("n") - 1) / 2)), at(F.floor(F.col("n") / 2))
     return rows.groupBy("fish_id", "n").agg(
         F.min("weight_grams").alias("least"), at(F.floor((F.col("n") - 1) * 0.5)).alias("p50"), at(F.floor((F.col("n") - 1) * 0.9)).alias("p90"), at(F.floor(F.col("n") * 0.5)).alias("upper_median"),
