@@ -15,7 +15,10 @@ a share of ``CONFLICTS`` at most.  A pair counts if its consistent windows cover
 ``COVER`` tokens, those of typed windows alone or those of all kinds.
 
 Document windows pass a Bloom filter of the item windows, of fixed size, in the
-scan; only its hits are shuffled to the join.
+scan; only its hits go on to the join.  Windows meet without their words first
+and fold to diagonals; of a pair's diagonals that hold the same windows, as a
+text that repeats itself has many, one is judged.  So a group never holds more
+than the windows of one item.
 
 Defined results: null and empty texts match nothing, nor do items of fewer than
 WINDOW template tokens; windows with fewer than LITERALS literal tokens are not
@@ -198,33 +201,28 @@ def _bloom(size: int) -> object:
     return bits
 
 
-def judge(pairs: list[dict], size: int, cover: int, conflicts: float) -> tuple[int, int, int, int] | None:
-    """(windows, tokens covered, slots, conflicts) of the best diagonal of a document and an item, or None if none counts."""
-    diagonals: dict[int, list[dict]] = {}
-    for p in pairs:
-        diagonals.setdefault(p["at"] - p["item_at"], []).append(p)
-    best = None
-    for found in diagonals.values():
-        tokens: dict[int, tuple[str, str, bool]] = {}
-        for p in found:
-            for i, (d, q, s) in enumerate(zip(p["words"], p["item_words"], p["slots"], strict=True)):
-                tokens[p["item_at"] + i] = (q, d, s or tokens.get(p["item_at"] + i, (q, d, s))[2])
-        there: dict[str, str] = {}
-        back: dict[str, str] = {}
-        slots = wrong = 0
-        for _, (q, d, s) in sorted(tokens.items()):
-            if s:
-                slots += 1
-                wrong += there.setdefault(q, d) != d or back.setdefault(d, q) != q
-        if len(tokens) >= cover and wrong <= conflicts * slots:
-            best = max(best or (0, 0, 0, 0), (len(tokens), len(found), slots, -wrong))
-    return None if best is None else (best[1], best[0], best[2], -best[3])
-
-
-_OUT = "key bigint, item bigint, n_windows int, n_tokens int, n_slots int, n_conflicts int"
+def judge(found: list[dict], size: int, cover: int, conflicts: float) -> tuple[int, int, int, int] | None:
+    """(tokens covered, windows, slots, negated conflicts) of the windows on one diagonal of a document and an item, or None if it does not count."""
+    tokens: dict[int, tuple[str, str, bool]] = {}
+    for p in found:
+        for i, (d, q, s) in enumerate(zip(p["words"], p["item_words"], p["slots"], strict=True)):
+            tokens[p["item_at"] + i] = (q, d, s or tokens.get(p["item_at"] + i, (q, d, s))[2])
+    there: dict[str, str] = {}
+    back: dict[str, str] = {}
+    slots = wrong = 0
+    for _, (q, d, s) in sorted(tokens.items()):
+        if s:
+            slots += 1
+            wrong += there.setdefault(q, d) != d or back.setdefault(d, q) != q
+    return (len(tokens), len(found), slots, -wrong) if len(tokens) >= cover and wrong <= conflicts * slots else None
+
+
+_VERDICT = "key bigint, item bigint, n_tokens int, n_windows int, n_slots int, agreed int"
 
 
 def _judged(size: int, cover: int, conflicts: float) -> object:
+    """Verdicts of rows that hold one diagonal each: its typed windows alone, and all of them."""
+
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -232,13 +230,10 @@ def _judged(size: int, cover: int, conflicts: float) -> object:
                 typed = [p for p in row["pairs"] if p["typed"]]
                 verdicts = [judge(typed, size, min(cover, row["typed_tokens"]), conflicts)] if typed else []
                 verdicts += [judge(row["pairs"], size, min(cover, row["item_tokens"]), conflicts)]
-                # the most tokens first, as among diagonals
-                best = max((v for v in verdicts if v), key=lambda v: (v[1], v[0], v[2], -v[3]), default=None)
-                if best:
-                    out.append((row["key"], row["item"], *best))
+                out += [(row["key"], row["item"], *v) for v in verdicts if v]
             columns = list(zip(*out, strict=True)) or [[]] * 6
             types = [pa.int64()] * 2 + [pa.int32()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["key", "item", "n_windows", "n_tokens", "n_slots", "n_conflicts"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["key", "item", "n_tokens", "n_windows", "n_slots", "agreed"])
 
     return judged
 
@@ -256,10 +251,19 @@ def contaminated(
     bits = np.zeros(1 << BLOOM_BITS, bool)
     bits[cells] = True
     bloom = spark.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
-    found = held.mapInArrow(_windows(window, bloom), _ROWS)
     lengths = wanted.groupBy("key").agg((F.max("at") + window).alias("item_tokens"), (F.max(F.when(F.col("typed"), F.col("at"))) + window).alias("typed_tokens")).withColumnRenamed("key", "item")
     n = wanted.count()
+    hits = held.mapInArrow(_windows(window, bloom), _ROWS).join(small(wanted.select("hash").distinct(), n), "hash", "left_semi")
+    hits = stored(hits.withColumn("face", F.xxhash64("words", "slots", "typed")), "decontamination-hits")
     right = wanted.select("hash", F.col("key").alias("item"), F.col("at").alias("item_at"), F.col("words").alias("item_words"), F.col("typed").alias("item_typed"))
-    pairs = found.join(small(right, n), "hash").groupBy("key", "item").agg(F.collect_set(F.struct("at", "item_at", "words", "item_words", "slots", (F.col("typed") & F.col("item_typed")).alias("typed"))).alias("pairs"))
-    judged = pairs.join(small(lengths, n), "item").select("key", "item", "item_tokens", "typed_tokens", "pairs").mapInArrow(_judged(window, cover, conflicts), _OUT)
-    return judged.withColumnRenamed("key", key).withColumnRenamed("item", item)
+    diagonal = (F.col("at") - F.col("item_at")).alias("diagonal")
+    # the windows of a diagonal as a sum of hashes: counts fold in the join's own task, before any shuffle
+    window_hash = F.xxhash64("item_at", "face", "item_typed").cast("decimal(38,0)")
+    narrow = hits.select("hash", "key", "at", "face").join(small(right.drop("item_words"), n), "hash")
+    diagonals = narrow.groupBy("key", "item", diagonal).agg(F.count("*").alias("n"), F.sum(window_hash).alias("held"))
+    picked = diagonals.groupBy("key", "item", "n", "held").agg(F.min("diagonal").alias("diagonal")).select("key", "item", "diagonal")
+    pairs = hits.join(small(right, n), "hash").select("*", diagonal).join(picked, ["key", "item", "diagonal"])
+    pairs = pairs.groupBy("key", "item", "diagonal").agg(F.collect_set(F.struct("at", "item_at", "words", "item_words", "slots", (F.col("typed") & F.col("item_typed")).alias("typed"))).alias("pairs"))
+    judged = pairs.join(small(lengths, n), "item").select("key", "item", "item_tokens", "typed_tokens", "pairs").mapInArrow(_judged(window, cover, conflicts), _VERDICT)
+    best = judged.groupBy("key", "item").agg(F.max(F.struct("n_tokens", "n_windows", "n_slots", "agreed")).alias("b"))
+    return best.select(F.col("key").alias(key), F.col("item").alias(item), "b.n_windows", "b.n_tokens", "b.n_slots", (-F.col("b.agreed")).alias("n_conflicts"))

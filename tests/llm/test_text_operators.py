@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -408,6 +409,55 @@ def test_decontamination_of_changed_case_and_first_names(spark):
     assert got == {(0, 7), (1, 7), (2, 7), (3, 8), (4, 9)}
 
 
+def brute_force_leaks(docs, bench):
+    """All windows of all diagonals of all pairs, without filter, join or folding."""
+    size, found = decontamination.WINDOW, {}
+
+    def windows(text, item):
+        t = decontamination.Template(pa.array([text], pa.string()))
+        return [(h, a, k, t.surfaces(a, size), t.slots(a, size, k)) for a, h, k in zip(*[x.tolist() for x in t.windows(size, item)], strict=True)]
+
+    for key, text in docs:
+        for item, other in bench:
+            mine, theirs = windows(text, False), windows(other, True)
+            lines = {}
+            for h, a, k, words, slots in mine:
+                for g, b, m, item_words, _ in theirs:
+                    if h == g:
+                        lines.setdefault(a - b, {})[a, b, k == m == decontamination.TYPED, tuple(slots)] = {"at": a, "item_at": b, "words": words, "item_words": item_words, "slots": slots, "typed": k == m == decontamination.TYPED}
+            whole, typed = (max((w[1] for w in theirs if w[2] in kinds), default=0) + size for kinds in ((0, 1, 2), (0,)))
+            for line in lines.values():
+                for pairs, tokens in (([p for p in line.values() if p["typed"]], typed), (list(line.values()), whole)):
+                    verdict = decontamination.judge(pairs, size, min(decontamination.COVER, tokens), decontamination.CONFLICTS) if pairs else None
+                    if verdict:
+                        found[key, item] = max(found.get((key, item), verdict), verdict)
+    return found
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = random.Random(5)
+    pool = ["Anna", "Peter", "Hugo", "12", "30", "7", "kg", "the", "market", "sold", "plums", "to", "and", "at.", "paid", "COINS"]
+    passage = lambda n: " ".join(rng.choices(pool, k=n))
+    bench = [(i, passage(rng.randint(5, 30))) for i in range(8)] + [(90, "one two three four " * 5)]
+    docs = []
+    for i in range(60):
+        words = bench[i % 8][1].split()
+        changed = [rng.choice(pool) if rng.random() < (i % 4) * 0.06 else w for w in words]
+        docs.append((i, " ".join([passage(9), *changed, passage(9)]) * (1 + i % 2)))
+    docs.append((99, "one two three four " * 40))
+    tables = spark.createDataFrame(docs + docs[:20], "doc_id long, text string").withColumns({c: F.lit("x") for c in ("hash", "key", "item", "item_id", "words", "diagonal")}), spark.createDataFrame(bench, "item_id long, text string").withColumn("doc_id", F.lit("y"))
+    got = {(r["doc_id"], r["item_id"]): (r["n_tokens"], r["n_windows"], r["n_slots"], -r["n_conflicts"]) for r in decontamination.contaminated(*tables).collect()}
+    assert got == brute_force_leaks(docs, bench) and len(got) > 20 and (99, 90) in got
+
+
+def test_decontamination_folds_equal_diagonals(spark):
+    docs = spark.createDataFrame([(1, "one two three four five " * 2000)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "one two three four five " * 32)], "item_id long, text string")
+    started = time.monotonic()
+    assert [tuple(r) for r in decontamination.contaminated(docs, bench).collect()] == [(1, 7, 153, 160, 0, 0)]
+    assert time.monotonic() - started < 15
+
+
 def test_empty_tables(spark, empty):
     import public_tokenizers
 
