@@ -83,3 +83,20 @@ def safe_count(count: Column) -> Column:
 def grid_step(weight: Column) -> Column:
     """11 * 10 ** max(0, digits - 3) of a whole weight."""
     return (F.lit(11) * F.pow(F.lit(10), F.greatest(F.lit(0), F.length(weight.cast("string")) - 3))).cast("long")
+
+
+def weight_name(text: Column) -> Column:
+    """The exact key of names in weight tables: no letter is folded."""
+    return F.lower(collapsed(text))
+
+
+def mixed_script_tokens(text: Column) -> Column:
+    """The words that hold Latin and Cyrillic letters, sorted."""
+    words = F.split(text, r"[^\p{L}]+")
+    return F.array_sort(F.filter(words, lambda w: w.rlike("[A-Za-z]") & w.rlike("[А-Яа-яЁё]")))
+
+
+def digit_padded(text: Column, width: int = 12) -> Column:
+    """The text with digit runs of up to ``width`` digits padded by zeros, so that they sort by value."""
+    padded = F.regexp_replace(text, r"(?<![0-9])([0-9]+)", "0" * (width - 1) + "$1")
+    return F.regexp_replace(padded, rf"(?<![0-9])0{{0,{width - 1}}}([0-9]{{{width},}})(?![0-9])", "$1")

@@ -104,3 +104,19 @@ def write_if_changed(df: DataFrame, path: str, keys: list[str]) -> bool:
     if sorted(there.columns) != columns or digest(there) != digest(df):
         raise ValueError(f"{path} holds other rows")
     return False
+
+
+def write_tsv(df: DataFrame, path: str, order: str, ratios: tuple[str, ...] = ()) -> None:
+    """Tab-separated files with a header, in order over all files; tabs and line breaks in cells become spaces, ratios have six decimals, null is empty."""
+    cell = lambda c: F.format_string("%.6f", c) if c in ratios else F.regexp_replace(F.col(c).cast("string"), r"[\t\r\n]", " ")
+    ordered = df.orderBy(order)
+    ordered.select([F.when(F.col(c).isNotNull(), cell(c)).alias(c) for c in df.columns]).write.mode("errorifexists").option("sep", "\t").option("header", True).option("quote", "\0").option("emptyValue", "").csv(path)
+
+
+def markdown_table(df: DataFrame, order: list, most: int = 25) -> str:
+    """The first ``most`` rows in order as a Markdown table, with a line for what is left out."""
+    n = df.count()
+    head = ["| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns)]
+    cells = [F.coalesce(F.replace(F.regexp_replace(F.col(c).cast("string"), r"[\r\n]+", " "), F.lit("|"), F.lit("\\|")), F.lit("")) for c in df.columns]
+    body = [r[0] for r in df.orderBy(*order).limit(most).select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))).collect()]
+    return "\n".join([*head, *body, *([f"({n - most} more)"] if n > most else [])]) + "\n"

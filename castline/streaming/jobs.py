@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime, timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,3 +81,35 @@ def stream_enriched_snapshots(t: Tables) -> DataFrame:
     """A stream joined to the catalog as it stands."""
     rows = event_stream(t).where("value >= 1").select("event_id", (F.col("user_id") % 40).alias("fish_id"), (F.col("user_id") % 5).cast("int").alias("base_id"))
     return run_once(t, rows.join(t.base.select("base_id", F.col("name").alias("base")), "base_id", "left").select("event_id", "fish_id", "base"), "append", "enriched")
+
+
+def append_if_changed(batch: DataFrame, path: str, at: str, week: datetime, now: datetime, version: str = "1") -> bool:
+    """Appends a week's snapshot unless its rows and version equal the week's latest; for use in foreachBatch.
+
+    A row whose time ``at`` lies outside the week or over five minutes after
+    ``now`` fails the whole batch.  Rows go to rows/seq=N before the log names
+    N, so a replay after a loss overwrites what no log entry names yet.  An
+    empty batch is an empty snapshot.
+    """
+    spark, time = batch.sparkSession, F.col(at).cast("timestamp_ntz")
+    columns = sorted(batch.columns)
+    total = lambda salt: F.sum(F.xxhash64(F.lit(salt), *[F.struct(c) for c in columns]).cast("decimal(38,0)"))
+    inside = (time >= F.lit(week)) & (time < F.lit(week + timedelta(days=7))) & (time <= F.lit(now + timedelta(minutes=5)))
+    seen = batch.agg(F.count("*").alias("n"), F.count_if(~F.coalesce(inside, F.lit(False))).alias("odd"), total(1).alias("a"), total(2).alias("b")).first()
+    if seen["odd"]:
+        raise ValueError(f"{seen['odd']} rows are outside the week or in the future")
+    content = f"{seen['n']}:{seen['a']}:{seen['b']}"
+    log = "week timestamp_ntz, seq long, content string, version string"
+    try:
+        entries = spark.read.schema(log).parquet(f"{path}/log")
+        latest = entries.where(F.col("week") == F.lit(week)).agg(F.max(F.struct("seq", "content", "version")).alias("m")).first()["m"]
+        seq = (entries.agg(F.max("seq")).first()[0] or 0) + 1
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        latest, seq = None, 1
+    if latest and (latest["content"], latest["version"]) == (content, version):
+        return False
+    batch.write.mode("overwrite").parquet(f"{path}/rows/seq={seq}")
+    spark.createDataFrame([(week, seq, content, version)], log).coalesce(1).write.mode("append").parquet(f"{path}/log")
+    return True

@@ -1,10 +1,12 @@
 import hashlib
 import zipfile
+from datetime import datetime
 
 import pytest
 
 from castline.session import ship_package
 from castline.sources import files
+from castline.streaming.jobs import append_if_changed
 
 
 def test_csv_with_quotes_and_bad_records(spark, tmp_path):
@@ -67,3 +69,23 @@ def test_counts_gate(spark):
     assert files.require_counts(rows, {"a": 2, "b": 1}, "k").count() == 3
     with pytest.raises(ValueError, match="expected"):
         files.require_counts(rows, {"a": 3}, "k")
+
+
+def test_tables_as_tsv_and_markdown(spark, tmp_path):
+    rows = spark.createDataFrame([(2, "b\tc\nd", 0.5), (1, "a|b", None), (3, None, 1 / 3)], "id int, name string, ratio double")
+    files.write_tsv(rows, str(tmp_path / "tsv"), "id", ("ratio",))
+    lines = [line for f in sorted((tmp_path / "tsv").glob("part-*")) for line in f.read_text().splitlines()]
+    assert [line for line in lines if not line.startswith("id")] == ["1\ta|b\t", "2\tb c d\t0.500000", "3\t\t0.333333"]
+    assert files.markdown_table(rows.select("id", "name"), ["id"], 2) == "| id | name |\n|-|-|\n| 1 | a\\|b |\n| 2 | b\tc d |\n(1 more)\n"
+
+
+def test_snapshots_are_appended_when_they_change(spark, tmp_path):
+    week, now, path = datetime(2024, 1, 1), datetime(2024, 1, 3), str(tmp_path / "snapshots")
+    one = spark.createDataFrame([(1, datetime(2024, 1, 2)), (1, datetime(2024, 1, 2))], "id int, at timestamp_ntz")
+    put = lambda rows, **more: append_if_changed(rows, path, "at", week, now, **more)
+    assert put(one) and not put(one.repartition(3)) and put(one.limit(1)) and put(one) and put(one, version="2")
+    assert spark.read.parquet(f"{path}/rows").groupBy("seq").count().orderBy("seq").collect() == [(1, 2), (2, 1), (3, 2), (4, 2)]
+    for odd in (datetime(2023, 12, 31), datetime(2024, 1, 3, 0, 6), datetime(2024, 1, 8), None):
+        with pytest.raises(ValueError, match="outside"):
+            put(spark.createDataFrame([(1, odd)], "id int, at timestamp_ntz"))
+    assert put(one.limit(0)) and not put(one.limit(0))

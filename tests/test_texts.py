@@ -11,6 +11,9 @@ CASES = {
     "canonical_id": [("0012", "12"), ("000", None), ("x", None)],
     "thousands": [("1.234.567", 1234567), ("1.23", None), ("40", 40), ("", None)],
     "depth_cm": [("1,5", 150), ("2.25 м", 225), ("3", 300), ("1.234", None), ("deep", None)],
+    "weight_name": [("  Ёж  Йод ", "ёж йод"), (None, None)],
+    "mixed_script_tokens": [("щукa, pike и Cом ok", ["Cом", "щукa"]), ("pike щука", []), (None, None)],
+    "digit_padded": [("a10 b9", "a000000000010 b000000000009"), ("no", "no"), ("123456789012", "123456789012"), ("", ""), (None, None)],
     "grid_step": [("5", 11), ("999", 11), ("1000", 110), ("25000", 1100)],
 }
 
