@@ -23,9 +23,9 @@ CONSTRAINTS = {
 @query(
     "resolved_identities",
     """
-WITH n AS (SELECT name_normalized AS name, min(fish_id) AS by_name FROM {fish} GROUP BY ALL HAVING count(*) = 1),
-x AS (SELECT e.event_id, CASE WHEN e.event_id % 5 <> 0 THEN f.fish_id + CASE WHEN e.event_id % 31 = 0 THEN 1 ELSE 0 END END AS by_image, CASE WHEN e.event_id % 7 <> 0 THEN f.name_normalized END AS name, e.base_id
-  FROM {snapshot} e JOIN {fish} f ON f.fish_id = e.fish_id)
+WITH f AS (SELECT fish_id, concat(name_normalized, ' ', fish_id // 20) AS name FROM {fish}), n AS (SELECT name, min(fish_id) AS by_name FROM f GROUP BY name HAVING count(*) = 1),
+x AS (SELECT e.event_id, CASE WHEN e.event_id % 5 <> 0 THEN f.fish_id + CASE WHEN e.event_id % 31 = 0 THEN 1 ELSE 0 END END AS by_image, CASE WHEN e.event_id % 7 <> 0 THEN f.name END AS name, e.base_id
+  FROM {snapshot} e JOIN f ON f.fish_id = e.fish_id)
 SELECT event_id, CASE WHEN by_image <> by_name THEN 'CONFLICT' WHEN coalesce(by_image, by_name) IS NULL THEN 'UNKNOWN' ELSE 'RESOLVED' END AS status,
   CASE WHEN by_image <> by_name THEN NULL ELSE coalesce(by_image, by_name) END AS fish_id, b.name AS base
 FROM x LEFT JOIN n ON n.name = x.name LEFT JOIN {base} b ON b.base_id = x.base_id
@@ -33,11 +33,12 @@ FROM x LEFT JOIN n ON n.name = x.name LEFT JOIN {base} b ON b.base_id = x.base_i
 )
 def resolved_identities(t: Tables) -> DataFrame:
     """Observations that show an image, a name or both: keys that disagree are a conflict, names held twice tell nothing, the base may stay null."""
-    unique = t.fish.groupBy(F.col("name_normalized").alias("name")).agg(F.min("fish_id").alias("by_name"), F.count("*").alias("n")).where("n = 1").drop("n")
+    fish = t.fish.select("fish_id", F.concat_ws(" ", "name_normalized", F.floor(F.col("fish_id") / 20).cast("string")).alias("name"))
+    unique = fish.groupBy("name").agg(F.min("fish_id").alias("by_name"), F.count("*").alias("n")).where("n = 1").drop("n")
     images = t.fish.select(F.concat(F.lit("image-"), F.col("fish_id").cast("string")).alias("image"), F.col("fish_id").alias("by_image"))
     event = F.col("event_id")
-    shown = t.snapshot.join(t.fish.select("fish_id", "name_normalized"), "fish_id").select(
-        "event_id", "base_id", F.when(event % 5 != 0, F.concat(F.lit("image-"), (F.col("fish_id") + F.when(event % 31 == 0, 1).otherwise(0)).cast("string"))).alias("image"), F.when(event % 7 != 0, F.col("name_normalized")).alias("name")
+    shown = t.snapshot.join(fish, "fish_id").select(
+        "event_id", "base_id", F.when(event % 5 != 0, F.concat(F.lit("image-"), (F.col("fish_id") + F.when(event % 31 == 0, 1).otherwise(0)).cast("string"))).alias("image"), F.when(event % 7 != 0, F.col("name")).alias("name")
     )
     rows = shown.join(images, "image", "left").join(unique, "name", "left").join(t.base.select("base_id", F.col("name").alias("base")), "base_id", "left")
     conflict, known = F.col("by_image") != F.col("by_name"), F.coalesce("by_image", "by_name")
@@ -47,8 +48,8 @@ def resolved_identities(t: Tables) -> DataFrame:
 @query(
     "suffix_match",
     """
-WITH k AS (SELECT name, count(*) AS n, min(fish_id) AS fish_id FROM {fish} GROUP BY name),
-x AS (SELECT fish_id AS line_id, concat('a very big ', name, CASE WHEN fish_id % 5 = 0 THEN ' maybe' ELSE '' END) AS line FROM {fish}),
+WITH f AS (SELECT fish_id, concat(name, ' ', fish_id // 20) AS name FROM {fish}), k AS (SELECT name, count(*) AS n, min(fish_id) AS fish_id FROM f GROUP BY name),
+x AS (SELECT fish_id AS line_id, concat('a very big ', name, CASE WHEN fish_id % 5 = 0 THEN ' maybe' ELSE '' END) AS line FROM f),
 m AS (SELECT line_id, max_by(k, length(k.name)) AS k FROM x JOIN k ON ends_with(line, concat(' ', k.name)) GROUP BY line_id)
 SELECT x.line_id, k.name, CASE WHEN k.n IS NULL THEN 'NOT_FOUND' WHEN k.n = 1 THEN 'UNIQUE' ELSE 'AMBIGUOUS' END AS status, CASE WHEN k.n = 1 THEN k.fish_id END AS fish_id FROM x LEFT JOIN m ON m.line_id = x.line_id
 """,
@@ -56,10 +57,11 @@ SELECT x.line_id, k.name, CASE WHEN k.n IS NULL THEN 'NOT_FOUND' WHEN k.n = 1 TH
 def suffix_match(t: Tables) -> DataFrame:
     """The longest catalog name that a line ends with, from a word's start; an ambiguous long one is not replaced by a shorter one."""
     tail = F.when(F.col("fish_id") % 5 == 0, " maybe").otherwise("")
-    lines = t.fish.select(F.col("fish_id").alias("line_id"), F.split(F.concat(F.lit("a very big "), "name", tail), " ").alias("words"))
+    fish = t.fish.select("fish_id", F.concat_ws(" ", "name", F.floor(F.col("fish_id") / 20).cast("string")).alias("name"))
+    lines = fish.select(F.col("fish_id").alias("line_id"), F.split(F.concat(F.lit("a very big "), "name", tail), " ").alias("words"))
     # an equi-join on the line's own suffixes
     suffixes = F.transform(F.sequence(F.lit(1), F.size("words")), lambda i: F.array_join(F.slice("words", i, F.size("words")), " "))
-    names = t.fish.groupBy("name").agg(F.count("*").alias("n"), F.min("fish_id").alias("fish_id"))
+    names = fish.groupBy("name").agg(F.count("*").alias("n"), F.min("fish_id").alias("fish_id"))
     longest = lines.select("line_id", F.explode(suffixes).alias("name")).join(names, "name", "left").groupBy("line_id").agg(F.max(F.when(F.col("n").isNotNull(), F.struct(F.length("name").alias("size"), "name", "n", "fish_id"))).alias("k"))
     n = F.col("k.n")
     return longest.select("line_id", "k.name", F.when(n.isNull(), "NOT_FOUND").when(n == 1, "UNIQUE").otherwise("AMBIGUOUS").alias("status"), F.when(n == 1, F.col("k.fish_id")).alias("fish_id"))

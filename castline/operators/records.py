@@ -41,14 +41,14 @@ def week_history(t: Tables) -> DataFrame:
 @query(
     "missing_weeks",
     f"""
-WITH w AS (SELECT DISTINCT fish_id, base_id, {WEEK_SQL} AS week FROM {{snapshot}} WHERE base_id IS NOT NULL),
+WITH w AS (SELECT DISTINCT fish_id, base_id, {WEEK_SQL} AS week FROM {{snapshot}} WHERE base_id IS NOT NULL AND weight_grams >= 20000),
 n AS (SELECT *, lead(week) OVER (PARTITION BY fish_id, base_id ORDER BY week) AS next FROM w)
 SELECT fish_id, base_id, week AS after_week, CAST(date_diff('day', week, next) // 7 - 1 AS BIGINT) AS missing FROM n WHERE date_diff('day', week, next) > 7
 """,
 )
-def missing_weeks(t: Tables) -> DataFrame:
-    """Gaps of whole weeks between the weeks a pair was seen in."""
-    weeks = t.snapshot.where("base_id is not null").select("fish_id", "base_id", week_start(F.col("caught_at")).alias("week")).distinct()
+def missing_weeks(t: Tables, least: int = 20000) -> DataFrame:
+    """Gaps of whole weeks between the weeks a pair was seen in at a weight or more."""
+    weeks = t.snapshot.where(F.col("base_id").isNotNull() & (F.col("weight_grams") >= least)).select("fish_id", "base_id", week_start(F.col("caught_at")).alias("week")).distinct()
     following = F.lead("week").over(Window.partitionBy("fish_id", "base_id").orderBy("week"))
     days = F.datediff("next", "week")
     return weeks.withColumn("next", following).where(days > 7).select("fish_id", "base_id", F.col("week").alias("after_week"), (F.floor(days / 7) - 1).cast("long").alias("missing"))
