@@ -102,12 +102,12 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
 class Words:
     """Words of a slice: byte spans, row of each, first word of each row, 64-bit hashes."""
 
-    def __init__(self, array: pa.Array, lower: bool = False):
+    def __init__(self, array: pa.Array, lower: bool = False, gaps: np.ndarray = _IS_SPACE):
         data, offsets = text_buffers(array)
         self.data = _LOWER[data] if lower else data
         self.offsets = offsets
         gap = np.ones(len(data) + 1, bool)
-        gap[:-1] = _IS_SPACE[data]
+        gap[:-1] = gaps[data]
         before = np.ones(len(data) + 1, bool)
         before[1:] = gap[:-1]
         cuts = offsets[:-1][offsets[:-1] < len(data)]
@@ -133,6 +133,22 @@ class Words:
         """Words i to j - 1 joined by one space."""
         return b" ".join(self.data[s:e].tobytes() for s, e in zip(self.start[i:j], self.end[i:j], strict=True))
 
+    def joined(self, keep: np.ndarray, step: int = 1 << 18) -> list[bytes]:
+        """Per row its kept words joined by one space, gathered ``step`` words at a time."""
+        out = []
+        held = np.flatnonzero(keep)
+        ends = np.cumsum(np.bincount(self.row[held], minlength=len(self.count)))
+        for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
+            parts = []
+            for at in range(a, b, step):
+                now = held[at : min(at + step, b)]
+                sizes = self.end[now] - self.start[now] + 1
+                spread = self.data.take(ragged(self.start[now], sizes), mode="clip")
+                spread[np.cumsum(sizes) - 1] = 0x20
+                parts.append(spread.tobytes())
+            out.append(b"".join(parts)[:-1])
+        return out
+
 
 def runs_hash(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of each k consecutive entries of h (len(h) - k + 1 of them)."""
