@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import ann, decontamination, jaccard, language_id, line_dedup, lm_scoring, mixing, periodic_runs, sharding, substring_dedup, token_files
+from . import ann, decontamination, jaccard, language_id, line_dedup, lm_scoring, mixing, periodic_runs, secret_scan, sharding, substring_dedup, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(_table(spark, sf_dir, "documents"))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in secret_scan.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(of(*secret_scan.BASE_KINDS)).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 OP3_SQL = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -156,6 +164,52 @@ FROM texts LEFT JOIN best USING (doc_id) LEFT JOIN listed USING (doc_id) LEFT JO
 """
 
 
+def _op12_sql() -> str:
+    """The base patterns by their matches and the gaps between them, windows counted one by one."""
+    either = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+    words = "|".join(["password", "passwd", "secret", "token", "api_?key"])
+    assign = f"({either(words)})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
+    found = "UNION ALL".join(
+        f"""
+  SELECT *, {least} AS ok
+  FROM (SELECT doc_id, {k} AS o, '{kind}' AS kind, unnest(string_split_regex(t, '{pattern}')) AS gap, unnest(regexp_extract_all(t, '{pattern}')) AS m, generate_subscripts(string_split_regex(t, '{pattern}'), 1) AS k FROM docs)
+"""
+        for k, (kind, pattern, least) in enumerate(
+            [
+                ("assign", assign, f"len(regexp_extract(m, '{assign}', 2)) >= {secret_scan.ASSIGN_CHARS}"),
+                ("access", "AKIA[A-Z0-9]+", f"len(m) >= {secret_scan.ACCESS_CHARS}"),
+                ("hex", "[0-9a-f]+", f"len(m) >= {secret_scan.HEX_CHARS}"),
+                *((c.kind, f"[{c.chars.replace('-', '')}{'-' if '-' in c.chars else ''}]+", f"len(m) >= {c.window} AND " + " AND ".join(f"NOT regexp_full_match(m, '{p}')" for p in secret_scan.ALLOWED)) for c in secret_scan.CLASSES),
+            ]
+        )
+    )
+    window = lambda value: " ".join(f"WHEN {k} THEN {value(c)}" for k, c in enumerate(secret_scan.CLASSES, 3))
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({found}),
+placed AS (SELECT *, CAST(sum(len(gap) + coalesce(len(m), 0)) OVER (PARTITION BY doc_id, o ORDER BY k) - coalesce(len(m), 0) AS BIGINT) AS start FROM found),
+hits AS (SELECT doc_id, o, kind, m, start FROM placed WHERE m IS NOT NULL AND ok),
+base AS (SELECT doc_id, o, kind, start, start + len(m) AS stop FROM hits WHERE o < 3),
+runs AS (SELECT *, CASE o {window(lambda c: c.window)} END AS width, CASE o {window(lambda c: c.limit())} END AS most, CASE o {window(lambda c: c.table().tolist())} END AS costs FROM hits WHERE o >= 3),
+letters AS (
+  SELECT doc_id, o, start, i, width, most, costs, ch, count(*) AS c
+  FROM (SELECT *, unnest(string_split(substr(m, CAST(i + 1 AS INTEGER), width), '')) AS ch FROM (SELECT *, unnest(range(len(m) - width + 1)) AS i FROM runs)) GROUP BY ALL
+), high AS (SELECT doc_id, o, start, i, width FROM letters GROUP BY ALL HAVING sum(costs[c + 1]) <= min(most)),
+parts AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, o, start ORDER BY i) AS part FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id, o, start ORDER BY i) <= width THEN 0 ELSE 1 END AS fresh FROM high)),
+dense AS (SELECT doc_id, o, CASE o {window(lambda c: f"'{c.kind}'")} END AS kind, start + min(i) AS start, start + max(i) + min(width) AS stop FROM parts GROUP BY doc_id, o, parts.start, part),
+spans AS (
+  FROM base UNION ALL FROM dense WHERE NOT EXISTS (FROM base WHERE base.doc_id = dense.doc_id AND base.start <= dense.start AND dense.stop <= base.stop)
+), told AS (
+  SELECT doc_id, count(*) FILTER (WHERE o = 0) AS n_assign, count(*) FILTER (WHERE o = 1) AS n_access, count(*) FILTER (WHERE o = 2) AS n_hex,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, o) FILTER (WHERE o < 3) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, o) AS spans
+  FROM spans GROUP BY doc_id
+)
+SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN told USING (doc_id)
+"""
+
+
 def queries() -> dict:
     return {
         "op1_nearest_neighbours": op1_nearest_neighbours,
@@ -169,8 +223,9 @@ def queries() -> dict:
         "op9_sharding": op9_sharding,
         "op10_mixing": op10_mixing,
         "op11_periodic_runs": op11_periodic_runs,
+        "op12_secret_scan": op12_secret_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": OP3_SQL, "op6_jaccard_join": OP6_SQL, "op7_line_dedup": OP7_SQL, "op11_periodic_runs": OP11_SQL}
+    return {"op3_substring_dedup": OP3_SQL, "op6_jaccard_join": OP6_SQL, "op7_line_dedup": OP7_SQL, "op11_periodic_runs": OP11_SQL, "op12_secret_scan": _op12_sql()}
