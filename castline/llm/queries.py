@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import ann, decontamination, jaccard, language_id, line_dedup, lm_scoring, mixing, periodic_runs, secret_scan, sharding, substring_dedup, token_files
+from . import ann, collocations, decontamination, jaccard, language_id, line_dedup, lm_scoring, mixing, periodic_runs, secret_scan, sharding, substring_dedup, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,10 @@ def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(of(*secret_scan.BASE_KINDS)).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 OP3_SQL = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -209,6 +213,35 @@ SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(
 FROM documents LEFT JOIN told USING (doc_id)
 """
 
+OP13_SQL = r"""
+WITH pieces AS (
+  SELECT lang, row_number() OVER () AS piece, regexp_extract_all(p, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)
+), flat AS (SELECT lang, piece, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM pieces),
+rows3 AS (
+  SELECT lang, w1, lead(w1) OVER line AS w2, lead(w1, 2) OVER line AS w3 FROM flat WINDOW line AS (PARTITION BY piece ORDER BY i)
+), one AS (SELECT lang, w1, count(*) AS f FROM rows3 GROUP BY ALL),
+two AS (SELECT lang, w1, w2, count(*) AS f FROM rows3 WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+three AS (SELECT lang, w1, w2, w3, count(*) AS f FROM rows3 WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+totals AS (SELECT lang, sum(f) AS n FROM one GROUP BY lang),
+longer AS (
+  SELECT lang, a AS w1, b AS w2, max(f) AS f FROM (SELECT lang, w1 AS a, w2 AS b, f FROM three UNION ALL SELECT lang, w2, w3, f FROM three) GROUP BY ALL
+), cuts AS (
+  SELECT two.lang, two.w1 || ' ' || two.w2 AS phrase, two.f AS a, 1 AS k, l.f AS l, r.f AS r
+  FROM two JOIN one l ON l.lang = two.lang AND l.w1 = two.w1 JOIN one r ON r.lang = two.lang AND r.w1 = two.w2
+  LEFT JOIN longer ON longer.lang = two.lang AND longer.w1 = two.w1 AND longer.w2 = two.w2 WHERE coalesce(100 * longer.f < 50 * two.f, true)
+  UNION ALL
+  SELECT three.lang, three.w1 || ' ' || three.w2 || ' ' || three.w3, three.f, 1, l.f, r.f
+  FROM three JOIN one l ON l.lang = three.lang AND l.w1 = three.w1 JOIN two r ON r.lang = three.lang AND r.w1 = three.w2 AND r.w2 = three.w3
+  UNION ALL
+  SELECT three.lang, three.w1 || ' ' || three.w2 || ' ' || three.w3, three.f, 2, l.f, r.f
+  FROM three JOIN two l ON l.lang = three.lang AND l.w1 = three.w1 AND l.w2 = three.w2 JOIN one r ON r.lang = three.lang AND r.w1 = three.w3
+), scored AS (SELECT *, (CAST(1000000 AS HUGEINT) * a * a) // (CAST(l AS HUGEINT) * r) AS score FROM cuts),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 
 def queries() -> dict:
     return {
@@ -224,8 +257,9 @@ def queries() -> dict:
         "op10_mixing": op10_mixing,
         "op11_periodic_runs": op11_periodic_runs,
         "op12_secret_scan": op12_secret_scan,
+        "op13_collocations": op13_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": OP3_SQL, "op6_jaccard_join": OP6_SQL, "op7_line_dedup": OP7_SQL, "op11_periodic_runs": OP11_SQL, "op12_secret_scan": _op12_sql()}
+    return {"op3_substring_dedup": OP3_SQL, "op6_jaccard_join": OP6_SQL, "op7_line_dedup": OP7_SQL, "op11_periodic_runs": OP11_SQL, "op12_secret_scan": _op12_sql(), "op13_collocations": OP13_SQL}
