@@ -108,6 +108,19 @@ def word_counts(rows: DataFrame, bits: int = 64) -> tuple[DataFrame, int]:
     raise RuntimeError("different words keep the same hash")
 
 
+def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's rows of longs as the bytes of each column, one row in all."""
+    held = [[c.to_numpy() for c in batch.columns] for batch in batches]
+    columns = [np.concatenate(c).astype(np.int64).tobytes() for c in zip(*held, strict=True)] or [b""] * 2
+    yield pa.RecordBatch.from_arrays([pa.array([columns[0]], pa.binary()), pa.array([columns[-1]], pa.binary())], ["first", "last"])
+
+
+def fetched(table: DataFrame, *columns: str) -> list[np.ndarray]:
+    """One or two long columns on the driver, packed by the tasks: the caller bounds their rows."""
+    rows = table.select(*columns).mapInArrow(_bytes, "first binary, last binary").collect()
+    return [np.frombuffer(b"".join(r[i] for r in rows), np.int64) for i in (0, 1)[: len(columns)]]
+
+
 class Sieve:
     """A set of hashes in bounded memory: sorted while there are few, else a bitmap of their upper bits."""
 
@@ -118,11 +131,12 @@ class Sieve:
     def of(cls, table: DataFrame, column: str, n: int, most: int = DENSE, bits: int = SIEVE_BITS) -> Sieve:
         """From the n rows of a column: at most ``most`` hashes, or 2^(bits - 6) pages of 64 bits, reach the driver."""
         if n <= most:
-            return cls(np.sort(table.select(column).toPandas()[column].to_numpy(np.int64).view(np.uint64)))
+            return cls(np.sort(fetched(table, column)[0].view(np.uint64)))
         page, bit = F.shiftrightunsigned(column, 64 - bits + 6), F.shiftrightunsigned(column, 64 - bits).bitwiseAND(63)
-        rows = table.groupBy(page.alias("page")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))).alias("bits")).toPandas()
+        rows = table.groupBy(page.alias("page")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))).alias("bits"))
+        at, held = fetched(rows, "page", "bits")
         pages = np.zeros(1 << (bits - 6), np.uint64)
-        pages[rows["page"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+        pages[at] = held.view(np.uint64)
         return cls(None, pages)
 
     def place(self, h: np.ndarray) -> np.ndarray:
