@@ -255,6 +255,7 @@ def contaminated(
     n = wanted.count()
     hits = held.mapInArrow(_windows(window, bloom), _ROWS).join(small(wanted.select("hash").distinct(), n), "hash", "left_semi")
     hits = stored(hits.withColumn("face", F.xxhash64("words", "slots", "typed")), "decontamination-hits")
+    bloom.destroy()
     right = wanted.select("hash", F.col("key").alias("item"), F.col("at").alias("item_at"), F.col("words").alias("item_words"), F.col("typed").alias("item_typed"))
     diagonal = (F.col("at") - F.col("item_at")).alias("diagonal")
     # the windows of a diagonal as a sum of hashes: counts fold in the join's own task, before any shuffle

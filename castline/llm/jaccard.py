@@ -11,7 +11,7 @@
    them, and the connected components are the partition into similar documents.  Equal sets
    collapse into a class, of which one document stands for all.
 3. Token-group matrix.  Inside a component, blocks of documents meet blocks.
-   A block is cut into groups of like size; a group's row in the matrix is
+   Blocks are cells of like size, dealt by hash; a block is cut into groups of like size; a group's row in the matrix is
    the union of its members' shingles.  The overlap of a query with that union
    bounds its overlap with every member, so only groups that reach the
    threshold are opened, and their members compared exactly.  Pairs that are
@@ -46,6 +46,8 @@ SAMPLE_EVERY, SAMPLE_LEAST, FREQUENT_BITS, SHARE_BITS = 16, 3, 26, 6
 BLOCK, GROUP = 512, 32
 #: Shingles of a block of documents, 8 bytes each: what a task holds at once follows it, however long the documents.
 BLOCK_SHINGLES = 1 << 20
+#: Ratio of the largest to the smallest set of a cell, and rows of seats that are broadcast (some 100 bytes each).
+CELL_GROWTH, SEATS = 1.1, 200_000
 #: Text bytes of a slice, and signatures a scan holds before it links and sends them.
 SLICE, FLUSH = 1 << 19, 1 << 19
 
@@ -224,18 +226,48 @@ def frequent_shingles(docs: DataFrame, k: int) -> Frequent:
     return Frequent(cells)
 
 
-def _sets(k: int) -> object:
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _identity(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each set: equal sets have equal ones."""
+    h1 = np.array([mix(s).sum(dtype=np.uint64) for s in found], np.uint64).view(np.int64)
+    return h1, np.array([mix(s ^ np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64) for s in found], np.uint64).view(np.int64)
+
+
+def _faces(k: int) -> object:
+    """Of each text the identity of its set, without the set."""
+
+    def faces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", SLICE):
+            found = shingle_sets(Words(part.column("text"), lower=True), k)
+            h1, h2 = _identity(found)
+            yield pa.RecordBatch.from_arrays([part.column("component"), part.column("key"), pa.array([len(s) for s in found], pa.int64()), pa.array(h1), pa.array(h2)], ["component", "key", "n", "h1", "h2"])
+
+    return faces
+
+
+_SEATED = "bundled boolean, where bigint, i bigint, j bigint, component bigint, block bigint, key bigint, tokens binary"
+
+
+def _seated(k: int) -> object:
+    """Each set once for every seat that its key and identity have; a task sends rows that repeat both once."""
+    names = ["bundled", "where", "i", "j", "component", "block"]
+
+    def seated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = set()
         for part in slices(batches, "text", SLICE):
             found = shingle_sets(Words(part.column("text"), lower=True), k)
-            h1 = np.array([mix(s).sum(dtype=np.uint64) for s in found], np.uint64).view(np.int64)
-            h2 = np.array([mix(s ^ np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64) for s in found], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("component"), part.column("key"), pa.array([len(s) for s in found], pa.int64()), pa.array(h1), pa.array(h2), pa.array([s.tobytes() for s in found], pa.binary())],
-                ["component", "key", "n", "h1", "h2", "tokens"],
-            )
+            h1, h2 = _identity(found)
+            out = []
+            for i, (key, seats) in enumerate(zip(part.column("key").to_pylist(), part.column("seats").to_pylist(), strict=True)):
+                mine = (key, int(h1[i]), int(h2[i]))
+                if mine in sent:
+                    continue
+                sent.add(mine)
+                out += [(*[seat[n] for n in names], key, found[i].tobytes()) for seat in seats if (seat["h1"], seat["h2"]) == mine[1:]]
+            columns = list(zip(*out, strict=True)) or [[]] * 8
+            types = [pa.bool_(), *[pa.int64()] * 6, pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [*names, "key", "tokens"])
 
-    return sets
+    return seated
 
 
 class _Forest:
@@ -319,6 +351,22 @@ def _join_block(num: int, den: int) -> object:
     return join
 
 
+def _blocks(classes: DataFrame, block: int) -> DataFrame:
+    """Rows (component, key, h1, h2, n, load, whole, block) of the classes in components of two or more.
+
+    A component's sets fall into cells of like size, and a cell's sets by hash
+    into blocks of about half of BLOCK_SHINGLES: sums decide, nothing is ordered.
+    """
+    load = F.greatest("n", F.lit(BLOCK_SHINGLES // block))
+    dealt = classes.withColumn("load", load).withColumn("cell", F.floor(F.log(CELL_GROWTH, F.col("n"))).cast("long"))
+    cells = stored(dealt.groupBy("component", "cell").agg(F.sum("load").alias("cell_load"), F.count("*").alias("members")), "jaccard")
+    wholes = cells.groupBy("component").agg(F.sum("cell_load").alias("whole"), F.sum("members").alias("members")).where("members > 1")
+    parts = cells.drop("members").join(wholes.drop("members"), "component").withColumn("parts", F.ceil(2 * F.col("cell_load") / BLOCK_SHINGLES).cast("long"))
+    part = F.pmod(F.xxhash64("key", "h1"), F.col("parts"))
+    number = F.when(F.col("whole") <= BLOCK_SHINGLES, F.lit(0)).otherwise(F.col("cell") * F.lit(1 << 40) + part).cast("long")
+    return dealt.join(small(parts, cells.count(), SEATS), ["component", "cell"]).select("component", "key", "h1", "h2", "n", "load", "whole", number.alias("block"))
+
+
 def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, num: int = 90, den: int = 100, block: int = BLOCK) -> DataFrame:
     """Rows (key, n_shingles, component_id) for every row of docs: sets with J >= num / den link."""
     spark = docs.sparkSession
@@ -329,35 +377,36 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     least = F.first("b").over(Window.partitionBy("kind", "a").orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
     found = found.withColumn("c", F.when(F.col("kind") == 2, least)).where("kind < 2 or (c is not null and c <> b)")
     found = stored(found.select("kind", F.when(F.col("kind") == 2, F.col("c")).otherwise(F.col("a")).alias("a"), "b"), "jaccard")
+    frequent.destroy()
     sizes = found.where("kind = 0").select(F.col("a").alias("key"), F.col("b").alias("n_shingles"))
     similar = components(found.where("kind > 0"), "jaccard-similar")
     picked = held.join(small(similar, similar.count()), F.col("key") == F.col("node")).select("component", "key", "text")
-    sets = picked.mapInArrow(_sets(k), "component bigint, key bigint, n bigint, h1 bigint, h2 bigint, tokens binary")
-    sets = stored(sets.withColumn("uid", F.monotonically_increasing_id()), "jaccard-sets")
-    # of equal sets one row, named by its uid, stands for all
-    classes = sets.where("n > 0").groupBy("component", "h1", "h2").agg(F.min(F.struct("key", "uid", "n")).alias("m"))
-    classes = stored(classes.select("component", "h1", "h2", F.col("m.key").alias("rep"), F.col("m.uid").alias("uid"), F.col("m.n").alias("n")), "jaccard")
-    same = sets.select("component", "h1", "h2", "key").join(classes.drop("uid", "n"), ["component", "h1", "h2"]).where("key <> rep").select(F.col("key").alias("a"), F.col("rep").alias("b"))
-    # blocks of like size, bounded in documents and in shingles; two blocks meet only if their sizes allow a link
-    sized = classes.select("component", "uid", "n")
-    of_component = Window.partitionBy("component")
-    load = F.greatest("n", F.lit(BLOCK_SHINGLES // block))
-    before = F.sum(load).over(of_component.orderBy("n", "uid").rowsBetween(Window.unboundedPreceding, 0)) - load
-    sized = sized.withColumn("members", F.count("*").over(of_component)).withColumn("whole", F.sum(load).over(of_component)).withColumn("load", load)
-    reps = stored(sized.where("members > 1").withColumn("block", F.floor(before / BLOCK_SHINGLES).cast("long")).drop("members"), "jaccard")
-    # components of one block are bundled; of the others every pair of blocks is a group
+    faces = stored(picked.mapInArrow(_faces(k), "component bigint, key bigint, n bigint, h1 bigint, h2 bigint"), "jaccard")
+    dropped(similar)
+    # of equal sets one stands for all
+    classes = stored(faces.where("n > 0").groupBy("component", "h1", "h2").agg(F.min("key").alias("key"), F.min("n").alias("n")), "jaccard")
+    rep = classes.select("component", "h1", "h2", F.col("key").alias("rep"))
+    same = stored(faces.join(rep, ["component", "h1", "h2"]).where("key <> rep").select(F.col("key").alias("a"), F.col("rep").alias("b")).distinct(), "jaccard")
+    dropped(faces)
+    reps = stored(_blocks(classes, block), "jaccard")
+    dropped(classes)
+    # components of one block are bundled; of the others every pair of blocks whose sizes allow a link is a group
     one = F.col("whole") <= BLOCK_SHINGLES
     ranges = reps.where(~one).groupBy("component", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    other = ranges.select("component", F.col("block").alias("j"), F.col("low").alias("low_j"))
-    meets = ranges.withColumnRenamed("block", "i").join(other, "component").where((F.col("i") <= F.col("j")) & (F.col("low_j") * num <= F.col("high") * den)).select("component", "i", "j")
+    left = ranges.select("component", F.col("block").alias("i"), F.col("low").alias("low_i"), F.col("high").alias("high_i"))
+    right = ranges.select("component", F.col("block").alias("j"), F.col("low").alias("low_j"), F.col("high").alias("high_j"))
+    meets = left.join(right, "component").where((F.col("i") <= F.col("j")) & (F.col("low_j") * num <= F.col("high_i") * den) & (F.col("low_i") * num <= F.col("high_j") * den)).select("component", "i", "j")
     seats = meets.select("component", F.col("i").alias("block"), "i", "j").union(meets.where("i < j").select("component", F.col("j").alias("block"), "i", "j"))
     bundles = max(1, math.ceil(reps.where(one).agg(F.coalesce(F.sum("load"), F.lit(0))).first()[0] / BLOCK_SHINGLES))
-    single = reps.where(one).select("component", "uid", "block", F.lit(True).alias("bundled"), F.pmod(F.xxhash64("component"), F.lit(bundles)).alias("where"), F.col("block").alias("i"), F.col("block").alias("j"))
-    several = reps.where(~one).join(seats, ["component", "block"]).select("component", "uid", "block", F.lit(False).alias("bundled"), F.col("component").alias("where"), "i", "j")
-    rows = single.union(several).join(sets.select("uid", "key", "tokens"), "uid")
-    grouped = rows.groupBy("bundled", "where", "i", "j")
-    links = stored(grouped.applyInPandas(_join_block(num, den), "a bigint, b bigint"), "jaccard")
+    single = reps.where(one).select("component", "key", "h1", "h2", "block", F.lit(True).alias("bundled"), F.pmod(F.xxhash64("component"), F.lit(bundles)).alias("where"), F.col("block").alias("i"), F.col("block").alias("j"))
+    several = reps.where(~one).join(seats, ["component", "block"]).select("component", "key", "h1", "h2", "block", F.lit(False).alias("bundled"), F.col("component").alias("where"), "i", "j")
+    seated = single.union(several).groupBy(F.col("key").alias("k")).agg(F.collect_list(F.struct("h1", "h2", "component", "bundled", "where", "i", "j", "block")).alias("seats"))
+    seated = stored(seated, "jaccard")
+    # a set is cut from its text where it is compared, and travels once to each group
+    rows = held.join(small(seated, reps.count(), SEATS), F.col("key") == F.col("k")).select("key", "text", "seats").mapInArrow(_seated(k), _SEATED)
+    links = stored(rows.groupBy("bundled", "where", "i", "j").applyInPandas(_join_block(num, den), "a bigint, b bigint"), "jaccard")
+    dropped(reps, seated)
     final = components(links.union(same), "jaccard-final")
-    dropped(similar, sets, classes, reps, links)
+    dropped(same, links)
     labelled = sizes.join(small(final, final.count()), sizes["key"] == final["node"], "left")
     return labelled.select(F.col("key").alias(key), "n_shingles", F.coalesce("component", "key").alias("component_id"))

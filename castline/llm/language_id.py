@@ -268,7 +268,9 @@ def train(docs: DataFrame, use: Column, key: str = "doc_id", text: str = "text",
     if not len(counts):
         return None
     model = kneser_ney({name: (g["gram"].to_numpy(np.int64).view(np.uint64), g["n"].to_numpy()) for name, g in counts.groupby("lang")})
-    shown = _hash_sample(labelled, sizes, CALIBRATION_DOCS, 1).mapInArrow(_entropies(spark.sparkContext.broadcast(model)), "lang string, n bigint, h array<double>").where("n > 0").toPandas()
+    shared = spark.sparkContext.broadcast(model)
+    shown = _hash_sample(labelled, sizes, CALIBRATION_DOCS, 1).mapInArrow(_entropies(shared), "lang string, n bigint, h array<double>").where("n > 0").toPandas()
+    shared.destroy()
     calibrate(model, shown["lang"].tolist(), shown["n"].to_numpy(np.int64), np.array(shown["h"].tolist()).reshape(len(shown), len(model.languages)))
     return model
 

@@ -54,6 +54,11 @@ def uniform(*parts: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*parts), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
 
 
+def source_key(source: Column) -> Column:
+    """A source as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit("null"))
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """Rows (source_key, source_size, target) from (source, source_key, source_size, source_rows).
 
@@ -81,7 +86,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 def _narrow(docs: DataFrame, key: str, text: str, source: str, seed: int) -> DataFrame:
     size = word_count(F.col(text))
     return docs.select(
-        F.col(key).alias("doc"), F.col(source).alias("source"), F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("null")).alias("source_key"),
+        F.col(key).alias("doc"), F.col(source).alias("source"), source_key(F.col(source)).alias("source_key"),
         size.alias("size"), F.xxhash64(F.lit(seed), F.col(key), F.xxhash64(F.col(text))).alias("h"),
     )
 
@@ -164,12 +169,25 @@ def mix_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     return joined.select(F.col("doc").alias(key), "size", "source_size", "target", (F.col("size") * F.coalesce("_draws", F.lit(0))).alias("taken"), F.coalesce("_shards", F.lit("")).alias("mix_shards"))
 
 
+def _mixed(docs: DataFrame, key: str, text: str, source: str, shards: int, seed: int, **options) -> DataFrame:
+    """Rows (row, mix_shard, mix_order): each row of docs whole, as often as the mix takes it."""
+    placed = _placed(plan(docs, key, text, source, seed=seed, **options), shards, seed)
+    placed = placed.select(F.col("doc").alias("_doc"), F.col("h").alias("_h"), F.col("source_key").alias("_source"), "mix_shard", "mix_order")
+    marked = docs.select(F.struct("*").alias("row"), F.col(key).alias("_key"), F.xxhash64(F.lit(seed), F.col(key), F.xxhash64(F.col(text))).alias("_dh"), source_key(F.col(source)).alias("_ds"))
+    return marked.join(placed, F.col("_key").eqNullSafe(F.col("_doc")) & (F.col("_dh") == F.col("_h")) & (F.col("_ds") == F.col("_source"))).select("row", "mix_shard", "mix_order")
+
+
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", shards: int = 8, seed: int = 29, **options) -> DataFrame:
-    """The mixed table: docs' columns plus (mix_shard, mix_order), each row as often as the mix takes it."""
-    rows = _placed(plan(docs, key, text, source, seed=seed, **options), shards, seed)
-    rows = rows.select(F.col("doc").alias("_doc"), F.col("h").alias("_h"), "mix_shard", "mix_order")
-    marked = docs.withColumn("_dh", F.xxhash64(F.lit(seed), F.col(key), F.xxhash64(F.col(text))))
-    return marked.join(rows, marked[key].eqNullSafe(rows["_doc"]) & (marked["_dh"] == rows["_h"])).drop("_dh", "_doc", "_h")
+    """The mixed table: docs' columns plus (mix_shard, mix_order), each row as often as the mix takes it.
+
+    Columns of docs that have these two names already give way to them.
+    """
+    return _mixed(docs.drop("mix_shard", "mix_order"), key, text, source, shards, seed, **options).select("row.*", "mix_shard", "mix_order")
+
+
+def mixed_in_order(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", shards: int = 8, seed: int = 29, **options) -> DataFrame:
+    """The rows of the mix with the columns of docs alone: files written of it hold a shard's rows in mixed order."""
+    return ordered(_mixed(docs, key, text, source, shards, seed, **options)).select("row.*")
 
 
 def ordered(mixed: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +57,25 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def with_row(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a long column that numbers its rows: the file's place among the files' names, then the row's place in it.
+
+    Every plan over the same files gives a row the same number, whatever their
+    splits.  A table that is not read from files is stored first.
+    """
+    spark = docs.sparkSession
+    try:
+        paths = docs.select("_metadata.file_path")
+    except AnalysisException:
+        return with_row(stored(docs, "rows"), name)
+    # one row a file: the driver lists the files of every table that it reads
+    files = sorted(r[0] for r in paths.distinct().collect())
+    numbers = spark.createDataFrame(list(enumerate(files)), f"`{name}-file` long, `{name}-path` string")
+    held = docs.select("*", F.col("_metadata.file_path").alias(f"{name}-at"), F.col("_metadata.row_index").alias(name))
+    held = held.join(small(numbers, len(files)), F.col(f"`{name}-at`") == F.col(f"`{name}-path`"))
+    return held.select(*[F.col(f"`{c}`") for c in docs.columns], (F.col(f"`{name}-file`") * F.lit(1 << 40) + F.col(f"`{name}`")).alias(name))
+
+
 def components(edges: DataFrame, name: str, hops: int = 2) -> DataFrame:
     """Connected components of edges (a, b): rows (node, component), the component's smallest node.
 
