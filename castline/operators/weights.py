@@ -32,26 +32,33 @@ SELECT u.fish_id, u.g AS upper, count(DISTINCT w.g) AS members, count(DISTINCT w
 """,
 )
 def weight_clusters(t: Tables) -> DataFrame:
-    """For each weight of a fish, the weights up to one per cent below and the weeks they were seen in.
+    """For each weight of a fish, the weights up to one per cent below and the weeks they were seen in."""
+    seen = t.snapshot.select("fish_id", F.col("weight_grams").cast("long").alias("g"), week_start(F.col("caught_at")).alias("week")).distinct()
+    out = swept(seen, ["fish_id"], F.expr("g * 101 div 100"))
+    return out.select("fish_id", F.col("upper").cast("int").alias("upper"), "members", "weeks")
+
+
+def swept(seen: DataFrame, keys: list[str], reach: Column) -> DataFrame:
+    """Rows (keys, upper, members, weeks) of the distinct weights g of a key's weeks: for each weight as the upper end, the
+    weights that reach it and the weeks that hold one of them, at least two.
 
     A sweep, linear in the distinct weights of a week: a weight counts for the
-    uppers from itself to one per cent above, for its week only as far as the
-    week's next weight, so that no week counts twice.  Both are steps up and down,
-    and their running sums at an upper are its members and weeks.
+    uppers from itself to its reach, for its week only as far as the week's next
+    weight, so that no week counts twice.  Both are steps up and down, and their
+    running sums at an upper are its members and weeks.
     """
-    seen = t.snapshot.select("fish_id", F.col("weight_grams").cast("long").alias("g"), week_start(F.col("caught_at")).alias("week")).distinct()
-    following = F.lead("g").over(Window.partitionBy("fish_id", "week").orderBy("g"))
-    reach = F.expr("g * 101 div 100 + 1")
+    following = F.lead("g").over(Window.partitionBy(*keys, "week").orderBy("g"))
+    beyond = (reach + 1).cast("long")
 
     def steps(rows: DataFrame, stop: Column, members: int, weeks: int) -> DataFrame:
         up, down = (F.struct(at.alias("at"), F.lit(sign * members).alias("members"), F.lit(sign * weeks).alias("weeks"), F.lit(sign > 0).alias("upper")) for at, sign in ((F.col("g"), 1), (stop, -1)))
-        return rows.select("fish_id", F.inline(F.array(up, down)))
+        return rows.select(*keys, F.inline(F.array(up, down)))
 
-    moves = steps(seen.withColumn("stop", F.least(reach, F.coalesce(following, reach))), F.col("stop"), 0, 1).union(steps(seen.select("fish_id", "g").distinct(), reach, 1, 0))
-    moves = moves.groupBy("fish_id", "at").agg(F.sum("members").alias("members"), F.sum("weeks").alias("weeks"), F.max("upper").alias("upper"))
-    until = Window.partitionBy("fish_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    out = moves.select("fish_id", "at", "upper", F.sum("members").over(until).alias("members"), F.sum("weeks").over(until).alias("weeks")).where("upper and weeks >= 2")
-    return out.select("fish_id", F.col("at").cast("int").alias("upper"), "members", "weeks")
+    moves = steps(seen.withColumn("stop", F.least(beyond, F.coalesce(following, beyond))), F.col("stop"), 0, 1).union(steps(seen.select(*keys, "g").distinct(), beyond, 1, 0))
+    moves = moves.groupBy(*keys, "at").agg(F.sum("members").alias("members"), F.sum("weeks").alias("weeks"), F.max("upper").alias("upper"))
+    until = Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    out = moves.select(*keys, "at", "upper", F.sum("members").over(until).alias("members"), F.sum("weeks").over(until).alias("weeks")).where("upper and weeks >= 2")
+    return out.select(*keys, F.col("at").alias("upper"), "members", "weeks")
 
 
 @query(

@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 #: Rows of a batch sent to Python, in place of Spark's default of 10,000: rows of text are some kilobytes each.
@@ -30,3 +30,14 @@ def ship_package(spark: SparkSession) -> SparkSession:
         context.addPyFile(path)
         _shipped.add(context.applicationId)
     return spark
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df computed once into the session's checkpoint folder, which cuts its lineage; only a local master gets a folder of its own."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(given or tempfile.mkdtemp(prefix="castline-"))
+    return df.checkpoint()
