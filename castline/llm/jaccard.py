@@ -47,7 +47,7 @@ BLOCK, GROUP = 512, 32
 #: Shingles of a block of documents, 8 bytes each: what a task holds at once follows it, however long the documents.
 BLOCK_SHINGLES = 1 << 20
 #: Ratio of the largest to the smallest set of a cell, and rows of seats that are broadcast (some 100 bytes each).
-CELL_GROWTH, SEATS = 1.1, 200_000
+CELL_GROWTH, SEATS = 1.25, 200_000
 #: Text bytes of a slice, and signatures a scan holds before it links and sends them.
 SLICE, FLUSH = 1 << 19, 1 << 19
 
@@ -355,13 +355,14 @@ def _blocks(classes: DataFrame, block: int) -> DataFrame:
     """Rows (component, key, h1, h2, n, load, whole, block) of the classes in components of two or more.
 
     A component's sets fall into cells of like size, and a cell's sets by hash
-    into blocks of about half of BLOCK_SHINGLES: sums decide, nothing is ordered.
+    into blocks of about BLOCK_SHINGLES: sums decide, nothing is ordered.  At a
+    threshold of 0.8 a cell meets its two neighbours at most.
     """
     load = F.greatest("n", F.lit(BLOCK_SHINGLES // block))
     dealt = classes.withColumn("load", load).withColumn("cell", F.floor(F.log(CELL_GROWTH, F.col("n"))).cast("long"))
     cells = stored(dealt.groupBy("component", "cell").agg(F.sum("load").alias("cell_load"), F.count("*").alias("members")), "jaccard")
     wholes = cells.groupBy("component").agg(F.sum("cell_load").alias("whole"), F.sum("members").alias("members")).where("members > 1")
-    parts = cells.drop("members").join(wholes.drop("members"), "component").withColumn("parts", F.ceil(2 * F.col("cell_load") / BLOCK_SHINGLES).cast("long"))
+    parts = cells.drop("members").join(wholes.drop("members"), "component").withColumn("parts", F.ceil(F.col("cell_load") / BLOCK_SHINGLES).cast("long"))
     part = F.pmod(F.xxhash64("key", "h1"), F.col("parts"))
     number = F.when(F.col("whole") <= BLOCK_SHINGLES, F.lit(0)).otherwise(F.col("cell") * F.lit(1 << 40) + part).cast("long")
     return dealt.join(small(parts, cells.count(), SEATS), ["component", "cell"]).select("component", "key", "h1", "h2", "n", "load", "whole", number.alias("block"))
