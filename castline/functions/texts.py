@@ -1,18 +1,44 @@
 """Text rules as column expressions: lookup keys, notes, exact numbers, ids, suffixes.
 
-Spark has no Unicode compatibility form; keys here fold case, white space and
-the two letters below, and leave other forms as they are.
+Spark has no Unicode compatibility form.  ``composed`` gives it, in Arrow batches
+in which only texts beyond ASCII travel; where a rule is used inside a lambda
+or over facts, ``half_width`` folds full-width forms as a column expression.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space beyond ASCII, letters folded in lookups, the largest exact integer of a double.
-SPACE = r"[\s\u0085   -     　﻿]+"
+#: White space beyond ASCII, letters folded in lookups, the largest exact integer of a double, the largest int.
+SPACE = r"[\s\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]+"
 FOLDED = ("ёй", "еи")
 SAFE_MAX = (1 << 53) - 1
+INT_MAX = (1 << 31) - 1
+
+
+def composed(text: Column) -> Column:
+    """The text in Unicode form NFKC; ASCII texts stay in the JVM."""
+
+    @F.pandas_udf("string")
+    def nfkc(texts: pd.Series) -> pd.Series:
+        import unicodedata
+
+        return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+    return F.coalesce(nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+
+
+def half_width(text: Column) -> Column:
+    """Full-width forms of ASCII as ASCII."""
+    wide = range(0xFF01, 0xFF5F)
+    return F.translate(text, "".join(map(chr, wide)), "".join(chr(c - 0xFEE0) for c in wide))
+
+
+def edges_trimmed(text: Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.regexp_replace(text, rf"^{SPACE}|{SPACE}\z", "")
 
 
 def collapsed(text: Column) -> Column:
@@ -22,18 +48,26 @@ def collapsed(text: Column) -> Column:
 
 def lookup_key(text: Column) -> Column:
     """The key by which names are looked up."""
-    return F.translate(F.lower(collapsed(text)), *FOLDED)
+    return F.translate(F.lower(collapsed(composed(text))), *FOLDED)
 
 
-def catalog_name(text: Column) -> Column:
+def catalog_name(text: Column, compose: bool = True) -> Column:
     """A catalog name's key, null if it holds control characters, is empty or over 128 code points, or has no letter or digit."""
-    name = F.lower(collapsed(text))
-    return F.when(~text.rlike(r"\p{C}") & F.length(name).between(1, 128) & name.rlike(r"[\p{L}\p{N}]"), name)
+    trimmed = edges_trimmed(text)
+    name = F.lower(F.regexp_replace(composed(trimmed) if compose else half_width(trimmed), SPACE, " "))
+    sized = F.length(trimmed).between(1, 128) & F.length(name).between(1, 128)
+    return F.when(~text.rlike(r"\p{C}") & ~name.rlike(r"\p{C}") & sized & name.rlike(r"[\p{L}\p{N}]"), name)
+
+
+def evidence_text(text: Column) -> Column:
+    """Text of outside sources as it is compared: composed, white space collapsed, one kind of dash and of quote, lower case; blank is null."""
+    plain = F.translate(composed(text), "\u2010\u2011\u2012\u2013\u2014\u2212\u00ab\u00bb\u201c\u201d\u201e", '------"""""')
+    return F.nullif(F.lower(collapsed(plain)), F.lit(""))
 
 
 def note(text: Column) -> Column:
     """The trimmed note; blank is null."""
-    return F.nullif(F.trim(text), F.lit(""))
+    return F.nullif(edges_trimmed(text), F.lit(""))
 
 
 def without_suffix(text: Column, suffix: str) -> Column:
@@ -65,14 +99,23 @@ def depth_cm(text: Column) -> Column:
 
 
 def exact_cell(text: Column) -> Column:
-    """(value, reason) of a spreadsheet number: VALID only for a positive whole number, however it is written."""
-    number = text.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]{1,3})?$")
-    value = F.when(number, text).try_cast("decimal(38,10)")
+    """(value, reason) of a spreadsheet number: VALID only for a positive whole number within an int, however it is written; digits are moved, never rounded."""
+    pattern = r"^([+-]?)([0-9]+)(?:\.([0-9]*))?(?:[eE]([+-]?[0-9]+))?\z"
+    cell = edges_trimmed(text)
+    part = lambda i: F.regexp_extract(cell, pattern, i)
+    digits, power = F.concat(part(2), part(3)), part(4)
+    scale = F.length(part(3)) - F.coalesce(F.when(F.length(power) <= 6, power).try_cast("int"), F.lit(0))
+    n = F.length(digits)
+    fraction = (scale > 0) & F.substring(digits, F.greatest(n - scale, F.lit(0)) + 1, n).rlike("[1-9]")
+    moved = F.when(scale > 0, F.substring(digits, F.lit(1), F.greatest(n - scale, F.lit(0)))).otherwise(F.concat(digits, F.repeat(F.lit("0"), F.least(F.lit(12), -scale))))
+    whole = F.regexp_replace(moved, "^0+", "")
+    value = F.when(F.length(whole) <= 10, whole).try_cast("long")
     reason = (
-        F.when(text.isNull() | (F.trim(text) == ""), "EMPTY").when(~number, "NOT_A_NUMBER").when(value.isNull(), "TOO_LARGE").when(value <= 0, "NOT_POSITIVE")
-        .when(value != F.floor(value), "FRACTION").when(value > SAFE_MAX, "TOO_LARGE").otherwise("VALID")
+        F.when(text.isNull() | (cell == ""), "EMPTY").when(~cell.rlike(pattern), "NOT_A_NUMBER").when(part(1) == "-", "NOT_POSITIVE")
+        .when(F.length(power) > 6, F.when(power.startswith("-"), "FRACTION").otherwise("TOO_LARGE")).when(fraction, "FRACTION")
+        .when((scale < 0) & (F.length(F.regexp_replace(digits, "^0+", "")) - scale > 10), "TOO_LARGE").when(whole == "", "NOT_POSITIVE").when((F.length(whole) > 10) | (value > INT_MAX), "TOO_LARGE").otherwise("VALID")
     )
-    return F.struct(F.when(reason == "VALID", value).try_cast("long").alias("value"), reason.alias("reason"))
+    return F.struct(F.when(reason == "VALID", value).alias("value"), reason.alias("reason"))
 
 
 def safe_count(count: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.paging import numbered
 from ..plans.registry import query
 from ..plans.tables import Tables
 
@@ -76,18 +77,17 @@ def global_search(t: Tables, wanted: str = "ba", limit: int = 50) -> DataFrame:
     return ranked.orderBy("rank", "kind", F.lower("name"), "name", "id").limit(limit)
 
 
-@query("alphabet_groups", "SELECT upper(regexp_extract(name, '[A-Za-z0-9]', 0)) AS letter, count(*) AS fish, min(name) AS first_name FROM {fish} GROUP BY ALL")
+@query("alphabet_groups", r"SELECT upper(regexp_extract(name, '[\p{L}\p{N}]', 0)) AS letter, count(*) AS fish, min(name) AS first_name FROM {fish} GROUP BY ALL")
 def alphabet_groups(t: Tables) -> DataFrame:
-    """Fish by the first letter or digit of the name."""
-    return t.fish.groupBy(F.upper(F.regexp_extract("name", "[A-Za-z0-9]", 0)).alias("letter")).agg(F.count("*").alias("fish"), F.min("name").alias("first_name"))
+    """Fish by the first letter, of any script, or digit of the name."""
+    return t.fish.groupBy(F.upper(F.regexp_extract("name", r"[\p{L}\p{N}]", 0)).alias("letter")).agg(F.count("*").alias("fish"), F.min("name").alias("first_name"))
 
 
-@query("fish_numeric_order", "SELECT fish_id, row_number() OVER (ORDER BY length(CAST(fish_id AS VARCHAR)), CAST(fish_id AS VARCHAR)) AS n FROM {fish} WHERE is_rarest ORDER BY n LIMIT 100")
+@query("fish_numeric_order", "SELECT fish_id, row_number() OVER (ORDER BY length(CAST(fish_id AS VARCHAR)), CAST(fish_id AS VARCHAR)) AS n FROM {fish} WHERE is_rarest")
 def fish_numeric_order(t: Tables) -> DataFrame:
-    """Decimal strings by length, then text; the first 100."""
+    """Decimal strings by length, then text."""
     text = F.col("fish_id").cast("string")
-    first = t.fish.where("is_rarest").orderBy(F.length(text), text).limit(100)
-    return first.select("fish_id", F.row_number().over(Window.orderBy(F.length(text), text)).alias("n"))
+    return numbered(t.fish.where("is_rarest").select("fish_id"), [F.length(text), text]).select("fish_id", "n")
 
 
 @query("hash_sample", "SELECT fish_id, sha256(name) AS h FROM {fish} ORDER BY h, fish_id LIMIT 25")
@@ -173,9 +173,7 @@ def community_counts(t: Tables) -> DataFrame:
     return marks.join(votes, "mark", "left").na.fill(0, ["votes", "voters"])
 
 
-@query("location_ids_text", "SELECT base_id, string_agg(CAST(location_id AS VARCHAR), ', ' ORDER BY location_id) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY base_id ORDER BY location_id) AS n FROM {location}) WHERE n <= 20 GROUP BY base_id")
+@query("location_ids_text", "SELECT base_id, string_agg(CAST(location_id AS VARCHAR), ', ' ORDER BY location_id) AS ids FROM {location} GROUP BY base_id")
 def location_ids_text(t: Tables) -> DataFrame:
-    """The first 20 location ids of each base as one text."""
-    n = F.row_number().over(Window.partitionBy("base_id").orderBy("location_id"))
-    first = t.location.select("base_id", "location_id", n.alias("n")).where("n <= 20")
-    return first.groupBy("base_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("location_id")), lambda x: x.cast("string")), ", ").alias("ids"))
+    """The location ids of each base, in order, as one text."""
+    return t.location.groupBy("base_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("location_id")), lambda x: x.cast("string")), ", ").alias("ids"))

@@ -97,12 +97,16 @@ SELECT fish_id, i, CASE WHEN i <= 10 THEN base ELSE greatest(10, least(100, base
 )
 def generated_counts(t: Tables) -> DataFrame:
     """Observation numbers brought to 1..100 on a logarithmic scale, with a shift fixed by a hash."""
-    i = F.col("i")
+    counts = t.report.groupBy("fish_id").agg((F.count("*") * 97).alias("i"))
+    return counts.select("fish_id", "i", copies(F.col("i"), F.col("fish_id").cast("string")).alias("copies"))
+
+
+def copies(i: Column, name: Column) -> Column:
+    """How many lines stand for i observations: 1 to 100 on a logarithmic scale, shifted by a hash of the name."""
     base = F.when(i <= 10, i).when(i >= 55000, 100).otherwise(F.floor(10 + 90 * F.ln(i / 10) / F.ln(F.lit(5500.0)) + 0.5))
-    byte = F.conv(F.substring(F.sha2(F.concat(F.lit("count|"), F.col("fish_id").cast("string")), 256), 1, 2), 16, 10).cast("int") % 4
+    byte = F.conv(F.substring(F.sha2(F.concat(F.lit("count|"), name), 256), 1, 2), 16, 10).cast("int") % 4
     shifted = F.greatest(F.lit(10), F.least(F.lit(100), base + F.when(byte == 0, -1).when(byte == 3, 1).otherwise(0)))
-    counts = t.report.groupBy("fish_id").agg((F.count("*") * 97).alias("i"))
-    return counts.select("fish_id", "i", F.when(i <= 10, base).otherwise(shifted).cast("long").alias("copies"))
+    return F.when(i <= 10, base).otherwise(shifted).cast("long")
 
 
 def drawn_weight(low: Column, high: Column, text: Column) -> Column:

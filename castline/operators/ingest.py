@@ -9,6 +9,7 @@ from ..functions.classify import decimal_text
 from ..plans.registry import query
 from ..plans.tables import Tables
 from ..sources.html import HtmlBlocks
+from .inference import copies
 
 #: Report ids of a cell, the unit in which running sums are taken.
 CELL = 1 << 16
@@ -67,14 +68,16 @@ def identities(t: Tables) -> DataFrame:
 @query(
     "projected_lines",
     """
-WITH c AS (SELECT fish_id, bait_id, count(*) AS n FROM {report} GROUP BY ALL), e AS (SELECT fish_id, bait_id, unnest(range(1, least(n, 5) + 1)) AS copy FROM c)
+WITH c AS (SELECT fish_id, bait_id, count(*) AS i, CAST(('0x' || substr(sha256(concat('count|', fish_id, '|', bait_id)), 1, 2)) AS INT) % 4 AS d FROM {report} GROUP BY ALL),
+b AS (SELECT *, CASE WHEN i <= 10 THEN i WHEN i >= 55000 THEN 100 ELSE CAST(floor(10 + 90 * ln(i / 10.0) / ln(5500.0) + 0.5) AS BIGINT) END AS base FROM c),
+e AS (SELECT fish_id, bait_id, unnest(range(1, CAST(CASE WHEN i <= 10 THEN base ELSE greatest(10, least(100, base + CASE d WHEN 0 THEN -1 WHEN 3 THEN 1 ELSE 0 END)) END AS BIGINT) + 1)) AS copy FROM b)
 SELECT fish_id, bait_id, copy, concat(f.name, ' ', CAST(copy * 10 AS VARCHAR), ' g. ', b.name) AS line FROM e JOIN {fish} f USING (fish_id) JOIN {bait} b USING (bait_id)
 """,
 )
 def projected_lines(t: Tables) -> DataFrame:
-    """Each counted pair written out as up to five lines."""
+    """Each counted pair written out as the 1 to 100 lines that stand for its reports."""
     counts = t.report.groupBy("fish_id", "bait_id").agg(F.count("*").alias("n"))
-    rows = counts.select("fish_id", "bait_id", F.explode(F.sequence(F.lit(1).cast("long"), F.least("n", F.lit(5)))).alias("copy"))
+    rows = counts.select("fish_id", "bait_id", F.explode(F.sequence(F.lit(1).cast("long"), copies(F.col("n"), F.concat_ws("|", F.col("fish_id").cast("string"), F.col("bait_id").cast("string"))))).alias("copy"))
     named = rows.join(t.fish.select("fish_id", "name"), "fish_id").join(t.bait.select("bait_id", F.col("name").alias("bait")), "bait_id")
     return named.select("fish_id", "bait_id", "copy", F.concat("name", F.lit(" "), (F.col("copy") * 10).cast("string"), F.lit(" g. "), "bait").alias("line"))
 

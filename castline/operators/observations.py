@@ -139,7 +139,7 @@ def parsed_observations(rows: DataFrame, text: str, method: str, anchors: list[s
     d = d.withColumn("_gaps", F.aggregate("_spans", F.struct(F.lit(0).alias("at"), none.alias("gaps")), step, close))
     pieces = lambda g: F.transform(F.split(F.substring(e, g["start"] + 1, g["end"] - g["start"]), "[.;]+"), lambda f: F.regexp_replace(f, rf"^{_EDGE}+|{_EDGE}+\z", ""))
     d = d.withColumn("_parts", F.coalesce(F.filter(F.flatten(F.transform("_gaps", pieces)), lambda f: f != ""), F.array().cast("array<string>")))
-    named = F.transform("_parts", lambda f: F.coalesce(F.arrays_overlap(F.split(catalog_name(f), r"[^\p{L}\p{N}]+"), known), F.lit(False)))
+    named = F.transform("_parts", lambda f: F.coalesce(F.arrays_overlap(F.split(catalog_name(f, compose=False), r"[^\p{L}\p{N}]+"), known), F.lit(False)))
     d = d.withColumn("_place", F.when(at("_has") | (at("_depths") > 1), 0).otherwise(F.coalesce(F.array_position(named, True), F.lit(0))))
     out = {
         "depth_cm": at("_depth"), "spot": F.coalesce("_where", F.when(at("_place") > 0, F.get("_parts", at("_place").cast("int") - 1))), "fishing_note": at("_n.value"),

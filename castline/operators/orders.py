@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.classify import week_start
+from ..functions.paging import numbered
 from ..functions.texts import digit_padded
 from ..plans.registry import query
 from ..plans.tables import Tables
@@ -19,9 +18,9 @@ NOTEBOOK_MODES = [("default", "i", "ASC"), *[(f"{mode}-{way.lower()}", key, way)
 
 
 def in_modes(rows: DataFrame, modes: dict[str, list[Column]], *keys: str) -> DataFrame:
-    """Rows (mode, *keys, n): the place of each row under every mode."""
-    placed = [rows.select(F.lit(mode).alias("mode"), *keys, F.row_number().over(Window.orderBy(*order)).alias("n")) for mode, order in modes.items()]
-    return reduce(DataFrame.unionByName, placed)
+    """Rows (mode, *keys, n): the place of each row of one list under every mode; the list is read and gathered once."""
+    places = [F.struct(F.lit(mode).alias("mode"), F.row_number().over(Window.orderBy(*order)).alias("n")) for mode, order in modes.items()]
+    return rows.withColumn("_places", F.array(*places)).select(*keys, F.inline("_places")).select("mode", *keys, "n")
 
 
 @query(
@@ -62,13 +61,12 @@ def aggregate_orders(t: Tables, fish_id: int = 7) -> DataFrame:
     return in_modes(rows, {"catches-desc": [F.desc("intensity"), *ids], "catches-asc": [F.asc("intensity"), *ids], "places": places}, "location_id", "bait_id")
 
 
-@query("locale_order", "SELECT fish_id, row_number() OVER (ORDER BY name, fish_id) AS n FROM {fish} ORDER BY n LIMIT 50")
-def locale_order(t: Tables, size: int = 50, locale: str = "ru") -> DataFrame:
-    """The first fish by name and number as readers of a locale expect: letters before case and accents, digit runs by value."""
+@query("locale_order", "SELECT fish_id, row_number() OVER (ORDER BY name, fish_id) AS n FROM {fish}")
+def locale_order(t: Tables, locale: str = "ru") -> DataFrame:
+    """All fish by name and number as readers of a locale expect: letters before case and accents, digit runs by value."""
     key = digit_padded(F.concat_ws(" ", "name", F.col("fish_id").cast("string")))
     order = [F.collate(key, f"{locale}_CI_AI"), F.collate(key, locale), F.col("fish_id")]
-    first = t.fish.orderBy(*order).limit(size)
-    return first.select("fish_id", F.row_number().over(Window.orderBy(*order)).alias("n"))
+    return numbered(t.fish.select("fish_id", "name"), order).select("fish_id", "n")
 
 
 @query(
@@ -78,10 +76,10 @@ WITH s AS (SELECT fish_id, base_id, max(weight_grams) AS top, count(DISTINCT {WE
 x AS (SELECT s.*, f.name AS fish, b.name AS base, CASE WHEN max_weight_grams IS NULL THEN 2 WHEN top > max_weight_grams THEN 0 ELSE 1 END AS kind, CASE WHEN weeks >= 4 THEN 0 WHEN weeks >= 2 THEN 1 ELSE 2 END AS trust
   FROM s JOIN {{fish}} f ON f.fish_id = s.fish_id JOIN {{base}} b ON b.base_id = s.base_id LEFT JOIN {{member}} m ON m.fish_id = s.fish_id AND m.base_id = s.base_id)
 SELECT fish_id, base_id, kind, trust, CASE WHEN kind = 0 AND trust = 0 THEN top END AS proposed, row_number() OVER (ORDER BY least(kind, 1), trust, CASE WHEN kind = 0 AND trust = 0 THEN 0 ELSE 1 END, weeks DESC, weights DESC, fish, base, fish_id, base_id) AS n
-FROM x ORDER BY n LIMIT 50
+FROM x
 """,
 )
-def correction_ranking(t: Tables, size: int = 50) -> DataFrame:
+def correction_ranking(t: Tables) -> DataFrame:
     """Pairs whose bound looks wrong first, then by trust, a proposal, weeks, weights and names."""
     rows = t.snapshot.where("base_id is not null").select("fish_id", "base_id", "weight_grams", week_start(F.col("caught_at")).alias("week"))
     seen = rows.groupBy("fish_id", "base_id").agg(F.max("weight_grams").alias("top"), F.countDistinct("week").alias("weeks"), F.countDistinct("weight_grams").alias("weights"))
@@ -91,8 +89,7 @@ def correction_ranking(t: Tables, size: int = 50) -> DataFrame:
     trust = F.when(F.col("weeks") >= 4, 0).when(F.col("weeks") >= 2, 1).otherwise(2)
     x = named.join(bounds, ["fish_id", "base_id"], "left").withColumns({"kind": kind, "trust": trust}).withColumn("proposed", F.when((F.col("kind") == 0) & (F.col("trust") == 0), F.col("top")))
     order = [F.least("kind", F.lit(1)), F.col("trust"), F.col("proposed").isNull(), F.desc("weeks"), F.desc("weights"), F.col("fish"), F.col("base"), F.col("fish_id"), F.col("base_id")]
-    first = x.orderBy(*order).limit(size)
-    return first.select("fish_id", "base_id", "kind", "trust", "proposed", F.row_number().over(Window.orderBy(*order)).alias("n"))
+    return numbered(x, order).select("fish_id", "base_id", "kind", "trust", "proposed", "n")
 
 
 @query(

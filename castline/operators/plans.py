@@ -96,7 +96,7 @@ SELECT x.fish_id, x.max_grams, len(bases) AS n_bases FROM x JOIN {fish} f ON f.f
 def records_at_bases(t: Tables) -> DataFrame:
     """Fish that are not of the rarest and whose maximum belongs to one of the chosen bases."""
     rows = fish_maxima(t).join(t.fish.where("not is_rarest").select("fish_id"), "fish_id", "left_semi")
-    bases = F.split("max_bases", ",")
+    bases = F.col("max_bases")
     chosen = F.array(F.lit("NATION_6"), F.lit("NATION_12"), F.lit("NATION_14"))
     return rows.where(F.arrays_overlap(bases, chosen)).select("fish_id", "max_grams", F.size(bases).cast("long").alias("n_bases"))
 

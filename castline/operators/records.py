@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.classify import record_status, week_start, weight_class
+from ..functions.paging import numbered
 from ..plans.registry import query
 from ..plans.tables import Tables
 
@@ -55,11 +56,11 @@ def missing_weeks(t: Tables, least: int = 20000) -> DataFrame:
 
 
 def fish_maxima(t: Tables) -> DataFrame:
-    """Each fish's largest known maximum and the bases that have it, sorted by name."""
+    """Each fish's largest known maximum and the array of the bases that have it, sorted by name."""
     rows = t.member.where("max_weight_grams is not null").join(t.base.select("base_id", "name"), "base_id")
     top = F.max("max_weight_grams").over(Window.partitionBy("fish_id"))
     best = rows.withColumn("top", top).where("max_weight_grams = top")
-    return best.groupBy("fish_id").agg(F.first("top").alias("max_grams"), F.array_join(F.sort_array(F.collect_list("name")), ",").alias("max_bases"))
+    return best.groupBy("fish_id").agg(F.first("top").alias("max_grams"), F.sort_array(F.collect_list("name")).alias("max_bases"))
 
 
 @query(
@@ -79,7 +80,7 @@ def records_assessment(t: Tables) -> DataFrame:
     records = t.report.groupBy("fish_id").agg(F.max("weight_grams").alias("record_grams"))
     rows = t.fish.where("is_active").select("fish_id").join(records, "fish_id", "left").join(fish_maxima(t), "fish_id", "left")
     room = (F.col("max_grams") - F.col("record_grams")).cast("long")
-    return rows.select("fish_id", "record_grams", "max_grams", "max_bases", room.alias("headroom"), record_status(F.col("record_grams"), F.col("max_grams")).alias("status"))
+    return rows.select("fish_id", "record_grams", "max_grams", F.array_join("max_bases", ",").alias("max_bases"), room.alias("headroom"), record_status(F.col("record_grams"), F.col("max_grams")).alias("status"))
 
 
 @query(
@@ -88,11 +89,11 @@ def records_assessment(t: Tables) -> DataFrame:
 WITH m AS (SELECT fish_id, max(max_weight_grams) AS max_grams FROM {member} GROUP BY fish_id), r AS (SELECT fish_id, max(weight_grams) AS g FROM {report} GROUP BY fish_id),
 s AS (SELECT f.fish_id, f.name_normalized, CASE WHEN g IS NULL THEN 4 WHEN max_grams IS NULL THEN 5 WHEN max_grams < g THEN 0 WHEN max_grams = g THEN 1 WHEN (max_grams - g) * 1000 <= max_grams * 3 THEN 2 ELSE 3 END AS bucket, max_grams - g AS room
   FROM {fish} f LEFT JOIN r ON r.fish_id = f.fish_id LEFT JOIN m ON m.fish_id = f.fish_id)
-SELECT fish_id, bucket, row_number() OVER (ORDER BY bucket, CASE WHEN bucket IN (1, 3) THEN room END DESC NULLS LAST, name_normalized, fish_id) AS n FROM s QUALIFY n <= 100
+SELECT fish_id, bucket, row_number() OVER (ORDER BY bucket, CASE WHEN bucket IN (1, 3) THEN room END DESC NULLS LAST, name_normalized, fish_id) AS n FROM s
 """,
 )
-def records_ranked(t: Tables, limit: int = 100) -> DataFrame:
-    """Default order of the records list: status buckets, headroom inside two of them, then name; the first page."""
+def records_ranked(t: Tables) -> DataFrame:
+    """Default order of the records list: status buckets, headroom inside two of them, then name."""
     maxima = t.member.groupBy("fish_id").agg(F.max("max_weight_grams").alias("max_grams"))
     records = t.report.groupBy("fish_id").agg(F.max("weight_grams").alias("g"))
     rows = t.fish.select("fish_id", "name_normalized").join(records, "fish_id", "left").join(maxima, "fish_id", "left")
@@ -102,7 +103,7 @@ def records_ranked(t: Tables, limit: int = 100) -> DataFrame:
         bucket = F.when(status == name, i).otherwise(bucket)
     rows = rows.withColumn("bucket", bucket).withColumn("room", F.when(F.col("bucket").isin(1, 3), F.col("max_grams") - F.col("g")))
     keys = [F.col("bucket"), F.desc_nulls_last("room"), F.col("name_normalized"), F.col("fish_id")]
-    return rows.orderBy(*keys).limit(limit).select("fish_id", "bucket", F.row_number().over(Window.orderBy(*keys)).alias("n"))
+    return numbered(rows, keys).select("fish_id", "bucket", "n")
 
 
 @query(

@@ -133,3 +133,21 @@ def part_texts(t: Tables) -> DataFrame:
     return t.raw("part").select(
         F.col("p_partkey").alias("id"), texts.lookup_key(F.col("p_name")).alias("lookup"), texts.note(kind).alias("note"), texts.without_suffix(kind, " box").alias("stem"), texts.grid_step(F.col("p_size") * 1000).alias("step")
     )
+
+
+SPACE_SQL = r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+
+
+@query(
+    "document_keys",
+    rf"""
+SELECT doc_id, md5(trim(regexp_replace(translate(lower(nfc_normalize(text)), 'ёй', 'еи'), '{SPACE_SQL}', ' ', 'g'))) AS lookup, md5(trim(regexp_replace(lower(text), '{SPACE_SQL}', ' ', 'g'))) AS weight_name,
+  md5(NULLIF(regexp_replace(regexp_replace(text, '^{SPACE_SQL}', ''), '{SPACE_SQL}$', ''), '')) AS note, upper(regexp_extract(text, '[\p{{L}}\p{{N}}]', 0)) AS letter FROM documents
+""",
+)
+def document_keys(t: Tables) -> DataFrame:
+    """Lookup keys, names and notes of whole texts in four languages."""
+    text = F.col("text")
+    return t.raw("documents").select(
+        "doc_id", F.md5(texts.lookup_key(text)).alias("lookup"), F.md5(texts.weight_name(text)).alias("weight_name"), F.md5(texts.note(text)).alias("note"), F.upper(F.regexp_extract(text, r"[\p{L}\p{N}]", 0)).alias("letter")
+    )

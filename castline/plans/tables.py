@@ -12,6 +12,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.texts import collapsed, half_width
+
 
 class Tables:
     """Lazy DataFrames of one data directory; only the columns a query uses are read."""
@@ -95,7 +97,7 @@ class Tables:
 
 def spot_key(raw: Column) -> Column:
     """A spot's name with white space folded, trimmed and lower-cased; blank is null."""
-    return F.nullif(F.lower(F.trim(F.regexp_replace(raw, r"\s+", " "))), F.lit(""))
+    return F.nullif(F.lower(collapsed(half_width(raw))), F.lit(""))
 
 
 #: The same views as SQL text, each a CTE for the queries' SQL.

@@ -5,8 +5,8 @@ from castline.functions import texts
 
 CASES = {
     "lookup_key": [("  Щука  Йод ", "щука иод"), ("ЁЖ", "еж"), (None, None)],
-    "catalog_name": [(" Pike  One ", "pike one"), ("--", None), ("", None), ("a\u0007", None), ("x" * 129, None), (None, None)],
-    "note": [("  ", None), (" a ", "a"), (None, None)],
+    "catalog_name": [(" Pike  One ", "pike one"), ("--", None), ("", None), ("a\u0007", None), ("x" * 129, None), (None, None), ("ﬁ\u00a0Ｑ", "fi q"), ("ﬁ" * 65, None), ("\u00a0a\u3000", "a")],
+    "note": [("  ", None), (" a ", "a"), (None, None), ("\t\n\u00a0", None), ("\u00a0a b\r\n", "a b")],
     "positive_integer": [("12", 12), ("0", None), ("1.5", None), ("9007199254740992", None), ("9007199254740991", 9007199254740991), ("-3", None)],
     "canonical_id": [("0012", "12"), ("000", None), ("x", None)],
     "thousands": [("1.234.567", 1234567), ("1.23", None), ("40", 40), ("", None)],
@@ -26,9 +26,14 @@ def test_text_rules(spark, name):
 
 
 def test_exact_cells_and_safe_counts(spark):
-    cells = ["12", "1.2e3", "1.5", "-4", "0", "abc", None, " ", "1e30", "12.0"]
-    rows = spark.createDataFrame([(c,) for c in cells], "t string").coalesce(1).select(texts.exact_cell(F.col("t")).alias("c")).collect()
-    assert [tuple(r["c"]) for r in rows] == [(12, "VALID"), (1200, "VALID"), (None, "FRACTION"), (None, "NOT_POSITIVE"), (None, "NOT_POSITIVE"), (None, "NOT_A_NUMBER"), (None, "EMPTY"), (None, "EMPTY"), (None, "TOO_LARGE"), (12, "VALID")]
+    wanted = {
+        "12": 12, "1.2e3": 1200, "1.5": "FRACTION", "-4": "NOT_POSITIVE", "-0": "NOT_POSITIVE", "0": "NOT_POSITIVE", "abc": "NOT_A_NUMBER", None: "EMPTY", " ": "EMPTY", "1e30": "TOO_LARGE", "12.0": 12,
+        "1.00000000001": "FRACTION", "1e-11": "FRACTION", "0e-11": "NOT_POSITIVE", " 7\u00a0": 7, "+7.": 7, ".5": "NOT_A_NUMBER", "2147483647": 2147483647, "2147483648": "TOO_LARGE", "21474836470e-1": 2147483647,
+        "000000000000012": 12, "12000e-3": 12, "1200e-3": "FRACTION", "1e100000": "TOO_LARGE", "1e-1000000": "FRACTION", "0e20": "TOO_LARGE", "0e5": "NOT_POSITIVE", "1.23e2": 123, "1.234e2": "FRACTION", "9" * 40: "TOO_LARGE", "1\n": 1,
+    }
+    rows = spark.createDataFrame([(c,) for c in wanted], "t string").coalesce(1).select(texts.exact_cell(F.col("t")).alias("c")).collect()
+    for (cell, want), r in zip(wanted.items(), rows):
+        assert tuple(r["c"]) == ((want, "VALID") if isinstance(want, int) else (None, want)), cell
     assert spark.range(3).agg(texts.safe_count(F.count("*"))).first()[0] == 3
     with pytest.raises(Exception, match="beyond"):
         spark.range(1).select(texts.safe_count(F.lit(1 << 53))).collect()
