@@ -21,6 +21,7 @@ from ..functions.classify import half_up
 from ..functions.texts import collapsed, composed
 from ..plans.registry import query
 from ..plans.tables import Tables
+from ..session import checkpointed
 from .inference import infer_boundaries
 
 #: Divisors of round weights and their scores.
@@ -62,13 +63,13 @@ def _rounded(x: Column) -> Column:
 
 def refined(rows: DataFrame, previous: DataFrame, keys: list[str]) -> DataFrame:
     """Per row of previous (keys, previous, known_max) its refinement from rows (keys, g, place, bait)."""
-    held = rows.where("g >= 0").join(previous.select(*keys), keys, "left_semi").select(*keys, F.col("g").cast("long").alias("g"), "place", "bait")
+    held = checkpointed(rows.where("g >= 0").join(previous.select(*keys), keys, "left_semi").select(*keys, F.col("g").cast("long").alias("g"), "place", "bait"))
     # spellings are few: each is composed once a group
     labels = held.select(*keys, F.inline(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("name")) for kind in ("place", "bait")]))).distinct()
     diverse = labels.withColumn("label", _label("name")).groupBy(*keys).agg(F.countDistinct(F.when(F.col("kind") == "place", F.col("label"))).alias("places"), F.countDistinct(F.when(F.col("kind") == "bait", F.col("label"))).alias("baits"))
     up = Window.partitionBy(*keys).orderBy("g")
     weights = held.groupBy(*keys, "g").agg(F.count("*").alias("c"))
-    weights = weights.withColumns({"through": F.sum("c").over(up.rowsBetween(Window.unboundedPreceding, 0)), "i": F.row_number().over(up), "gap": F.col("g") - F.lag("g").over(up), "next": F.lead("g").over(up)})
+    weights = checkpointed(weights.withColumns({"through": F.sum("c").over(up.rowsBetween(Window.unboundedPreceding, 0)), "i": F.row_number().over(up), "gap": F.col("g") - F.lag("g").over(up), "next": F.lead("g").over(up)}))
     ends = weights.groupBy(*keys).agg(F.sum("c").alias("n"), F.max("g").alias("most"))
     facts = previous.join(ends, keys, "left").join(diverse, keys, "left").fillna(0, ["n", "places", "baits"])
     enough = (F.col("n") >= LEAST_ROWS) & (F.col("places") >= LEAST_PLACES) & (F.col("baits") >= LEAST_BAITS)
@@ -87,6 +88,7 @@ def refined(rows: DataFrame, previous: DataFrame, keys: list[str]) -> DataFrame:
     seen = tried.join(sides, [*keys, "b"]).where("through is not null").withColumn("near", F.col("through") - F.col("below")).withColumn("above", F.col("n") - F.col("through"))
     density = (F.col("near") / F.col("window")) / (F.col("above") / F.greatest(F.lit(1), F.col("most") - F.col("b")))
     seen = seen.withColumn("density", density).where((F.col("above") >= 2) & (F.col("near") >= NEAR_ROWS) & (F.col("above") / F.col("n") <= TAIL_SHARE) & (F.col("density") >= DENSITY_RATIO) & (F.col("near") / F.col("above") >= CLUSTER_RATIO))
+    seen = checkpointed(seen)
     # the last gaps inside the window, by their numbers
     first = F.greatest(F.col("below_i") + 2, F.col("i") - (GAPS - 1))
     asked_gaps = seen.where(first <= F.col("i")).select(*keys, "b", F.explode(F.sequence(first, F.col("i"))).alias("i"))
@@ -111,12 +113,12 @@ def refined(rows: DataFrame, previous: DataFrame, keys: list[str]) -> DataFrame:
 def refined_boundaries(t: Tables) -> DataFrame:
     """Boundaries inferred for each fish, of weights drawn in at a ceiling with few beyond it, moved to round values."""
     place = t.location.select("location_id", "base_id", F.col("name").alias("place"))
-    n, kept = F.col("report_id") % 97, F.col("report_id") % 40
+    n, kept = F.col("report_id") % 97, F.col("report_id") % 41
     ceiling = F.lit(20_000) + F.col("fish_id") % 5 * 1_000
-    # derived weights: most under the fish's ceiling, one in forty far above it
+    # derived weights: most under the fish's ceiling, one in forty-one far above it
     g = F.when(kept == 0, ceiling + 900 + n * 40).when(kept < 20, ceiling - n % 24 * 8).otherwise((F.col("weight_grams") * 3) % (ceiling - 2_000) + 100)
     rows = t.report.select("report_id", "location_id", "bait_id", "weight_grams", (F.col("fish_id") % 50).alias("fish_id")).join(place, "location_id").join(t.bait.select("bait_id", F.col("name").alias("bait")), "bait_id")
-    rows = rows.select("fish_id", g.cast("long").alias("g"), "place", "bait", "location_id", "bait_id")
-    found = infer_boundaries(rows.withColumnRenamed("g", "weight_grams"), ["fish_id"]).where("boundary is not null")
+    rows = checkpointed(rows.select("fish_id", g.cast("long").alias("g"), "place", "bait", "location_id", "bait_id"))
+    found = checkpointed(infer_boundaries(rows.withColumnRenamed("g", "weight_grams"), ["fish_id"]).where("boundary is not null"))
     known = rows.groupBy("fish_id").agg(F.max("g").alias("known_max"))
     return refined(rows, found.select("fish_id", F.col("boundary").alias("previous")).join(known, "fish_id"), ["fish_id"])
