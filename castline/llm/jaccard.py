@@ -43,7 +43,7 @@ from .textscan import Words, mix, ragged, runs_hash, slices, windows
 
 #: The frequent-shingle set steers work and never decides a link: one document in SAMPLE_EVERY is counted.
 SAMPLE_EVERY, SAMPLE_LEAST, FREQUENT_BITS, SHARE_BITS = 16, 3, 26, 6
-BLOCK, GROUP = 512, 32
+BLOCK, GROUP = 2048, 32
 #: Shingles of a block of documents, 8 bytes each: what a task holds at once follows it, however long the documents.
 BLOCK_SHINGLES = 1 << 20
 #: Ratio of the largest to the smallest set of a cell, and rows of seats that are broadcast (some 100 bytes each).
@@ -354,17 +354,21 @@ def _join_block(num: int, den: int) -> object:
 def _blocks(classes: DataFrame, block: int) -> DataFrame:
     """Rows (component, key, h1, h2, n, load, whole, block) of the classes in components of two or more.
 
-    A component's sets fall into cells of like size, and a cell's sets by hash
-    into blocks of about BLOCK_SHINGLES: sums decide, nothing is ordered.  At a
-    threshold of 0.8 a cell meets its two neighbours at most.
+    A component's sets fall into cells of like size.  Cells of up to half a block
+    are packed into blocks in order of size by running sums over the cells, a few
+    dozen a component at most; larger cells are dealt by hash into blocks of their
+    own.  At a threshold of 0.8 a cell meets its two neighbours at most.
     """
     load = F.greatest("n", F.lit(BLOCK_SHINGLES // block))
     dealt = classes.withColumn("load", load).withColumn("cell", F.floor(F.log(CELL_GROWTH, F.col("n"))).cast("long"))
     cells = stored(dealt.groupBy("component", "cell").agg(F.sum("load").alias("cell_load"), F.count("*").alias("members")), "jaccard")
     wholes = cells.groupBy("component").agg(F.sum("cell_load").alias("whole"), F.sum("members").alias("members")).where("members > 1")
-    parts = cells.drop("members").join(wholes.drop("members"), "component").withColumn("parts", F.ceil(F.col("cell_load") / BLOCK_SHINGLES).cast("long"))
-    part = F.pmod(F.xxhash64("key", "h1"), F.col("parts"))
-    number = F.when(F.col("whole") <= BLOCK_SHINGLES, F.lit(0)).otherwise(F.col("cell") * F.lit(1 << 40) + part).cast("long")
+    half = BLOCK_SHINGLES // 2
+    packed = F.when(F.col("cell_load") <= half, F.col("cell_load")).otherwise(0)
+    before = F.sum(packed).over(Window.partitionBy("component").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)) - packed
+    parts = cells.withColumn("start", before).drop("members").join(wholes.drop("members"), "component")
+    part = F.pmod(F.xxhash64("key", "h1"), F.ceil(F.col("cell_load") / BLOCK_SHINGLES).cast("long"))
+    number = F.when(F.col("whole") <= BLOCK_SHINGLES, F.lit(0)).when(F.col("cell_load") <= half, F.floor(F.col("start") / half)).otherwise((F.col("cell") + 1) * F.lit(1 << 40) + part).cast("long")
     return dealt.join(small(parts, cells.count(), SEATS), ["component", "cell"]).select("component", "key", "h1", "h2", "n", "load", "whole", number.alias("block"))
 
 
