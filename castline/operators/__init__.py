@@ -1,3 +1,3 @@
 """Queries over the star schema and the logs."""
 
-from . import audits, catalog, identity, inference, ingest, matching, maxima, observations, orders, plans, records, refinement, reports, scopes, weights  # noqa: F401
+from . import audits, catalog, identity, inference, ingest, matching, maxima, observations, orders, plans, records, recovery, refinement, reports, scopes, weights  # noqa: F401

@@ -32,12 +32,20 @@ def ship_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df computed once into the session's checkpoint folder, which cuts its lineage; only a local master gets a folder of its own."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        given = spark.conf.get("spark.checkpoint.dir", None)
-        if not given and not spark.sparkContext.master.startswith("local["):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir that all machines share; where a session names none, a local one for a local master, else an error."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given:
+        if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(given or tempfile.mkdtemp(prefix="castline-"))
+        given = "file://" + tempfile.mkdtemp(prefix="castline-")
+        spark.conf.set("spark.checkpoint.dir", given)
+    return given.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df computed once into the session's checkpoint folder, which cuts its lineage."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.classify import WEEK_START
 from ..plans.registry import query
 from ..plans.tables import Tables
+from ..session import shared_folder
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -25,8 +26,7 @@ def event_stream(t: Tables, files_per_trigger: int = 1, lateness: str | None = "
 
 
 def shared_path(t: Tables, name: str) -> str:
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def run_once(t: Tables, stream: DataFrame, mode: str, name: str) -> DataFrame:
