@@ -1,4 +1,4 @@
-"""Recovery of comments in guarded batches, and replayed upserts, over a table made of the reports."""
+"""Recovery of comments in guarded batches, and replayed upserts, over a table made of the orders, whose keys are unique."""
 
 from __future__ import annotations
 
@@ -16,19 +16,20 @@ BUCKETS = 16
 
 
 def comment_table(t: Tables) -> DataFrame:
-    return t.report.select("report_id", F.col("user_note_raw").alias("note"), "weight_grams", (F.col("report_id") % BUCKETS).cast("int").alias("bucket"))
+    note = F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("note "), "o_orderstatus"))
+    return t.raw("orders").select(F.col("o_orderkey").alias("report_id"), note.alias("note"), F.col("o_custkey").alias("weight_grams"), (F.col("o_orderkey") % BUCKETS).cast("int").alias("bucket"))
 
 
 @query(
     "guarded_recovery",
     """
-WITH x AS (SELECT report_id, report_id % 16 AS bucket, user_note_raw AS note, weight_grams AS g, row_number() OVER (ORDER BY report_id) AS n FROM {report} WHERE user_note_raw IS NULL),
-y AS (SELECT r.report_id, r.report_id % 16 AS bucket, CASE WHEN n <= 100 THEN 'recovered ' || r.report_id ELSE user_note_raw END AS note, weight_grams AS g FROM {report} r LEFT JOIN x ON x.report_id = r.report_id)
+WITH x AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders WHERE o_orderstatus = 'P'),
+y AS (SELECT r.o_orderkey % 16 AS bucket, CASE WHEN n <= 100 THEN 'recovered ' || r.o_orderkey WHEN o_orderstatus <> 'P' THEN 'note ' || o_orderstatus END AS note, o_custkey AS g FROM orders r LEFT JOIN x ON x.o_orderkey = r.o_orderkey)
 SELECT bucket, count(*) AS rows, count(note) AS notes, count(*) FILTER (WHERE note LIKE 'recovered%') AS recovered, CAST(sum(g) AS BIGINT) AS grams FROM y GROUP BY bucket
 """,
 )
 def guarded_recovery(t: Tables) -> DataFrame:
-    """The first batch of reports without a comment gets one, twice over; the second time changes nothing."""
+    """The first batch of rows without a comment gets one, twice over; the second time changes nothing."""
     path = f"{shared_folder(t.spark)}/comments-{uuid.uuid4().hex}"
     comment_table(t).write.partitionBy("bucket").parquet(path)
     table = t.spark.read.parquet(path)
@@ -43,11 +44,11 @@ def guarded_recovery(t: Tables) -> DataFrame:
 @query(
     "upserted_reports",
     """
-SELECT report_id % 16 AS bucket, count(*) AS rows, CAST(sum(weight_grams + CASE WHEN report_id % 3 = 0 AND report_id % 7 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS grams FROM {report} WHERE report_id % 3 = 0 OR report_id % 5 = 0 GROUP BY ALL
+SELECT o_orderkey % 16 AS bucket, count(*) AS rows, CAST(sum(o_custkey + CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 7 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS grams FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 5 = 0 GROUP BY ALL
 """,
 )
 def upserted_reports(t: Tables) -> DataFrame:
-    """Reports put in by two overlapping loads, of which the second replaces some, adds some and skips the rest."""
+    """Rows put in by two overlapping loads, of which the second replaces some, adds some and skips the rest."""
     path = f"{shared_folder(t.spark)}/upserts-{uuid.uuid4().hex}"
     rows = comment_table(t)
     upsert(t.spark, path, rows.where("report_id % 5 = 0"), "report_id", "bucket")
