@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -243,15 +245,22 @@ def location_observations(t: Tables) -> DataFrame:
 FEED = [("created_at", "desc"), ("report_id", "desc")]
 
 
-def feed(t: Tables, limit: int = PAGE, cursor: dict | None = None, fish_id: int | None = None, base_ids: list[int] | None = None, user_id: int | None = None) -> DataFrame:
-    """A page of reports, newest first, and one row more that tells if another page follows."""
+def feed(t: Tables, limit: int = PAGE, cursor: dict | None = None, base_ids: list[int] | None = None, own: bool = False, **equal: int | None) -> DataFrame:
+    """A page of reports, newest first, and one row more that tells if another page follows.
+
+    ``equal`` are values of fish_id, base_id, location_id, bait_id or user_id; ``own`` leaves imports out and needs a user_id.
+    """
+    if unknown := set(equal) - {"fish_id", "base_id", "location_id", "bait_id", "user_id"}:
+        raise ValueError(f"no such filters: {sorted(unknown)}")
+    if own and equal.get("user_id") is None:
+        raise ValueError("only a user's own reports are native")
     rows = located(t)
-    if fish_id is not None:
-        rows = rows.where(F.col("fish_id") == fish_id)
-    if base_ids:
+    for name, value in equal.items():
+        rows = rows if value is None else rows.where(F.col(name) == value)
+    if base_ids is not None:
         rows = rows.where(F.col("base_id").isin(base_ids))
-    if user_id is not None:
-        rows = rows.where(F.col("user_id") == user_id)
+    if own:
+        rows = rows.where(native())
     if cursor:
         rows = rows.where(after(FEED, cursor))
     return rows.orderBy(*ordering(FEED)).limit(limit + 1)
@@ -262,6 +271,58 @@ def feed_page(t: Tables) -> DataFrame:
     return feed(t, base_ids=[1, 2, 3, 4, 5, 6, 7]).select("report_id", "location_id", "fish_id", "bait_id", "weight_grams", "created_at")
 
 
+@query(
+    "owner_feed_page",
+    f"SELECT report_id, r.location_id, fish_id, bait_id, weight_grams, created_at FROM {{report}} r JOIN {{location}} l ON l.location_id = r.location_id WHERE user_id = 52 AND bait_id = 3 AND {NATIVE_SQL} AND (created_at < TIMESTAMP '2000-06-01' OR (created_at = TIMESTAMP '2000-06-01' AND report_id < 5000)) ORDER BY created_at DESC, report_id DESC LIMIT 21",
+)
+def owner_feed_page(t: Tables) -> DataFrame:
+    """A later page of one user's own reports with one bait."""
+    cursor = {"created_at": datetime(2000, 6, 1), "report_id": 5000}
+    return feed(t, cursor=cursor, own=True, user_id=52, bait_id=3).select("report_id", "location_id", "fish_id", "bait_id", "weight_grams", "created_at")
+
+
+def aggregate_order(by_place: bool, way: str = "desc") -> list[tuple[str, str]]:
+    """Keys of a fish's aggregates: by intensity, or by place with intensity inside it."""
+    if not by_place:
+        return [("intensity", way), ("location_id", "asc"), ("bait_id", "asc")]
+    return [("base", "asc"), ("base_id", "asc"), ("number", "asc"), ("location_id", "asc"), ("intensity", way), ("bait", "asc"), ("bait_id", "asc")]
+
+
+def aggregates_of_fish(
+    t: Tables, fish_id: int, by_place: bool = False, way: str = "desc", cursor: dict | None = None, limit: int = PAGE, base_ids: list[int] | None = None, least: int | None = None, comment: bool = False, hole: bool = False, spinning: bool = False
+) -> DataFrame:
+    """A page of a fish's places and baits; filters look at the finished groups, so their counts stay whole."""
+    rows = t.report.where(F.col("fish_id") == fish_id).withColumn("spot", spot_key(F.col("spot_position_raw")))
+    placed = F.col("hole_depth_cm").isNotNull() | F.col("spot").isNotNull()
+    spun = (F.col("fishing_method") == "SPINNING") & (F.col("spinning_speed").isNotNull() | F.col("spinning_size").isNotNull())
+    groups = rows.groupBy("location_id", "bait_id").agg(F.count("*").alias("intensity"), F.countDistinct("user_note_raw").alias("comments"), F.countDistinct(F.when(placed, F.struct("hole_depth_cm", "spot"))).alias("holes"), F.count_if(spun).alias("spun"))
+    named = groups.join(t.location.select("location_id", "base_id", "number"), "location_id").join(t.base.select("base_id", F.col("name_normalized").alias("base")), "base_id").join(t.bait.select("bait_id", F.col("name").alias("bait")), "bait_id")
+    for wanted, test in ((base_ids is not None, F.col("base_id").isin(base_ids or [])), (least is not None, F.col("intensity") >= (least or 0)), (comment, F.col("comments") > 0), (hole, F.col("holes") > 0), (spinning, F.col("spun") > 0)):
+        named = named.where(test) if wanted else named
+    order = aggregate_order(by_place, way)
+    if cursor:
+        named = named.where(after(order, cursor))
+    return named.orderBy(*ordering(order)).limit(limit + 1)
+
+
+@query(
+    "aggregates_by_place",
+    """
+WITH x AS (SELECT l.base_id, b.name_normalized AS base, r.location_id, l.number, r.bait_id, i.name AS bait, count(*) AS intensity, count(DISTINCT user_note_raw) AS comments,
+    count(DISTINCT CASE WHEN hole_depth_cm IS NOT NULL OR {spot_key} IS NOT NULL THEN {'d': hole_depth_cm, 's': {spot_key}} END) AS holes
+  FROM {report} r JOIN {location} l ON l.location_id = r.location_id JOIN {base} b ON b.base_id = l.base_id JOIN {bait} i ON i.bait_id = r.bait_id WHERE r.fish_id = 7 GROUP BY ALL)
+SELECT base, number, location_id, bait_id, intensity, comments, holes FROM x WHERE base_id IN (2, 5, 8, 11, 14, 17, 20) AND intensity >= 1 AND holes > 0
+  AND (base > 'nation_14' OR (base = 'nation_14' AND (base_id > 14 OR (base_id = 14 AND (number > 15 OR (number = 15 AND (location_id > 15 OR (location_id = 15 AND (intensity < 2 OR (intensity = 2 AND (bait > 'bait 2' OR (bait = 'bait 2' AND bait_id > 2))))))))))))
+ORDER BY base, base_id, number, location_id, intensity DESC, bait, bait_id LIMIT 21
+""",
+)
+def aggregates_by_place(t: Tables) -> DataFrame:
+    """A later page in the order of places, over groups with a hole in chosen bases."""
+    cursor = {"base": "nation_14", "base_id": 14, "number": 15, "location_id": 15, "intensity": 2, "bait": "bait 2", "bait_id": 2}
+    rows = aggregates_of_fish(t, 7, by_place=True, cursor=cursor, base_ids=[2, 5, 8, 11, 14, 17, 20], least=1, hole=True)
+    return rows.select("base", "number", "location_id", "bait_id", "intensity", "comments", "holes")
+
+
 @query("fish_catch_values", "SELECT DISTINCT user_note_raw AS value FROM {report} WHERE user_note_raw IS NOT NULL ORDER BY value LIMIT 26")
 def fish_catch_values(t: Tables, offset: int = 0) -> DataFrame:
     """A page of 25 distinct comments, and one more that tells if another page follows."""
