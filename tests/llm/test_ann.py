@@ -47,6 +47,20 @@ def test_recall_and_exact_scores(spark, n):
     assert hits >= 0.9 * total
 
 
+def test_ties_repeated_ids_and_clashing_columns(spark):
+    rng = np.random.RandomState(2)
+    near = [[float(x) for x in rng.normal(size=16).astype(np.float32)] for _ in range(30)]
+    # the four axis vectors are equally far from the query
+    axes = [[0.0] * j + [2.0] + [0.0] * (15 - j) for j in range(4)]
+    table = [(0, [1e-3] * 16, 0)] + [(10 * j + 1, v, 0) for j, v in enumerate(axes)] + [(200 + j, v, 0) for j, v in enumerate(near)] + [(205, near[5], 0)]
+    frame = spark.createDataFrame(table, SCHEMA)
+    for name in ("id", "v", "bucket", "salt", "g", "rep", "ids", "query", "score"):
+        frame = frame.withColumn(name, F.lit("x"))
+    got = [r for r in ann.search(frame, F.col("id") == 0, k=6).collect() if r["query_id"] == 0]
+    want = sorted((math.dist(table[0][1], v), i) for i, v, _ in table[1:])[:6]
+    assert [(r["vec_id"], r["rank"]) for r in sorted(got, key=lambda r: r["rank"])] == [(i, n) for n, (_, i) in enumerate(want, 1)]
+
+
 def test_empty(spark):
     assert not ann.search(spark.createDataFrame([], SCHEMA), F.col("id") % 10 == 0).collect()
 

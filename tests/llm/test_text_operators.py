@@ -490,6 +490,27 @@ def test_null_keys_repeated_rows_and_clashing_columns(spark, clashing):
     assert language_id.keep_identified(clashing, model).columns == clashing.columns
 
 
+def test_leaks_of_null_and_repeated_rows_and_clashing_columns(spark, clashing):
+    item = " ".join(f"word{i}" for i in range(40))
+    rows = [(None, item, "en", "s", 1), (7001, item, "en", "s", 1), (7001, "nothing here", "en", "s", 1), (7001, item, "en", "s", 1), (7002, None, "en", "s", 1), (7003, "", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for name in ("key", "hash", "at", "words", "slots", "typed", "item", "face", "item_id", "diagonal"):
+        docs = docs.withColumn(name, F.lit("x"))
+    bench = spark.createDataFrame([(1, item), (1, item), (None, item), (2, None), (3, "")], "item_id long, text string").withColumn("key", F.lit("x")).withColumn("doc_id", F.lit("x"))
+    got = [(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, bench).collect()]
+    assert got == [(7001, 1)]
+
+
+@pytest.mark.parametrize("block", [2048, 2])
+def test_jaccard_of_one_key_with_several_texts(spark, block):
+    rng = random.Random(4)
+    base = [" ".join(rng.choice("abcdefgh") * 3 for _ in range(60)) for _ in range(3)]
+    near = [b + " tail" for b in base]
+    rows = [(1, base[0], "en", "s", 0), (1, base[1], "en", "s", 0), (2, near[0], "en", "s", 0), (3, near[1], "en", "s", 0), (4, base[2], "en", "s", 0), (5, near[2], "en", "s", 0), (5, near[2], "en", "s", 0)]
+    got = [(r["doc_id"], r["component_id"]) for r in jaccard.link_components(spark.createDataFrame(rows, SCHEMA), block=block).collect()]
+    assert sorted(got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (5, 4)]
+
+
 def test_windows_and_runs():
     w = Words(pa.array(["a b c", "d", "e f g h"], pa.string()))
     at, row = windows(w.first, w.count, 3)
