@@ -244,32 +244,6 @@ def _faces(k: int) -> object:
     return faces
 
 
-_SEATED = "bundled boolean, where bigint, i bigint, j bigint, component bigint, block bigint, key bigint, tokens binary"
-
-
-def _seated(k: int) -> object:
-    """Each set once for every seat that its key and identity have; a task sends rows that repeat both once."""
-    names = ["bundled", "where", "i", "j", "component", "block"]
-
-    def seated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent = set()
-        for part in slices(batches, "text", SLICE):
-            found = shingle_sets(Words(part.column("text"), lower=True), k)
-            h1, h2 = _identity(found)
-            out = []
-            for i, (key, seats) in enumerate(zip(part.column("key").to_pylist(), part.column("seats").to_pylist(), strict=True)):
-                mine = (key, int(h1[i]), int(h2[i]))
-                if mine in sent:
-                    continue
-                sent.add(mine)
-                out += [(*[seat[n] for n in names], key, found[i].tobytes()) for seat in seats if (seat["h1"], seat["h2"]) == mine[1:]]
-            columns = list(zip(*out, strict=True)) or [[]] * 8
-            types = [pa.bool_(), *[pa.int64()] * 6, pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [*names, "key", "tokens"])
-
-    return seated
-
-
 class _Forest:
     def __init__(self, n: int):
         self.top = np.arange(n)
@@ -338,14 +312,30 @@ def open_groups(sets: list[np.ndarray], side: np.ndarray, num: int, den: int, gr
     return links
 
 
-def _join_block(num: int, den: int) -> object:
+def _seated(one: pd.DataFrame, k: int) -> tuple[list[np.ndarray], list[int]]:
+    """The sets of a component's rows here, and the rows' places: each set once, and only where the seat was meant for it."""
+    sets, places, seen = [], [], set()
+    for low in range(0, len(one), GROUP):
+        part = one.iloc[low : low + GROUP]
+        found = shingle_sets(Words(pa.array(part["text"], pa.string()), lower=True), k)
+        for i, (s, key, block, h1, h2, a, b) in enumerate(zip(found, part["key"], part["block"], part["h1"], part["h2"], *_identity(found), strict=True)):
+            # rows that repeat a key with another text meet its seats too
+            if (a, b) == (h1, h2) and (key, block, a, b) not in seen:
+                seen.add((key, block, a, b))
+                sets.append(s)
+                places.append(low + i)
+    return sets, places
+
+
+def _join_block(num: int, den: int, k: int) -> object:
     def join(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, one in frame.groupby("component", sort=False):
             if len(one) > 1:
-                keys = one["key"].to_numpy()
-                side = (one["block"] != one["block"].min()).to_numpy().astype(int)
-                out += [(keys[i], keys[j]) for i, j in open_groups([np.frombuffer(t, np.uint64) for t in one["tokens"]], side, num, den)]
+                sets, places = _seated(one, k)
+                keys, block = one["key"].to_numpy()[places], one["block"].to_numpy()[places]
+                if len(sets) > 1:
+                    out += [(keys[i], keys[j]) for i, j in open_groups(sets, (block != block.min()).astype(int), num, den)]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return join
@@ -407,9 +397,9 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     several = reps.where(~one).join(seats, ["component", "block"]).select("component", "key", "h1", "h2", "block", F.lit(False).alias("bundled"), F.col("component").alias("where"), "i", "j")
     seated = single.union(several).groupBy(F.col("key").alias("k")).agg(F.collect_list(F.struct("h1", "h2", "component", "bundled", "where", "i", "j", "block")).alias("seats"))
     seated = stored(seated, "jaccard")
-    # a set is cut from its text where it is compared, and travels once to each group
-    rows = held.join(small(seated, reps.count(), SEATS), F.col("key") == F.col("k")).select("key", "text", "seats").mapInArrow(_seated(k), _SEATED)
-    links = stored(rows.groupBy("bundled", "where", "i", "j").applyInPandas(_join_block(num, den), "a bigint, b bigint"), "jaccard")
+    # texts travel once to each group and are half the size of their sets, which are cut where they are compared
+    seats = held.join(small(seated, reps.count(), SEATS), F.col("key") == F.col("k")).select("key", "text", F.inline("seats"))
+    links = stored(seats.groupBy("bundled", "where", "i", "j").applyInPandas(_join_block(num, den, k), "a bigint, b bigint"), "jaccard")
     dropped(reps, seated)
     final = components(links.union(same), "jaccard-final")
     dropped(same, links)
