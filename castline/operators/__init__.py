@@ -1,3 +1,3 @@
 """Queries over the star schema and the logs."""
 
-from . import audits, candidates, catalog, identity, inference, ingest, lines, matching, maxima, observations, orders, plans, records, recovery, refinement, reports, scopes, weights  # noqa: F401
+from . import audits, candidates, catalog, identity, inference, ingest, lineage, lines, matching, maxima, observations, orders, plans, records, recovery, refinement, reports, scopes, weights  # noqa: F401
