@@ -18,16 +18,28 @@ SAFE_MAX = (1 << 53) - 1
 INT_MAX = (1 << 31) - 1
 
 
-def composed(text: Column) -> Column:
-    """The text in Unicode form NFKC; ASCII texts stay in the JVM."""
+def composed(text: Column, form: str = "NFKC") -> Column:
+    """The text in a Unicode form; ASCII texts stay in the JVM."""
 
     @F.pandas_udf("string")
-    def nfkc(texts: pd.Series) -> pd.Series:
+    def normal(texts: pd.Series) -> pd.Series:
         import unicodedata
 
-        return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+        return texts.map(lambda t: unicodedata.normalize(form, t), na_action="ignore")
 
-    return F.coalesce(nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+    return F.coalesce(normal(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+
+
+def lower_each(text: Column) -> Column:
+    """Lower case letter by letter, whatever stands around: a sigma at a word's end stays one, a dotted capital I is an i."""
+    return F.lower(F.translate(text, "\u0130\u03a3", "i\u03c3"))
+
+
+def upper_letter(letter: Column) -> Column:
+    """A letter's upper case where that is one letter too, else the letter; sharp s has a capital."""
+    longer = [c for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x10000)]) if len(c.upper()) > 1]
+    one = {c: c.title() if len(c.title()) == 1 else c for c in longer} | {"\u00df": "\u1e9e"}
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in one.items() for x in pair])[letter], F.upper(letter))
 
 
 def half_width(text: Column) -> Column:
@@ -46,9 +58,9 @@ def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE, " "))
 
 
-def lookup_key(text: Column) -> Column:
-    """The key by which names are looked up."""
-    return F.translate(F.lower(collapsed(composed(text))), *FOLDED)
+def lookup_key(text: Column, form: str = "NFKC") -> Column:
+    """The key by which names are looked up, letters lowered one by one."""
+    return F.translate(lower_each(collapsed(composed(text, form))), *FOLDED)
 
 
 def catalog_name(text: Column, compose: bool = True) -> Column:
@@ -130,7 +142,7 @@ def grid_step(weight: Column) -> Column:
 
 def weight_name(text: Column) -> Column:
     """The exact key of names in weight tables: no letter is folded."""
-    return F.lower(collapsed(text))
+    return lower_each(collapsed(text))
 
 
 def mixed_script_tokens(text: Column) -> Column:

@@ -37,3 +37,16 @@ def test_exact_cells_and_safe_counts(spark):
     assert spark.range(3).agg(texts.safe_count(F.count("*"))).first()[0] == 3
     with pytest.raises(Exception, match="beyond"):
         spark.range(1).select(texts.safe_count(F.lit(1 << 53))).collect()
+
+
+def test_document_keys_of_odd_letters(spark, tmp_path):
+    """Compatibility forms, dotted I, sigma at a word's end, capitals of several letters: as its SQL has them."""
+    import pandas as pd
+    from compare import oracle, rows
+
+    import __spark_entry__ as entry
+
+    odd = ["ﬁn Ｑ²", "İstanbul", "ΑΣ ΣΑΣ.", "ßa", "ᾀx", "ǰ", "é", " ˮ a", "", None]
+    pd.DataFrame({"doc_id": range(len(odd)), "text": odd}).to_parquet(tmp_path / "documents.parquet")
+    got = entry.queries()["document_keys"](spark, str(tmp_path)).toPandas()
+    assert rows(got) == rows(oracle(str(tmp_path), entry.oracle_sql()["document_keys"]))
