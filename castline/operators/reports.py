@@ -12,6 +12,8 @@ from ..plans.registry import query
 from ..plans.tables import Tables, spot_key
 
 PAGE = 20
+#: Rows a task holds where facts are dealt by a group's key: what it sorts follows this, however many rows there are.
+DEALT = 1 << 17
 SPEEDS = {"SLOW": 0, "MEDIUM": 1, "FAST": 2}
 SIZES = {"SMALL": 0, "LARGE": 1}
 
@@ -23,6 +25,20 @@ def _rank(value: Column, ranks: dict[str, int]) -> Column:
     return out
 
 
+def dealt(t: Tables, rows: DataFrame, *keys: str) -> DataFrame:
+    """rows of the facts shuffled once by the keys, into parts by the number of facts; what is grouped by the keys and more needs no other shuffle."""
+    return rows.repartition(max(1, -(-t.raw("lineitem").count() // DEALT)), *keys)
+
+
+def first_of(keys: list[str], *value: str) -> Column:
+    """Whether a row is one that stands for its value in its group: the sum over a group counts its distinct values, nulls left out."""
+    n = F.row_number().over(Window.partitionBy(*keys, *value).orderBy(value[0]))
+    known = F.col(value[0]).isNotNull()
+    for v in value[1:]:
+        known = known | F.col(v).isNotNull()
+    return (known & (n == 1)).cast("long")
+
+
 def located(t: Tables) -> DataFrame:
     return t.report.join(t.location.select("location_id", "base_id"), "location_id")
 
@@ -32,18 +48,21 @@ def fish_catch_aggregates(t: Tables, least_contributors: int = 2) -> DataFrame:
 
     One pass over the facts: a location tells its base and a pair its bounds, so
     these join the groups that are left.  A value is the only one if least and
-    greatest agree, and the few combinations are bits, so two distinct counts remain.
+    greatest agree, and the few combinations are bits; distinct contributors and
+    places are counted where the group's rows are.
     """
-    rows = t.report.withColumn("spot", spot_key(F.col("spot_position_raw")))
-    place = F.struct("hole_depth_cm", "spot")
+    keys = ["fish_id", "location_id", "bait_id"]
+    columns = [*keys, "contributor_key", "weight_grams", "hole_depth_cm", "user_note_raw", "fishing_method", "spinning_speed", "spinning_size"]
+    rows = dealt(t, t.report.select(*columns, spot_key(F.col("spot_position_raw")).alias("spot")), *keys)
+    rows = rows.withColumns({"_contributor": first_of(keys, "contributor_key"), "_place": first_of(keys, "hole_depth_cm", "spot")})
     bit = _rank(F.col("spinning_speed"), SPEEDS) * (len(SIZES) + 1) + _rank(F.col("spinning_size"), SIZES)
     spun = (F.col("fishing_method") == "SPINNING") & (F.col("spinning_speed").isNotNull() | F.col("spinning_size").isNotNull())
     only = lambda c: F.when(F.min(c) == F.max(c), F.min(c))
-    grouped = rows.groupBy("fish_id", "location_id", "bait_id").agg(
-        F.countDistinct("contributor_key").alias("contributors"),
+    grouped = rows.groupBy(*keys).agg(
+        F.sum("_contributor").alias("contributors"),
         F.count("*").alias("reports"),
         F.max("weight_grams").alias("max_observed"),
-        F.countDistinct(F.when(F.col("hole_depth_cm").isNotNull() | F.col("spot").isNotNull(), place)).alias("places"),
+        F.sum("_place").alias("places"),
         only("hole_depth_cm").alias("only_depth"),
         only("user_note_raw").alias("only_note"),
         F.bit_or(F.when(spun, F.pow(F.lit(2), bit).cast("long"))).alias("bits"),
@@ -116,9 +135,8 @@ FROM g LEFT JOIN r ON r.n = 1 AND r.location_id = g.location_id AND r.hole_depth
 """,
 )
 def hole_statistics(t: Tables) -> DataFrame:
-    """Per location, depth and normalised spot; its most usual spelling joins by plain equality, so no spot means no spelling."""
-    rows = t.report.where("hole_depth_cm is not null").withColumn("spot", spot_key(F.col("spot_position_raw")))
-    return _with_spelling(rows, null_safe=False)
+    """Per location, depth and normalised spot, with its most usual spelling; no spot means no spelling."""
+    return _places(t, "hole_depth_cm is not null").drop("top_baits")
 
 
 @query(
@@ -138,25 +156,32 @@ LEFT JOIN top ON top.location_id = g.location_id AND top.hole_depth_cm IS NOT DI
 )
 def spot_statistics(t: Tables) -> DataFrame:
     """Per location, depth and spot where either is known, null-safe, with the top three baits."""
-    rows = t.report.withColumn("spot", spot_key(F.col("spot_position_raw"))).where("hole_depth_cm is not null or spot is not null")
-    groups = _with_spelling(rows, null_safe=True)
-    keys = ["location_id", "hole_depth_cm", "spot"]
-    baits = rows.groupBy(*keys, "bait_id").agg(F.countDistinct("contributor_key").alias("c"), F.count("*").alias("r"))
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("c"), F.desc("r"), "bait_id"))
-    top = baits.withColumn("n", n).where("n <= 3").groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "bait_id"))), lambda x: x["bait_id"].cast("string")), ",").alias("top_baits"))
-    top = top.select(*[F.col(k).alias(f"t_{k}") for k in keys], "top_baits")
-    return groups.join(top, [groups[k].eqNullSafe(top[f"t_{k}"]) for k in keys], "left").drop(*[f"t_{k}" for k in keys])
+    return _places(t, "hole_depth_cm is not null or spot is not null")
+
 
+def _places(t: Tables, known: str) -> DataFrame:
+    """Counts, latest report, usual spelling and top three baits of each place, from one shuffle of the facts by place.
 
-def _with_spelling(rows: DataFrame, null_safe: bool) -> DataFrame:
+    Spellings and baits are groups inside a place, so their sums are windows over
+    the place's few combinations of both; a baits' list is as long as the catalog.
+    """
     keys = ["location_id", "hole_depth_cm", "spot"]
-    measures = [F.countDistinct("contributor_key").alias("contributors"), F.count("*").alias("reports"), F.max("created_at").alias("latest")]
-    groups = rows.groupBy(*keys).agg(*measures, F.countDistinct("fish_id").alias("fish"))
-    spelled = rows.where("spot is not null").groupBy(*keys, "spot_position_raw").agg(*measures)
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("contributors"), F.desc("reports"), F.desc("latest"), "spot_position_raw"))
-    usual = spelled.withColumn("n", n).where("n = 1").select(*[F.col(k).alias(f"u_{k}") for k in keys], F.col("spot_position_raw").alias("spot_position"))
-    same = [groups[k].eqNullSafe(usual[f"u_{k}"]) if null_safe else groups[k] == usual[f"u_{k}"] for k in keys]
-    return groups.join(usual, same, "left").select("location_id", "hole_depth_cm", "contributors", "reports", "fish", "latest", "spot_position", "spot")
+    spelling, bait = [*keys, "spot_position_raw"], [*keys, "bait_id"]
+    facts = t.report.select("location_id", "hole_depth_cm", spot_key(F.col("spot_position_raw")).alias("spot"), "spot_position_raw", "bait_id", "contributor_key", "fish_id", "created_at").where(known)
+    who = "contributor_key"
+    rows = dealt(t, facts, *keys).withColumns({"c": first_of(keys, who), "cs": first_of(spelling, who), "cb": first_of(bait, who), "f": first_of(keys, "fish_id")})
+    sums = [F.sum(c).alias(c) for c in ("c", "cs", "cb", "f")]
+    both = rows.groupBy(*spelling, "bait_id").agg(F.count("*").alias("r"), F.max("created_at").alias("latest"), *sums)
+    of_spelling, of_bait = Window.partitionBy(*spelling), Window.partitionBy(*bait)
+    both = both.withColumns({"s_c": F.sum("cs").over(of_spelling), "s_r": F.sum("r").over(of_spelling), "s_latest": F.max("latest").over(of_spelling), "b_c": F.sum("cb").over(of_bait), "b_r": F.sum("r").over(of_bait)})
+    # least struct: most contributors, most reports, latest, spelling
+    usual = F.struct((-F.col("s_c")).alias("c"), (-F.col("s_r")).alias("r"), F.coalesce(-F.unix_micros(F.col("s_latest").cast("timestamp")), F.lit((1 << 63) - 1)).alias("l"), F.col("spot_position_raw").alias("name"))
+    best = F.slice(F.array_sort(F.collect_set(F.struct((-F.col("b_c")).alias("c"), (-F.col("b_r")).alias("r"), "bait_id"))), 1, 3)
+    places = both.groupBy(*keys).agg(
+        F.sum("c").alias("contributors"), F.sum("r").alias("reports"), F.sum("f").alias("fish"), F.max("latest").alias("latest"), F.min(F.when(F.col("spot").isNotNull(), usual)).alias("usual"), best.alias("best")
+    )
+    top = F.array_join(F.transform("best", lambda x: x["bait_id"].cast("string")), ",")
+    return places.select("location_id", "hole_depth_cm", "contributors", "reports", "fish", "latest", F.col("usual.name").alias("spot_position"), "spot", top.alias("top_baits"))
 
 
 @query(
@@ -234,11 +259,12 @@ SELECT g.*, m.report_id AS record_id, m.weight_grams AS record_grams FROM g JOIN
 """,
 )
 def location_observations(t: Tables) -> DataFrame:
-    """Per location and fish: counts, and the heaviest report, the newest of equals, in one aggregation."""
+    """Per location and fish: counts, and the heaviest report, the newest of equals, where the group's rows are."""
+    keys = ["location_id", "fish_id"]
     best = F.max(F.struct("weight_grams", "created_at", "report_id"))
-    groups = t.report.groupBy("location_id", "fish_id").agg(
-        F.count("*").alias("reports"), F.countDistinct("contributor_key").alias("contributors"), F.countDistinct("hole_depth_cm").alias("holes"), F.countDistinct("user_note_raw").alias("notes"), best.alias("best")
-    )
+    rows = dealt(t, t.report.select(*keys, "contributor_key", "hole_depth_cm", "user_note_raw", "weight_grams", "created_at", "report_id"), *keys)
+    rows = rows.withColumns({"c": first_of(keys, "contributor_key"), "h": first_of(keys, "hole_depth_cm"), "u": first_of(keys, "user_note_raw")})
+    groups = rows.groupBy(*keys).agg(F.count("*").alias("reports"), F.sum("c").alias("contributors"), F.sum("h").alias("holes"), F.sum("u").alias("notes"), best.alias("best"))
     return groups.select("location_id", "fish_id", "reports", "contributors", "holes", "notes", F.col("best.report_id").alias("record_id"), F.col("best.weight_grams").alias("record_grams"))
 
 
