@@ -11,6 +11,7 @@ from ..functions.texts import digit_padded
 from ..plans.registry import query
 from ..plans.tables import Tables
 from .records import WEEK_SQL
+from .reports import dealt
 
 #: Columns of the notebook's sort modes: each goes up and down, nulls last both ways, ties in the given order.
 NOTEBOOK_KEYS = {"name": "name_normalized", "catches": "catches", "min": "min_weight_grams", "max": "max_weight_grams"}
@@ -104,7 +105,8 @@ HAVING sum(n) >= 2 AND bool_or(hole) AND bool_or(spinning) AND bool_or(comment)
 def location_rows(t: Tables, min_count: int = 2, bait_id: int = 2) -> DataFrame:
     """Fish of locations with enough reports, a hole, a spinning and a comment, and the bait among their top three."""
     some = lambda c: F.bool_or(F.col(c).isNotNull())
-    baits = t.report.groupBy("location_id", "fish_id", "bait_id").agg(F.count("*").alias("n"), some("hole_depth_cm").alias("hole"), some("spinning_size").alias("spinning"), some("user_note_raw").alias("comment"))
+    facts = dealt(t, t.report.select("location_id", "fish_id", "bait_id", "hole_depth_cm", "spinning_size", "user_note_raw"), "location_id", "fish_id")
+    baits = facts.groupBy("location_id", "fish_id", "bait_id").agg(F.count("*").alias("n"), some("hole_depth_cm").alias("hole"), some("spinning_size").alias("spinning"), some("user_note_raw").alias("comment"))
     ranked = baits.withColumn("k", F.row_number().over(Window.partitionBy("location_id", "fish_id").orderBy(F.desc("n"), "bait_id")))
     rows = ranked.groupBy("location_id", "fish_id").agg(
         F.sum("n").alias("reports"), F.max(F.when(F.col("k") == 1, F.col("bait_id"))).alias("main_bait"),
