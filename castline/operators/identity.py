@@ -59,10 +59,13 @@ def suffix_match(t: Tables) -> DataFrame:
     tail = F.when(F.col("fish_id") % 5 == 0, " maybe").otherwise("")
     fish = t.fish.select("fish_id", F.concat_ws(" ", "name", F.floor(F.col("fish_id") / 20).cast("string")).alias("name"))
     lines = fish.select(F.col("fish_id").alias("line_id"), F.split(F.concat(F.lit("a very big "), "name", tail), " ").alias("words"))
-    # an equi-join on the line's own suffixes
-    suffixes = F.transform(F.sequence(F.lit(1), F.size("words")), lambda i: F.array_join(F.slice("words", i, F.size("words")), " "))
     names = fish.groupBy("name").agg(F.count("*").alias("n"), F.min("fish_id").alias("fish_id"))
-    longest = lines.select("line_id", F.explode(suffixes).alias("name")).join(names, "name", "left").groupBy("line_id").agg(F.max(F.when(F.col("n").isNotNull(), F.struct(F.length("name").alias("size"), "name", "n", "fish_id"))).alias("k"))
+    # an equi-join on the line's own suffixes of as many words as names have: a row a word count
+    counts = names.select(F.size(F.split("name", " ")).alias("count")).distinct()
+    ends = lines.select("line_id", F.size("words").alias("size"), "words", F.posexplode(F.reverse(F.sequence(F.lit(1), F.size("words")))).alias("at", "first")).select("line_id", (F.col("at") + 1).alias("count"), F.slice("words", F.col("first"), F.col("size")).alias("end"))
+    tried = ends.join(F.broadcast(counts), "count").select("line_id", F.array_join("end", " ").alias("name"))
+    found = tried.join(names, "name").groupBy("line_id").agg(F.max(F.struct(F.length("name").alias("size"), "name", "n", "fish_id")).alias("k"))
+    longest = lines.select("line_id").join(found, "line_id", "left")
     n = F.col("k.n")
     return longest.select("line_id", "k.name", F.when(n.isNull(), "NOT_FOUND").when(n == 1, "UNIQUE").otherwise("AMBIGUOUS").alias("status"), F.when(n == 1, F.col("k.fish_id")).alias("fish_id"))
 
