@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.texts import catalog_name
 from ..plans.registry import query
 from ..plans.tables import Tables
+from .reports import parts_of
 
 #: White space, words for size and speed, notes, short forms of anchors, the largest depth.
 _W = r"\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
@@ -149,6 +150,18 @@ def parsed_observations(rows: DataFrame, text: str, method: str, anchors: list[s
     return d.withColumns(out).drop(*[c for c in d.columns if c.startswith("_") and c not in rows.columns])
 
 
+def parsed_repeats(rows: DataFrame, text: str, method: str, anchors: list[str], parts: int) -> DataFrame:
+    """parsed_observations where texts repeat: rows are dealt by hash into parts, and each text of a part is read once.
+
+    A part holds a share of the rows whatever they say, so a text that many rows share is no hot key.
+    """
+    others = [c for c in rows.columns if c not in (text, method)]
+    held = rows.withColumn("_part", F.pmod(F.xxhash64(*others), F.lit(parts))).repartition(parts, "_part")
+    once = held.groupBy("_part", text, method).agg(F.collect_list(F.struct(*others)).alias("_same"))
+    read = parsed_observations(once, text, method, anchors).drop("_part")
+    return read.select(*[c for c in read.columns if c != "_same"], F.inline("_same"))
+
+
 #: Anchors of the derived texts.
 ANCHORS = ["удочка", "леска", "чат", "блокнот"]
 
@@ -178,5 +191,5 @@ def observations_of_reports(t: Tables) -> DataFrame:
         F.concat(F.lit("бол/м. Взял сразу, номер "), F.col("report_id").cast("string"), F.lit(".")), F.coalesce(F.concat(F.lit("("), deep, F.lit(" над рюкзак/данные бол/м)")), F.lit("вдали")), F.lit("4.65 над леской 5.55 над удочкой"), F.concat_ws(" ", F.lit("непонятно;"), deep, F.lit("со дна!")),
     ]
     rows = t.report.select("report_id", "hole_depth_cm", "fishing_method", F.element_at(F.array(*texts), (form + 1).cast("int")).alias("written"))
-    out = parsed_observations(rows, "written", "fishing_method", ANCHORS)
+    out = parsed_repeats(rows, "written", "fishing_method", ANCHORS, parts_of(t.raw("lineitem")))
     return out.select("report_id", "depth_cm", "spot", "fishing_note", "size", "speed", "user_note", F.array_join("unresolved", "|").alias("unresolved"))

@@ -25,9 +25,14 @@ def _rank(value: Column, ranks: dict[str, int]) -> Column:
     return out
 
 
+def parts_of(facts: DataFrame) -> int:
+    """The parts that facts are dealt into, by their number."""
+    return max(1, -(-facts.count() // DEALT))
+
+
 def dealt(t: Tables, rows: DataFrame, *keys: str) -> DataFrame:
     """rows of the facts shuffled once by the keys, into parts by the number of facts; what is grouped by the keys and more needs no other shuffle."""
-    return rows.repartition(max(1, -(-t.raw("lineitem").count() // DEALT)), *keys)
+    return rows.repartition(parts_of(t.raw("lineitem")), *keys)
 
 
 def first_of(keys: list[str], *value: str) -> Column:

@@ -87,3 +87,12 @@ def test_inactive_anchors_name_nothing(spark):
 def test_plan_is_one_projection(spark):
     plan = parsed_observations(spark.range(5).selectExpr("cast(id as string) written", "'SPINNING' method"), "written", "method", ANCHORS)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_repeated_texts_are_read_once_and_rows_stay(spark):
+    from castline.operators.observations import parsed_repeats
+
+    said = ["ямка 6,00 удочка", "(бол/м)", None, "(4.65 над леской)"]
+    rows = spark.createDataFrame([(i, said[i % 4], LURE if i % 3 else None) for i in range(40)] + [(7, said[0], BAIT), (7, said[0], BAIT)], "id long, t string, m string")
+    shown = lambda d: sorted(map(repr, d.select("id", "t", "m", "depth_cm", "spot", "fishing_note", "size", "speed", "user_note", "unresolved", "spans").collect()))
+    assert shown(parsed_repeats(rows, "t", "m", ANCHORS, 3)) == shown(parsed_observations(rows, "t", "m", ANCHORS))
