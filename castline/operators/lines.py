@@ -20,12 +20,15 @@ from ..functions.texts import FOLDED, collapsed, composed
 from ..plans.registry import query
 from ..plans.tables import Tables
 from .inference import decimal_text, weight_text
-from .observations import ANCHORS, parsed_observations, trimmed
+from .observations import ANCHORS, parsed_repeats, trimmed
+from .reports import parts_of
 
 #: Form of a line up to the place, what may stand behind a name, the longest name.
 HEAD = r"(?s)^(.*) ([0-9]+(?:,[0-9]{3})?) (кг|грамм)\. Поймана на ([^:]*): (.*)\z"
 NAME_END = r"[\s.,;:!?/\\()\[\]{}]"
 NAME_MAX = 128
+#: Names that are broadcast; more are joined by a shuffle.
+KNOWN = 500_000
 
 
 def _key(text: Column) -> Column:
@@ -38,7 +41,9 @@ def longest_known(rows: DataFrame, ends: Column, names: DataFrame, scope: list[s
     tried = rows.where("rest is not null").select("id", *scope, "rest", F.explode(ends).alias("end"))
     tried = tried.select("id", *scope, "end", _key(F.substring(F.col("rest"), F.lit(1), F.col("end"))).alias("key")).where("key <> ''")
     known = names.groupBy(*scope, "key").agg(F.min("name_id").alias("name_id"), F.count("*").alias("n"))
-    best = tried.join(known, [*scope, "key"]).groupBy("id").agg(F.max(F.struct("end", "name_id", "n")).alias("b"))
+    # a small catalog comes to the prefixes, so that these are not shuffled
+    small = F.broadcast(known) if names.count() <= KNOWN else known
+    best = tried.join(small, [*scope, "key"]).groupBy("id").agg(F.max(F.struct("end", "name_id", "n")).alias("b"))
     return best.select("id", F.col("b.end").alias(f"{found}_end"), F.when(F.col("b.n") == 1, F.col("b.name_id")).alias(f"{found}_id"), F.col("b.n").alias(f"{found}_n"))
 
 
@@ -67,8 +72,11 @@ def split_places(rows: DataFrame, places: DataFrame, baits: DataFrame) -> DataFr
     return second.withColumns({"bait_text": trimmed(head), "observation": F.nullif(trimmed(tail), F.lit("")), "bait_n": F.coalesce("bait_n", F.lit(0))}).drop("rest", "bait_end")
 
 
-def parse_reports(lines: DataFrame, fish: DataFrame, bases: DataFrame, places: DataFrame, baits: DataFrame, anchors: list[str]) -> DataFrame:
-    """Lines (id, line) resolved whole: ids, grams, and what the observation says; fish, bases are (name_id, name), baits (name_id, name, type)."""
+def parse_reports(lines: DataFrame, fish: DataFrame, bases: DataFrame, places: DataFrame, baits: DataFrame, anchors: list[str], parts: int = 1) -> DataFrame:
+    """Lines (id, line) resolved whole: ids, grams, and what the observation says; fish, bases are (name_id, name), baits (name_id, name, type).
+
+    Observations are read once in each of the parts.
+    """
     part = lambda i: F.nullif(F.regexp_extract("line", HEAD, i), F.lit(""))
     grams = F.when(part(3) == "кг", decimal_text(part(2), 3)).otherwise(part(2).try_cast("long"))
     rows = lines.select("id", _key(composed(part(1))).alias("fish_key"), grams.alias("grams"), _key(composed(part(4))).alias("base_key"), part(5).alias("rest"))
@@ -76,7 +84,7 @@ def parse_reports(lines: DataFrame, fish: DataFrame, bases: DataFrame, places: D
     rows = rows.join(named(fish, "fish"), "fish_key", "left").join(named(bases, "base"), "base_key", "left").drop("fish_key", "base_key")
     parted = split_places(rows, places, baits).join(baits.select(F.col("name_id").alias("bait_id"), "type"), "bait_id", "left")
     method = F.when(F.col("type") == "LURE", "SPINNING").when(F.col("type").isNotNull(), "BAIT_FISHING")
-    read = parsed_observations(parted.withColumn("method", method), "observation", "method", anchors)
+    read = parsed_repeats(parted.withColumn("method", method), "observation", "method", anchors, parts)
     state = lambda c: F.when(F.col(f"{c}_n") == 0, "missing").when(F.col(f"{c}_n") > 1, "ambiguous").otherwise("")
     return read.withColumns({"place_state": state("place"), "bait_state": state("bait")})
 
@@ -106,6 +114,6 @@ def parsed_reports(t: Tables) -> DataFrame:
     line = F.concat("fish", F.lit(" "), weight_text(F.col("weight_grams")), F.lit(". Поймана на "), "base", F.lit(": "), place, F.lit(", "), bait, F.lit(". "), said)
     # report ids of the given tables repeat: the whole row is the id
     whole = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("report_id", "fish_id", "location_id", "bait_id", "weight_grams", "hole_depth_cm")])
-    out = parse_reports(rows.select(whole.alias("id"), line.alias("line")), fish, bases, places, baits, ANCHORS)
+    out = parse_reports(rows.select(whole.alias("id"), line.alias("line")), fish, bases, places, baits, ANCHORS, parts_of(t.raw("lineitem")))
     odd = lambda c: F.when(F.col(f"{c}_state") == "missing", F.col(f"{c}_text")).otherwise(F.col(f"{c}_state"))
     return out.select("fish_id", "base_id", "place_id", odd("place").alias("odd_place"), "bait_id", odd("bait").alias("odd_bait"), "grams", "depth_cm", "spot", "fishing_note", F.array_join("unresolved", "|").alias("unresolved"))
