@@ -6,7 +6,11 @@
    Shingles frequent in a bounded sample are left out of the parts at first;
    a document made of little else sends signatures over its full set as well,
    with ever finer parts, until the counting argument holds for it.  So no
-   link is lost, whatever the sample says: it only steers the work.
+   link is lost, whatever the sample says: it only steers the work.  Of a set
+   with more filled parts than a linked set can differ in by d, the first d + 1
+   parts in order of how many shingles they hold are sent: the first part of that
+   order that two linked sets agree on is among these of both.  A part of a
+   single shingle, on which long documents agree by chance, is hardly ever sent.
 2. Similar documents.  Documents with a signature are linked to the smallest of
    them, and the connected components are the partition into similar documents.  Equal sets
    collapse into a class, of which one document stands for all.
@@ -44,6 +48,8 @@ from .textscan import Words, mix, ragged, runs_hash, slices, windows
 #: The frequent-shingle set steers work and never decides a link: one document in SAMPLE_EVERY is counted.
 SAMPLE_EVERY, SAMPLE_LEAST, FREQUENT_BITS, SHARE_BITS = 16, 3, 26, 6
 BLOCK, GROUP = 2048, 32
+#: Parts of a set for each shingle that a linked one may differ in: enough that those of two shingles or more outnumber the differences.
+PARTS = 1.25
 #: Shingles of a block of documents, 8 bytes each: what a task holds at once follows it, however long the documents.
 BLOCK_SHINGLES = 1 << 20
 #: Ratio of the largest to the smallest set of a cell, and rows of seats that are broadcast (some 100 bytes each).
@@ -80,7 +86,12 @@ def size_classes(limit: int, growth: float = 1.6) -> np.ndarray:
 
 
 def signatures(sets: list[np.ndarray], num: int, den: int, frequent: Frequent | None) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of all sets and the index of the set of each; two sets with J >= num / den share one."""
+    """Signatures of all sets and the index of the set of each; two sets with J >= num / den share one.
+
+    Sets that link agree on all filled parts of a level but for ``differ`` of them
+    at most, so of those they agree on the first, in any order of signatures, has
+    at most ``differ`` before it in either set.
+    """
     n = np.array([len(s) for s in sets], np.int64)
     if not n.sum():
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -101,7 +112,7 @@ def signatures(sets: list[np.ndarray], num: int, den: int, frequent: Frequent |
     level = 0
     while len(who):
         largest = bounds[cls + 1] - 1
-        parts = np.ceil(1.15 * (largest * (den - num) // num)).astype(np.int64) + 1
+        parts = np.ceil(PARTS * (largest * (den - num) // num)).astype(np.int64) + 1
         parts *= 4 ** max(0, level - 1)
         index = ragged(start[who], n[who])
         task = np.repeat(np.arange(len(who)), n[who])
@@ -118,9 +129,14 @@ def signatures(sets: list[np.ndarray], num: int, den: int, frequent: Frequent |
             t = task[order][heads]
             part = (cell[heads] - offset[t]).astype(np.uint64)
             label = mix(part + (cls[t].astype(np.uint64) << np.uint64(40)) + (np.uint64(level) << np.uint64(56)))
-            sigs.append(mix(sums ^ label))
-            owners.append(who[t])
+            sig = mix(sums ^ label)
             filled = np.bincount(t, minlength=len(who))
+            # t ascends: fullest parts first inside each task
+            best = np.lexsort((sig, -np.diff(np.append(heads, len(cell))), t))
+            rank = np.arange(len(t)) - (np.cumsum(filled) - filled)[t]
+            sent = best[rank <= differ[who[t]]]
+            sigs.append(sig[sent])
+            owners.append(who[t[sent]])
         more = filled <= differ[who]
         who, cls = who[more], cls[more]
         level += 1

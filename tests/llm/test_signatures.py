@@ -27,3 +27,14 @@ def test_linked_sets_share_a_signature_whatever_is_frequent(share, num):
             linked += 1
             assert held[i] & held[i + 1]
     assert linked > 10
+
+
+def test_sets_that_share_few_shingles_share_no_signature():
+    draw = np.random.default_rng(3)
+    common = draw.integers(0, 1 << 63, 300, dtype=np.uint64)
+    sets = [np.unique(np.append(draw.integers(0, 1 << 63, 1000, dtype=np.uint64), draw.choice(common, 10, replace=False))) for _ in range(60)]
+    sig, owner = signatures(sets, 80, 100, None)
+    # one more than linked sets can differ in, in each of a set's size classes, which are two at most
+    assert np.bincount(owner).max() <= 2 * (1010 // 4 + 1)
+    pairs = np.unique(np.stack([sig.view(np.int64), owner], 1), axis=0)
+    assert len(pairs) - len(np.unique(sig)) <= 2
