@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.classify import half_up, week_start
+from ..functions.paging import numbered
 from ..plans.registry import query
 from ..plans.tables import Tables
 from ..session import checkpointed
@@ -26,8 +27,8 @@ from .weights import swept
 #: Cluster width, share of the maximum that is near it, calibrators needed, bin and window width, band tolerance.
 WIDTH, NEAR, CALIBRATORS, BIN, WINDOW = 1.01, 0.98, 20, 0.005, 0.01
 TOLERANCE = BIN / 2
-#: Control fish and bases that fill a bin, fish and bases of a recurring window.
-BIN_FISH, BIN_BASES, WINDOW_FISH, WINDOW_BASES = 5, 3, 2, 2
+#: Control fish and bases that fill a bin.
+BIN_FISH, BIN_BASES = 5, 3
 
 PAIR = ["fish_id", "base_id"]
 
@@ -134,36 +135,83 @@ def within(rows: DataFrame, bands: DataFrame, slack: float = 0.0, how: str = "in
     return rows.join(cells, (F.floor(F.col("ratio") / BIN) == F.col("_cell")) & (F.col("ratio") >= F.col("_lower")) & (F.col("ratio") <= F.col("_upper")), how).drop("_cell", "_lower", "_upper")
 
 
-def recurring_windows(envelope: DataFrame) -> DataFrame:
-    """Rows (start, pair, weeks, least, most): the pairs of two weeks or more in the window above each ratio that holds enough fish and bases."""
-    often = envelope.groupBy(*PAIR).agg(F.countDistinct("week").alias("w")).where("w >= 2").select(*PAIR)
-    cell = F.floor(F.col("ratio") / WINDOW)
-    starts = envelope.select(F.col("ratio").alias("start"), cell.alias("cell")).distinct()
-    # a ratio lies in windows that start in its own cell or just below
-    dealt = envelope.join(often, PAIR, "left_semi").select(*PAIR, "week", "ratio", F.explode(F.sequence(cell - 2, cell)).alias("cell"))
-    held = dealt.join(starts, "cell").where((F.col("ratio") >= F.col("start")) & (F.col("ratio") <= F.col("start") + WINDOW))
-    pairs = held.groupBy("start", *PAIR).agg(F.countDistinct("week").alias("weeks"), F.min("ratio").alias("least"), F.max("ratio").alias("most")).where("weeks >= 2")
-    enough = pairs.groupBy("start").agg(F.countDistinct("fish_id").alias("f"), F.countDistinct("base_id").alias("b")).where((F.col("f") >= WINDOW_FISH) & (F.col("b") >= WINDOW_BASES))
-    return pairs.join(enough.select("start"), "start", "left_semi")
+#: Nodes (level, node) of a binary tree over numbers: those that make up first to last, two a level at most, and those above a number.
+PIECES = """filter(flatten(transform(sequence(0, {0}), k -> array(
+  IF(shiftright(first + shiftleft(1L, k) - 1, k) < shiftright(last + 1, k) AND shiftright(first + shiftleft(1L, k) - 1, k) % 2 = 1, named_struct('level', k, 'node', shiftright(first + shiftleft(1L, k) - 1, k)), NULL),
+  IF(shiftright(first + shiftleft(1L, k) - 1, k) < shiftright(last + 1, k) AND shiftright(last + 1, k) % 2 = 1, named_struct('level', k, 'node', shiftright(last + 1, k) - 1), NULL)))), p -> p IS NOT NULL)"""
+ABOVE = "transform(sequence(0, {0}), k -> named_struct('level', k, 'node', shiftright(at, k)))"
 
 
-def disjoint_windows(windows: DataFrame) -> DataFrame:
-    """Of windows in order of pair weeks, narrowness and place, those that share no pair with one taken before: (order, start, pair, least, most).
+def over(points: DataFrame, ranges: DataFrame, levels: int, *totals: Column) -> DataFrame:
+    """Rows (at, totals) of points (at) that ranges (first, last, ...) hold, totals over those ranges; of totals that can be totalled again."""
+    parts = ranges.select("*", F.expr(f"inline({PIECES.format(levels)})")).groupBy("level", "node").agg(*totals)
+    return points.select("at", F.expr(f"inline({ABOVE.format(levels)})")).join(parts, ["level", "node"]).groupBy("at").agg(*totals)
+
+
+def earliest(ranges: DataFrame, points: DataFrame, levels: int) -> DataFrame:
+    """Rows (first, last, turn) of the ranges that hold a point (at, turn), with the least turn inside."""
+    parts = points.select("turn", F.expr(f"inline({ABOVE.format(levels)})")).groupBy("level", "node").agg(F.min("turn").alias("turn"))
+    return ranges.select("first", "last", F.expr(f"inline({PIECES.format(levels)})")).join(parts, ["level", "node"]).groupBy("first", "last").agg(F.min("turn").alias("turn"))
+
+
+def recurring_spans(envelope: DataFrame, starts: DataFrame) -> DataFrame:
+    """Rows (pair, first, last, weeks, least, most): from which start (by number) to which a window above it holds the same weights of the pair, of two weeks or more.
+
+    A ratio lies in the windows from the first start whose end reaches it to
+    itself.  So a pair's windows change only where one of its ratios comes or
+    goes, and its rows are as many as its ratios, not as the windows it lies in.
+    """
+    ends = starts.select("start", F.lit(0).alias("end")).union(starts.select(F.col("start") + WINDOW, F.lit(1)))
+    places = numbered(ends, [F.col("start"), F.col("end")], "place").where("end = 0").select("start", "place")
+    reach = starts.join(places, "start").select(F.col("start").alias("ratio"), (F.col("place") - F.col("n") + 1).alias("first"), (F.col("n") + 1).alias("stop"))
+    held = envelope.select(*PAIR, "week", "ratio").join(reach, "ratio").repartition(*PAIR)
+    # a week counts once: for a ratio as far as the week's next one
+    following = F.lead("first").over(Window.partitionBy(*PAIR, "week").orderBy("ratio"))
+    held = held.withColumn("until", F.least("stop", F.coalesce(following, F.col("stop"))))
+    step = lambda at, weeks, comes, goes: F.struct(F.col(at).alias("at"), F.lit(weeks).alias("weeks"), comes.alias("comes"), goes.alias("goes"))
+    ratio, none = F.col("ratio"), F.lit(None).cast("double")
+    moves = held.select(*PAIR, F.inline(F.array(step("first", 1, ratio, none), step("until", -1, none, none), step("stop", 0, none, ratio))))
+    moves = moves.groupBy(*PAIR, "at").agg(F.sum("weeks").alias("weeks"), F.max("comes").alias("comes"), F.min("goes").alias("goes"))
+    place = Window.partitionBy(*PAIR)
+    upto, after = place.orderBy("at").rowsBetween(Window.unboundedPreceding, 0), place.orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
+    out = moves.select(*PAIR, F.col("at").alias("first"), (F.lead("at").over(place.orderBy("at")) - 1).alias("last"), F.sum("weeks").over(upto).alias("weeks"), F.min("goes").over(after).alias("least"), F.max("comes").over(upto).alias("most"))
+    return out.where("weeks >= 2")
+
+
+def recurring_windows(spans: DataFrame, starts: DataFrame, levels: int) -> DataFrame:
+    """Rows (at, turn): the windows of two fish and two bases or more, and their place in order of pair weeks, narrowness and place.
+
+    Only starts where a span begins or has ended: at another the window holds what
+    the one before it holds, comes after it and is never taken.
+    """
+    totals = {"w": F.sum, "low": F.min, "top": F.max, "fish": F.min, "fish_to": F.max, "base": F.min, "base_to": F.max}
+    ranges = spans.groupBy("first", "last").agg(
+        F.sum("weeks").alias("w"), F.min("least").alias("low"), F.max("most").alias("top"), F.min("fish_id").alias("fish"), F.max("fish_id").alias("fish_to"), F.min("base_id").alias("base"), F.max("base_id").alias("base_to")
+    )
+    points = spans.select(F.explode(F.array(F.col("first"), F.col("last") + 1)).alias("at")).distinct()
+    whole = over(points, ranges, levels, *[f(c).alias(c) for c, f in totals.items()]).where("fish < fish_to and base < base_to")
+    whole = whole.join(starts, F.col("at") == F.col("n")).select("at", "w", (F.col("top") - F.col("low")).alias("width"), "low")
+    return numbered(whole, [F.desc("w"), F.col("width"), F.col("low"), F.col("at")], "turn").select("at", "turn")
+
+
+def disjoint_windows(spans: DataFrame, windows: DataFrame, levels: int) -> DataFrame:
+    """Of windows in their order those that share no pair with one taken before: (turn, pair, least, most).
 
     In a round every window that comes first among all that share a pair with it
     is taken, and those that share one with it go: what taking one after another
     would leave, in as many rounds as chains of overlaps are long.
     """
-    whole = windows.groupBy("start").agg(F.sum("weeks").alias("w"), F.min("least").alias("low"), F.max("most").alias("top"))
-    order = F.struct((-F.col("w")).alias("w"), (F.col("top") - F.col("low")).alias("width"), F.col("low").alias("low"), F.col("start").alias("at"))
-    left = checkpointed(windows.join(whole.select("start", order.alias("order")), "start"))
-    taken = left.limit(0)
-    while left.limit(1).count():
-        first = left.groupBy(*PAIR).agg(F.min("order").alias("first"))
-        state = left.join(first, PAIR).groupBy("start").agg(F.every(F.col("order") == F.col("first")).alias("wins"))
-        won = checkpointed(left.join(state.where("wins").select("start"), "start", "left_semi"))
-        blocked = left.join(won.select(*PAIR), PAIR, "left_semi").select("start").distinct()
-        taken, left = taken.union(won), checkpointed(left.join(blocked, "start", "left_anti"))
+    left, taken = checkpointed(windows), None
+    while taken is None or left.limit(1).count():
+        own = spans.join(earliest(spans.select("first", "last").distinct(), left, levels), ["first", "last"])
+        own = checkpointed(own.withColumn("turn", F.min("turn").over(Window.partitionBy(*PAIR))))
+        next_ = over(left, own.groupBy("first", "last").agg(F.min("turn").alias("next")), levels, F.min("next").alias("next"))
+        won = checkpointed(left.join(next_, "at").where("turn = next").select("at", "turn"))
+        mine = checkpointed(own.join(won, "turn"))
+        gone = over(left, mine.select("first", "last").distinct(), levels, F.first(F.lit(1)).alias("gone"))
+        left, spans = checkpointed(left.join(gone, "at", "left_anti")), own.join(won, "turn", "left_anti").drop("turn")
+        found = mine.where("at between first and last").select("turn", *PAIR, "least", "most")
+        taken = found if taken is None else taken.union(found)
     return taken
 
 
@@ -174,13 +222,16 @@ def bands(ratios: DataFrame) -> DataFrame:
     middle = inside.where("control and ratio > 1").groupBy("band").agg(F.median("ratio").alias("median"))
     counted = band_counts(inside, "band").join(middle, "band").join(anchored, "band").withColumn("support", F.lit("CONTROL_SUPPORTED_REGIME"))
     envelope = checkpointed(within(ratios.where("ratio > 1"), anchored, how="left_anti"))
-    taken = checkpointed(disjoint_windows(recurring_windows(envelope)))
-    ends = taken.groupBy("order").agg(F.min("least").alias("lower"), F.max("most").alias("upper"))
+    starts = checkpointed(numbered(envelope.select(F.col("ratio").alias("start")).distinct(), [F.col("start")]))
+    levels = starts.count().bit_length()
+    spans = checkpointed(recurring_spans(envelope, starts))
+    taken = checkpointed(disjoint_windows(spans.drop("weeks"), recurring_windows(spans, starts, levels), levels))
+    ends = taken.groupBy("turn").agg(F.min("least").alias("lower"), F.max("most").alias("upper"))
     # a row a band: bands share no pair
-    ends = ends.withColumn("band", F.concat(F.lit("cross-"), F.row_number().over(Window.orderBy("order")).cast("string")))
-    mine = taken.join(ends, "order").select("band", *PAIR, "lower", "upper")
+    ends = ends.withColumn("band", F.concat(F.lit("cross-"), F.row_number().over(Window.orderBy("turn")).cast("string")))
+    mine = taken.join(ends, "turn").select("band", *PAIR, "lower", "upper")
     weeks = envelope.join(mine, PAIR).where("ratio between lower and upper").groupBy("band", *PAIR, "week").agg(F.max("ratio").alias("ratio"))
-    crossing = band_counts(within(envelope, ends.drop("order")), "band").join(weeks.groupBy("band").agg(F.median("ratio").alias("median")), "band").join(ends.drop("order"), "band")
+    crossing = band_counts(within(envelope, ends.drop("turn")), "band").join(weeks.groupBy("band").agg(F.median("ratio").alias("median")), "band").join(ends.drop("turn"), "band")
     names = ["band", "support", "lower", "upper", "median", "weekly_weights", "pairs", "fish", "bases", "pair_weeks", "repeated_pairs", "control_pairs"]
     return counted.select(*names).union(crossing.withColumn("support", F.lit("UNANCHORED_POSSIBLE_MUTANT_BAND")).select(*names))
 

@@ -181,3 +181,24 @@ def test_nothing_to_analyze(spark):
     none = spark.createDataFrame([], "fish_id long, base_id long, week timestamp_ntz, g long")
     candidates, found, _ = maxima.analyzed(none, spark.createDataFrame([], "fish_id long, base_id long, fish_name string, base_name string, max_grams long"))
     assert candidates.count() == found.count() == 0
+
+
+def test_spans_follow_the_ratios_not_the_windows_that_hold_them(spark):
+    rng = random.Random(5)
+    weeks = [datetime.datetime(2026, 1, 4, 19) + datetime.timedelta(7 * i) for i in range(4)]
+    rows = [(fish, base, rng.choice(weeks), 1.2 + rng.choice([rng.randint(0, 90) / 10000, rng.random() / 50])) for fish in range(5) for base in range(4) for _ in range(12)]
+    envelope = spark.createDataFrame(rows, "fish_id long, base_id long, week timestamp_ntz, ratio double").distinct()
+    starts = maxima.numbered(envelope.select(maxima.F.col("ratio").alias("start")).distinct(), [maxima.F.col("start")])
+    spans = maxima.recurring_spans(envelope, starts).collect()
+    want = {}
+    for start in {r[3] for r in rows}:
+        held = collections.defaultdict(list)
+        for fish, base, week, ratio in rows:
+            if start <= ratio <= start + maxima.WINDOW:
+                held[fish, base].append((week, ratio))
+        for pair, inside in held.items():
+            if len({w for w, _ in inside}) >= 2:
+                want[start, *pair] = (len({w for w, _ in inside}), min(r for _, r in inside), max(r for _, r in inside))
+    at = {r["n"]: r["start"] for r in starts.collect()}
+    assert want == {(at[n], s["fish_id"], s["base_id"]): (s["weeks"], s["least"], s["most"]) for s in spans for n in range(s["first"], s["last"] + 1)}
+    assert len(spans) <= 3 * len(rows) < len(want) / 2
