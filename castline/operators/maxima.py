@@ -43,7 +43,8 @@ def clusters(seen: DataFrame) -> DataFrame:
     g, floor = F.col("g"), F.floor(F.col("g") * WIDTH)
     # the largest upper whose hundredth below still holds g, in the doubles of the rule
     reach = F.when((floor + 1) / WIDTH <= g, floor + 1).when(floor / WIDTH <= g, floor).otherwise(floor - 1)
-    return swept(seen, PAIR, reach)
+    # dealt once by what the sweep's windows and sums have in common
+    return swept(seen.repartition(*PAIR), PAIR, reach)
 
 
 def calibrators(seen: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -48,13 +48,12 @@ def swept(seen: DataFrame, keys: list[str], reach: Column) -> DataFrame:
     running sums at an upper are its members and weeks.
     """
     following = F.lead("g").over(Window.partitionBy(*keys, "week").orderBy("g"))
-    beyond = (reach + 1).cast("long")
-
-    def steps(rows: DataFrame, stop: Column, members: int, weeks: int) -> DataFrame:
-        up, down = (F.struct(at.alias("at"), F.lit(sign * members).alias("members"), F.lit(sign * weeks).alias("weeks"), F.lit(sign > 0).alias("upper")) for at, sign in ((F.col("g"), 1), (stop, -1)))
-        return rows.select(*keys, F.inline(F.array(up, down)))
-
-    moves = steps(seen.withColumn("stop", F.least(beyond, F.coalesce(following, beyond))), F.col("stop"), 0, 1).union(steps(seen.select(*keys, "g").distinct(), beyond, 1, 0))
+    # of a weight's weeks the first counts it as a member
+    new = F.when(F.row_number().over(Window.partitionBy(*keys, "g").orderBy("week")) == 1, 1).otherwise(0)
+    held = seen.withColumns({"beyond": (reach + 1).cast("long"), "following": following, "new": new})
+    step = lambda at, members, weeks, upper: F.struct(at.alias("at"), members.alias("members"), F.lit(weeks).alias("weeks"), F.lit(upper).alias("upper"))
+    beyond, none = F.col("beyond"), F.lit(0)
+    moves = held.select(*keys, F.inline(F.array(step(F.col("g"), F.col("new"), 1, True), step(F.least("beyond", F.coalesce("following", "beyond")), none, -1, False), step(beyond, -F.col("new"), 0, False))))
     moves = moves.groupBy(*keys, "at").agg(F.sum("members").alias("members"), F.sum("weeks").alias("weeks"), F.max("upper").alias("upper"))
     until = Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     out = moves.select(*keys, "at", "upper", F.sum("members").over(until).alias("members"), F.sum("weeks").over(until).alias("weeks")).where("upper and weeks >= 2")
