@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only up to this many counted rows; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Labels of components that every round broadcasts anew: some 10 MB on the driver, where rounds follow each other.
+LABEL_ROWS = 200_000
 #: Spark's option to delete an execution's shuffle files when it ends, instead of when the driver collects its plan.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -76,33 +78,39 @@ def with_row(docs: DataFrame, name: str) -> DataFrame:
     return held.select(*[F.col(f"`{c}`") for c in docs.columns], (F.col(f"`{name}-file`") * F.lit(1 << 40) + F.col(f"`{name}`")).alias(name))
 
 
-def components(edges: DataFrame, name: str, hops: int = 2) -> DataFrame:
+def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of edges (a, b): rows (node, component), the component's smallest node.
 
-    In a hop every node takes the smallest label among its neighbours and then
-    its label's label, so long chains shrink by more than half.  After every
-    ``hops`` hops the labels are written to the shared folder, which cuts the
-    lineage; nothing is collected but whether any changed.  Nulls and self loops
-    are dropped; an empty input gives no rows.
+    In a round every node takes the smallest label among its neighbours, and so does
+    the node that its label names, then that label's label, twice: trees of labels
+    hook onto each other whole, so long chains take few rounds in any order of
+    their nodes.  A round reads the labels of the last one alone, by one exchange or
+    broadcast that all its joins share, so its plan stays small on the driver
+    however often it is planned anew.
+    After every round the labels are written to the shared folder; nothing is
+    collected but whether any changed.  Nulls and self loops are dropped; an
+    empty input gives no rows.
     """
     both = edges.where("a is not null and b is not null and a <> b").select("a", "b").distinct()
     both = stored(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))), f"{name}-edges")
+    first = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
+    labels = stored(first.withColumn("moved", F.lit(True)), f"{name}-labels")
+    nodes = labels.count()
 
-    def hop(labels: DataFrame) -> DataFrame:
-        near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        mine = labels.join(near, "node").select("node", F.least("component", "near").alias("best"), "old")
-        up = mine.select(F.col("node").alias("top"), F.col("best").alias("top_label"))
-        return mine.join(up, F.col("best") == F.col("top"), "left").select("node", F.least("best", F.coalesce("top_label", "best")).alias("component"), "old")
-
-    labels, before = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), []
     for step in range(200):
-        labels = labels.select("node", "component", F.col("component").alias("old"))
-        for _ in range(hops):
-            labels = hop(labels)
-        labels = stored(labels, f"{name}-{step}")
-        dropped(*before)
-        before = [labels]
-        if not labels.where("component <> old").limit(1).count():
+        held = small(labels.select(F.col("node").alias("at"), F.col("component").alias("is")), nodes, LABEL_ROWS)
+        seen = both.join(held, F.col("b") == F.col("at")).select("a", F.col("is").alias("near"))
+        seen = seen.join(held, F.col("a") == F.col("at")).select("a", "near", "is")
+        # to the node itself and, where smaller, to the node that its label names
+        told = F.when(F.col("near") < F.col("is"), F.array("a", "is")).otherwise(F.array("a"))
+        near = seen.select(F.explode(told).alias("node"), "near").groupBy("node").agg(F.min("near").alias("near"))
+        best = near.join(held, F.col("node") == F.col("at")).select("node", F.least("near", "is").alias("component"), F.col("is").alias("old"))
+        for _ in range(2):
+            best = best.join(held, F.col("component") == F.col("at")).select("node", F.least("component", "is").alias("component"), "old")
+        after = stored(best.select("node", "component", (F.col("component") < F.col("old")).alias("moved")), f"{name}-{step}")
+        dropped(labels)
+        labels = after
+        if not labels.where("moved").limit(1).count():
             dropped(both)
             return labels.select("node", "component")
     raise RuntimeError("components did not settle")
