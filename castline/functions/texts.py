@@ -1,33 +1,40 @@
 """Text rules as column expressions: lookup keys, notes, exact numbers, ids, suffixes.
 
 Spark has no Unicode compatibility form.  ``composed`` gives it, in Arrow batches
-in which only texts beyond ASCII travel; where a rule is used inside a lambda
+in which only texts beyond plain letters travel; where a rule is used inside a lambda
 or over facts, ``half_width`` folds full-width forms as a column expression.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space beyond ASCII, letters folded in lookups, the largest exact integer of a double, the largest int.
 SPACE = r"[\s\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]+"
+#: SPACE for searches over every letter: two looks tell that most are none.
+_SPACE_SOON = r"[ \t\n\x0B\f\r\u0085\u00A0[\u1680-\uFEFF&&[\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]]]+"
 FOLDED = ("ёй", "еи")
+#: Letters that stay as they are in composed forms whatever stands around: ASCII, Western European, Cyrillic.
+COMPOSED = r"\x00-\x7F\u00C0-\u00FF\u0400-\u0482\u048A-\u04FF"
 SAFE_MAX = (1 << 53) - 1
 INT_MAX = (1 << 31) - 1
 
 
 def composed(text: Column, form: str = "NFKC") -> Column:
-    """The text in a Unicode form; ASCII texts stay in the JVM."""
+    """The text in a Unicode form; texts that are in it letter by letter stay in the JVM."""
+    beyond = f"[^{COMPOSED}]" if form in ("NFC", "NFKC") else r"[^\x00-\x7F]"
 
-    @F.pandas_udf("string")
-    def normal(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def normal(texts: pa.Array) -> pa.Array:
         import unicodedata
 
-        return texts.map(lambda t: unicodedata.normalize(form, t), na_action="ignore")
+        if texts.null_count == len(texts):
+            return texts
+        return pa.array([t and unicodedata.normalize(form, t) for t in texts.to_pylist()], texts.type)
 
-    return F.coalesce(normal(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+    return F.coalesce(normal(F.when((F.octet_length(text) > F.length(text)) & text.rlike(beyond), text)), text)
 
 
 def lower_each(text: Column) -> Column:
@@ -55,7 +62,7 @@ def edges_trimmed(text: Column) -> Column:
 
 def collapsed(text: Column) -> Column:
     """White space runs as one space, none at the ends."""
-    return F.trim(F.regexp_replace(text, SPACE, " "))
+    return F.trim(F.regexp_replace(text, _SPACE_SOON, " "))
 
 
 def lookup_key(text: Column, form: str = "NFKC") -> Column:

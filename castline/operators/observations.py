@@ -22,6 +22,7 @@ from ..plans.tables import Tables
 from .reports import parts_of
 
 #: White space, words for size and speed, notes, short forms of anchors, the largest depth.
+SPACES = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 _W = r"\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 SIZES = {
     "маленькая": "SMALL", "маленький": "SMALL", "мал.": "SMALL", "мал": "SMALL", "м": "SMALL", "средняя": "MEDIUM", "средний": "MEDIUM", "сред": "MEDIUM", "ср.": "MEDIUM", "ср": "MEDIUM",
@@ -53,7 +54,7 @@ _alone = lambda word: rf"(?<![\p{{L}}\p{{N}}]){word}(?![\p{{L}}\p{{N}}])"  # noq
 
 def trimmed(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, rf"^{_S}+|{_S}+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def _after(text: Column, at: Column) -> Column:

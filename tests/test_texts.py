@@ -50,3 +50,32 @@ def test_document_keys_of_odd_letters(spark, tmp_path):
     pd.DataFrame({"doc_id": range(len(odd)), "text": odd}).to_parquet(tmp_path / "documents.parquet")
     got = entry.queries()["document_keys"](spark, str(tmp_path)).toPandas()
     assert rows(got) == rows(oracle(str(tmp_path), entry.oracle_sql()["document_keys"]))
+
+
+def test_letters_that_stay_as_they_are_when_composed():
+    """Texts of these letters alone do not travel, so they must be composed already, whatever stands beside what."""
+    import itertools
+    import re
+    import unicodedata
+
+    letters = [chr(c) for c in range(0x600) if re.match(f"[{texts.COMPOSED}]", chr(c))]
+    assert len(letters) > 400 and not any(unicodedata.combining(c) for c in letters)
+    for form in ("NFC", "NFKC"):
+        assert all(unicodedata.is_normalized(form, a + b) for a, b in itertools.product(letters, letters))
+
+
+def test_only_texts_beyond_plain_letters_travel(spark):
+    rows = spark.createDataFrame([("\u044f 5,00 \u0451\u0439",), ("e\u0301 \ufb01",), ("\u0438\u0306",), ("plain",), ("",), (None,)], "t string").coalesce(1)
+    assert [r[0] for r in rows.select(texts.composed(F.col("t"))).collect()] == ["\u044f 5,00 \u0451\u0439", "\u00e9 fi", "\u0439", "plain", "", None]
+    assert [r[0] for r in rows.select(texts.composed(F.col("t"), "NFD")).collect()][0] == "\u044f 5,00 \u0435\u0308\u0438\u0306"
+    plan = rows.where(texts.composed(F.col("t")) == "x")._jdf.queryExecution().executedPlan().toString()
+    assert "\\u0400-\\u0482" in plan
+
+
+def test_white_space_is_the_same_by_any_search(spark):
+    from castline.operators.observations import _S, trimmed
+
+    every = spark.range(0x110, numPartitions=1).selectExpr("explode(transform(sequence(0, 255), i -> int(id * 256 + i))) as c").where("c not between 55296 and 57343")
+    every = every.select(F.decode(F.unhex(F.lpad(F.hex("c"), 8, "0")), "UTF-32").alias("l")).select(F.concat("l", F.lit("a"), "l", "l", F.lit("b"), "l").alias("t"))
+    slow = F.trim(F.regexp_replace("t", texts.SPACE, " "))
+    assert every.where(~texts.collapsed(F.col("t")).eqNullSafe(slow) | ~trimmed(F.col("t")).eqNullSafe(F.regexp_replace("t", rf"^{_S}+|{_S}+\z", ""))).count() == 0
