@@ -29,6 +29,7 @@ from ..plans.tables import Tables
 from ..session import checkpointed, stored
 from .inference import weight_text
 from .observations import ANCHORS, parsed_observations, trimmed
+from .reports import dealt
 
 #: Form of a line up to the place, what no line holds as a rule, points and what else may stand behind a name, the longest name.
 HEAD = r"(?s)^(.*) ([0-9]+(?:,[0-9]{3})?) (кг|грамм)\. Поймана на ([^:]*): (.*)\z"
@@ -177,7 +178,9 @@ def parsed_reports(t: Tables) -> DataFrame:
     bays = F.when(F.col("location_id") % 5 == 0, F.concat("name", F.lit(", bay"))).otherwise(F.col("name"))
     fish, bases = t.fish.select(F.col("fish_id").alias("name_id"), F.concat_ws("#", "name", "fish_id").alias("name")), t.base.select(F.col("base_id").alias("name_id"), "name")
     places, baits = t.location.select("base_id", F.col("location_id").alias("name_id"), bays.alias("name")), t.bait.select(F.col("bait_id").alias("name_id"), "name", "type")
-    rows = t.report.select("report_id", "fish_id", "location_id", "bait_id", "weight_grams", "hole_depth_cm").distinct()
+    # lines are long to read for what they hold: parts by their number, not by their bytes
+    columns = ["report_id", "fish_id", "location_id", "bait_id", "weight_grams", "hole_depth_cm"]
+    rows = dealt(t, t.report.select(*columns), *columns).distinct()
     rows = rows.join(fish.select(F.col("name_id").alias("fish_id"), F.col("name").alias("fish")), "fish_id").join(places.select("base_id", F.col("name_id").alias("location_id"), F.col("name").alias("place")), "location_id")
     # the baits are few, which their plan over the facts does not tell
     rows = rows.join(bases.select(F.col("name_id").alias("base_id"), F.col("name").alias("base")), "base_id").join(near(baits.select(F.col("name_id").alias("bait_id"), F.col("name").alias("bait")), baits.count()), "bait_id")
@@ -187,7 +190,7 @@ def parsed_reports(t: Tables) -> DataFrame:
     place, bait = F.when(n % 13 == 0, "odd place").otherwise(F.col("place")), F.when(n % 11 == 0, "odd bait").otherwise(F.col("bait"))
     line = F.concat("fish", F.lit(" "), weight_text(F.col("weight_grams")), F.lit(". Поймана на "), "base", F.lit(": "), place, F.lit(", "), bait, F.lit(". "), said)
     # report ids of the given tables repeat: the whole row is the id
-    whole = F.struct("report_id", "fish_id", "location_id", "bait_id", "weight_grams", "hole_depth_cm")
+    whole = F.struct(*columns)
     out = parse_reports(rows.select(whole.alias("id"), line.alias("line")), fish, bases, places, baits, ANCHORS, with_id=False)
     odd = lambda c: F.when(F.col(f"{c}_state") == "missing", F.col(f"{c}_text")).otherwise(F.col(f"{c}_state"))
     return out.select("fish_id", "base_id", "place_id", odd("place").alias("odd_place"), "bait_id", odd("bait").alias("odd_bait"), "grams", "depth_cm", "spot", "fishing_note", F.array_join("unresolved", "|").alias("unresolved"))
